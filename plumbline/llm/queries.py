@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, quality
+from plumbline.llm import exact_dedup, mixing, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_mix_sources": mixing.op3_mix_sources,
+    "op5_url_filters": url_filter.op5_url_filters,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op3_mix_sources": mixing.ORACLE_SQL,
+    "op5_url_filters": url_filter.oracle_sql(),
     "op9_quality_rules": quality.oracle_sql(),
 }
