@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, exact_dedup, mixing, packing, quality, url_filter
+from plumbline.llm import chat, exact_dedup, mixing, packing, quality, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filters": url_filter.op5_url_filters,
+    "op6_warc": warc.op6_warc,
     "op7_chat_format": chat.op7_chat_format,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
@@ -21,6 +23,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
     "op3_mix_sources": mixing.ORACLE_SQL,
     "op5_url_filters": url_filter.oracle_sql(),
+    "op6_warc": warc.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
     "op9_quality_rules": quality.oracle_sql(),
 }
