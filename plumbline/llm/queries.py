@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, exact_dedup, mixing, packing, quality, toxicity, url_filter, warc
+from plumbline.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filters": url_filter.op5_url_filters,
