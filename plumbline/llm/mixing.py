@@ -62,13 +62,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return fits.select("__null", "__source", "source_size", F.least("__cap", chosen * F.col("__weight")).alias("target"))
 
 
-def copies(docs: DataFrame, carry: list[Column], seed: str = SEED, text: str = "text", **shares) -> DataFrame:
+def words(text: Column) -> Column:
+    """The size of a document."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def copies(docs: DataFrame, size: Column, carry: list[Column], seed: str = SEED, **shares) -> DataFrame:
     """carry of every row of docs, with size, source_size, target and copies.
 
-    docs has doc_id and source, and text or a ready column size; it is read twice: once for the
-    totals of (source, stratum, salt), once for the rows themselves.
+    docs has doc_id and source; it is read twice: once for the totals of (source, stratum, salt), once
+    for the rows themselves.
     """
-    size = F.col("size") if "size" in docs.columns else F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     source, salt = F.coalesce(F.col("source"), F.lit("")), F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2)
     rows = docs.select(
         F.col("source").isNull().alias("__null"), source.alias("__source"), salt.alias("__salt"), F.col("doc_id").alias("__id"),
@@ -96,15 +100,13 @@ def copies(docs: DataFrame, carry: list[Column], seed: str = SEED, text: str = "
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, with the columns of docs."""
-    counted = copies(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns])], **options)
+    counted = copies(docs, words(F.col("text")), [F.struct(*[F.col(f"`{c}`") for c in docs.columns])], **options)
     return counted.where("copies > 0").select("__carry0", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__carry0.*")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    sized = cut(docs.select("doc_id", "source", size.alias("size")))
-    return copies(sized, [F.col("doc_id")]).select(
+    sized = cut(read(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size")))
+    return copies(sized, F.col("size"), [F.col("doc_id")]).select(
         F.col("__carry0").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
 

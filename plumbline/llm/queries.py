@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
+from plumbline.llm import chat, exact_dedup, license_scan, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": url_filter.op5_url_filters,
     "op6_warc": warc.op6_warc,
     "op7_chat_format": chat.op7_chat_format,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
