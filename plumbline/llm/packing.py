@@ -15,6 +15,7 @@ A null or empty text is the end token alone. Null ids are packed like others.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from itertools import chain
@@ -32,43 +33,82 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 CHUNK_DOCS = 8192
-#: Words whose ids a worker keeps, a bound on its memory only: other words are encoded again.
-KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps before it forgets all but those in use: a bound on its memory only.
+KEPT_WORDS = 350_000
 
-_OTHER_SPACE = str.maketrans("\t\n\v\f\r", "     ")
+#: Latin letters whose lower case and composed form don't depend on other letters.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
+#: Where signs stand together they make one word; a comma or stop by itself is a word of its own, wherever it stands.
+_SIGNS_TOGETHER = re.compile(r"(?:[^\w\s]|_){2}")
+_LATIN_SIGNS = np.array([re.fullmatch(r"[^\w\s]|_", chr(i)) is not None for i in range(256)])
+#: The letters that byte-level tokenizers write for bytes that don't print, in order of the bytes.
+_BYTE_LETTERS = {byte: 256 + n for n, byte in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def signs_together(text: str) -> bool:
+    """Whether two signs (neither letters, digits nor white space) stand side by side."""
+    try:
+        signs = _LATIN_SIGNS[np.frombuffer(text.encode("latin-1"), np.uint8)]
+    except UnicodeEncodeError:
+        return _SIGNS_TOGETHER.search(text) is not None
+    return bool((signs[1:] & signs[:-1]).any())
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins characters across white space.
+    """Ids of texts by a word-end BPE tokenizer that never joins characters across white space.
 
     A word's ids don't depend on its neighbours there, so each word is encoded once and kept
-    as bytes. Letters followed by ASCII punctuation are two words to the tokenizer, and are
-    kept as two. The result is that of encoding the whole text, which the tests compare.
+    as bytes. Words of Latin letters, with or without ASCII punctuation after them, need no
+    more of the tokenizer than lower case, its byte letters and its merges: many go through the
+    merges at once, and the tokens that end a word tell them apart. All other words are encoded
+    as they stand. The result is that of encoding the whole text, which the tests compare.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
-    def _encode(self, words: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(found.ids, "<u4").tobytes()
+    def _latin(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of Latin letters."""
+        forms = [w.lower() if w.isascii() else w.lower().encode().decode("latin-1").translate(_BYTE_LETTERS) for w in words]
+        lines = [" ".join(forms[i : i + 256]) for i in range(0, len(forms), 256)]
+        ids = np.fromiter(chain.from_iterable(x.ids for x in self.merges.encode_batch_fast(lines, add_special_tokens=False)), "<u4")
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stops) != len(words):
+            raise ValueError("this tokenizer doesn't mark the ends of words")
+        data, stops = ids.tobytes(), stops.tolist()
+        return {w: data[a:b] for w, a, b in zip(words, [0, *stops], stops)}  # noqa: B905  one start more
+
+    def _whole(self, words: list[str]) -> dict[str, bytes]:
+        return {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [(t.lower() if t.isascii() and "<|" not in t else t).translate(_OTHER_SPACE).split(" ") for t in texts]
-        new = list(set(chain.from_iterable(split)).difference(self.known))
-        stems = {w: s for w in new if (s := w.rstrip(punctuation)) != w and s.isalpha()}
-        plain = list({*new}.difference(stems).union(stems.values(), (w[len(s) :] for w, s in stems.items())).difference(self.known))
-        ids = dict(zip(plain, self._encode(plain), strict=True))
-        either = lambda w: ids[w] if w in ids else self.known[w]
-        ids |= {w: either(s) + either(w[len(s) :]) for w, s in stems.items()}
-        if len(self.known) + len(ids) <= KEPT_WORDS:
-            self.known |= ids
-            get = self.known.__getitem__
-            return [b"".join(map(get, words)) for words in split]
-        return [b"".join([ids[w] if w in ids else self.known[w] for w in words]) for words in split]
+        for sign in "\t\n\v\f\r":
+            texts = [t.replace(sign, " ") for t in texts]
+        texts = [t if signs_together(t) else t.replace(",", " ,").replace(".", " .") for t in texts]
+        split = [(t.lower() if t.isascii() and "<|" not in t else t).split(" ") for t in texts]
+        words = set(chain.from_iterable(split))
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > KEPT_WORDS:  # words that come again are worth keeping
+            self.known = {w: self.known[w] for w in words.intersection(self.known).union([""])}
+        known = self.known
+        plain = list(filter(_LATIN.fullmatch, new))
+        known |= self._latin(plain)
+        new.difference_update(plain)
+        both = [(w, s) for w in new if _LATIN.fullmatch(s := w.rstrip(punctuation))]
+        known |= self._latin(list({s for _, s in both}.difference(known)))
+        new.difference_update(w for w, _ in both)
+        known |= self._whole(list(new.union(w[len(s) :] for w, s in both).difference(known)))
+        known |= {w: known[s] + known[w[len(s) :]] for w, s in both}
+        get = known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -196,7 +236,7 @@ def packed(found: DataFrame, n_docs: int, capacity: int = CAPACITY, chunk_docs:
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """Packed pieces with their token ids: the rows of one sequence_id, in order of offset, are a training sequence."""
-    return packed(pieces(docs, tokenizer, capacity), docs.count(), capacity)
+    return packed(pieces(docs, tokenizer, capacity), docs.count(), capacity, CHUNK_DOCS // 2)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
