@@ -18,9 +18,10 @@ ACCURACY, WIDTH, SMALL = 1000, 0.003, 5000
 
 
 def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
-    """keys, p, quantile: linear interpolation between the two nearest ranks of the non-null values of each group."""
-    if not keys:
-        return exact_quantiles(rows.withColumn("__all", F.lit(1)), ["__all"], value, probabilities).drop("__all")
+    """keys, p, quantile: linear interpolation between the two nearest ranks of the non-null values of each group.
+
+    Without keys there is one group, whose single row of brackets is broadcast.
+    """
     keys = list(keys)
     values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     bounds = [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-WIDTH, WIDTH)]
@@ -41,7 +42,7 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilit
     same = F.lit(True)
     for k, n in named.items():
         same = same & F.col(k).eqNullSafe(F.col(n))
-    joined = values.join(stats, same).select(*keys, "__v", "__n", "__brackets")
+    joined = values.join(stats if keys else F.broadcast(stats), same).select(*keys, "__v", "__n", "__brackets")
     cells = joined.select(*keys, "__n", F.explode("__brackets").alias("__c"), "__v").where(F.col("__v") <= F.col("__c.hi"))
     # One row for each value inside a bracket, and one (NULL) for all below it.
     counted = cells.groupBy(*keys, "__n", F.col("__c.i").alias("__i"), F.when(F.col("__v") >= F.col("__c.lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("__m"))
