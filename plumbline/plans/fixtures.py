@@ -88,14 +88,15 @@ FOLDS_SQL = """folds AS (SELECT 'cfg' || cfg AS configuration_id, seed, fold, 0.
 
 
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seed, transformed_feature, original_feature, importance: quantities by brand and type, a share of each seed's sum."""
+    """seed, transformed_feature, original_feature, importance: quantities by brand and type, weighed by seed, a share of each seed's sum."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("seed", F.element_at(F.array(*map(F.lit, SEEDS)), F.pmod("l_partkey", F.lit(3)).cast("int") + 1))
-    sums = rows.groupBy("seed", F.concat("p_brand", F.lit("_"), "p_type").alias("transformed_feature"), F.col("p_brand").alias("original_feature")).agg(F.sum("l_quantity").alias("q"))
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    weighed = F.col("l_quantity") * (F.pmod(F.col("l_partkey") * F.col("seed"), F.lit(7)) + 1)
+    sums = rows.groupBy("seed", F.concat("p_brand", F.lit("_"), "p_type").alias("transformed_feature"), F.col("p_brand").alias("original_feature")).agg(F.sum(weighed).alias("q"))
     whole = sums.groupBy("seed").agg(F.sum("q").alias("all"))
     return sums.join(F.broadcast(whole), "seed").select("seed", "transformed_feature", "original_feature", (F.col("q") / F.col("all")).alias("importance"))
 
 
-IMPORTANCES_SQL = """i0 AS (SELECT ([27, 32, 59])[(l_partkey % 3 + 1)::INT] AS seed, p_brand || '_' || p_type AS transformed_feature, p_brand AS original_feature, sum(l_quantity) AS q
- FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+IMPORTANCES_SQL = """i0 AS (SELECT seed, p_brand || '_' || p_type AS transformed_feature, p_brand AS original_feature, sum(l_quantity * ((l_partkey * seed) % 7 + 1)) AS q
+ FROM lineitem JOIN part ON l_partkey = p_partkey, (SELECT unnest([27, 32, 59]) AS seed) GROUP BY ALL),
 importances AS (SELECT seed, transformed_feature, original_feature, q / sum(q) OVER (PARTITION BY seed) AS importance FROM i0)"""
