@@ -127,7 +127,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
     judged = verdicts(docs.select(F.struct("*").alias("__row"), F.col("text").alias("text")), rules)
-    return judged.where("kept").select("__row.*")
+    # The number keeps the optimizer from moving the filter below the measures, where it would
+    # split the text again for every single window.
+    numbered = judged.select("__row", "kept", F.monotonically_increasing_id().alias("__number"))
+    return numbered.where("kept and __number >= 0").select("__row.*")
 
 
 ORACLE_SQL = r"""
