@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts of an Arrow batch.
+TEXT_ROWS = 512
 #: The white space of all word and text contracts: space, and tab to carriage return.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,3 +47,33 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once into the shared checkpoint folder, and go on from the written rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python tasks get at most TEXT_ROWS rows at a time: a batch of 10,000 long texts, Spark's default, fills a task's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver collects garbage, by default once in half an hour; a loop of small steps
+    leaves thousands of small files before.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def blocks(batch: pa.RecordBatch, columns: Sequence[int], most_rows: int, most_chars: int) -> Iterator[pa.RecordBatch]:
+    """Parts of batch of at most most_rows rows, and most_chars characters in its text columns (or one row)."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in columns:
+        sizes += np.array([len(t) if t else 0 for t in batch.column(column).to_pylist()], np.int64)
+    upto, low = np.cumsum(sizes), 0
+    while low < batch.num_rows:
+        high = int(np.searchsorted(upto, (upto[low - 1] if low else 0) + most_chars, "right"))
+        high = min(max(high, low + 1), low + most_rows)
+        yield batch.slice(low, high - low)
+        low = high
