@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from plumbline.llm.common import read
+from plumbline.llm.common import read, small_batches
 
 TURN, SAYS, END = "<turn>", "<says>", "</turn>"
 MARKERS = (TURN, SAYS, END)
@@ -99,6 +99,7 @@ def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER, learned: str
 
     conversations has conv_id, turn, role and text.
     """
+    small_batches(conversations.sparkSession)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     ints = pa.list_(pa.int32())

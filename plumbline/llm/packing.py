@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import read
+from plumbline.llm.common import blocks, read, small_batches
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 CHUNK_DOCS = 8192
+#: Texts encoded together by a task: so many, and so many characters of them, at most (or one text).
+TOGETHER, MOST_CHARS = 256, 1 << 20
 #: Words whose ids a worker keeps before it forgets all but those in use: a bound on its memory only.
-KEPT_WORDS = 350_000
+KEPT_WORDS = 250_000
 
 #: Latin letters whose lower case and composed form don't depend on other letters.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
@@ -89,6 +91,10 @@ class WordEncoder:
     def _whole(self, words: list[str]) -> dict[str, bytes]:
         return {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
 
+    def forget(self) -> None:
+        """Workers outlive their tasks; the words of one needn't."""
+        self.known = {"": b""}
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         for sign in "\t\n\v\f\r":
             texts = [t.replace(sign, " ") for t in texts]
@@ -123,6 +129,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids (binary: little-endian unsigned 32-bit) of all documents, cut at capacity."""
+    small_batches(docs.sparkSession)
     schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
     end = np.array([end_id], "<u4").tobytes()
 
@@ -132,8 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
             _encoders[path] = WordEncoder(path)
         encoder = _encoders[path]
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for part in blocks(batch, [1], TOGETHER, MOST_CHARS):
                 rows, piece, start, length, ids = [], [], [], [], []
                 for row, found in enumerate(encoder([t or "" for t in part.column(1).to_pylist()])):
                     found += end
@@ -147,6 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                     [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
+        encoder.forget()
 
     return docs.select("doc_id", F.col(text).cast("string")).mapInArrow(cut_pieces, schema)
 

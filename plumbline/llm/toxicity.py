@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from plumbline.llm.common import cut, read
+from plumbline.llm.common import cut, read, small_batches
 
 TRAIN_ROWS = 20_000
 LEXICON_TERMS = 2_000
@@ -82,6 +82,7 @@ def fold() -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, text, toxic, fold of at most about limit labelled documents outside the held-out fold."""
+    small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != HELD_OUT)
     share = min(1.0, limit / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).withColumn("fold", fold())

@@ -40,11 +40,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, read, shared_dir
+from plumbline.llm.common import cut, read, shared_dir, small_batches
 from plumbline.llm.exact_dedup import COUNTERS, heavy_winners
 
 MIN_REVISIT = 100
 BLOCK_LINES = 512
+#: Keys that a task of lookup searches.
+LOOKUPS = 4096
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -211,6 +213,7 @@ def write_index(captures: DataFrame, base: str) -> Archive:
 
 def write_archive(pages: DataFrame, base: str | None = None) -> tuple[Archive, DataFrame]:
     """Writes the archive of pages and returns it, with its captures (key, page_id, file, offset, length)."""
+    small_batches(pages.sparkSession)
     base = base or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     files, folder = filesystem(base)
     files.create_dir(folder, recursive=True)
@@ -278,7 +281,8 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
     checked against its digest and length.
     """
     wanted = keys.select(line_key(F.col("key"), F.col("page_id")).alias("line_key")).distinct()
-    ordered = wanted.repartitionByRange("line_key").sortWithinPartitions("line_key")
+    tasks = max(1, -(-keys.count() // LOOKUPS))  # keys are short, records aren't: sizes of keys don't tell how much a task reads
+    ordered = wanted.repartitionByRange(tasks, "line_key").sortWithinPartitions("line_key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(archive)
