@@ -192,11 +192,13 @@ def fit(docs: DataFrame) -> LicenseModel:
     share = min(1.0, UNKNOWN_DOCS / max(1, docs.count()))
     some = paragraphs(docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))))
     texts = F.array(*[F.array(*map(F.lit, r["triples"])) for r in listed if r["triples"]])
-    some = some.where(~F.exists(texts, lambda t: _shared(t, F.col("triples")) >= CONFIRMED)).select(F.lit(UNKNOWN).alias("family"), "words")
+    every = F.array(*map(F.lit, sorted({t for r in listed for t in r["triples"]})))
+    holds = F.arrays_overlap(every, F.col("triples")) & F.exists(texts, lambda t: _shared(t, F.col("triples")) >= CONFIRMED)
+    some = some.where(~holds).select(F.lit(UNKNOWN).alias("family"), "words")
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     rows = _grams(windows.unionByName(decoys).unionByName(some)).withColumn("label", label)
     rows = rows.withColumn("kept_back", F.pmod(F.xxhash64("words"), F.lit(5)) == 0)
-    rows = cut(counts.transform(rows).select("features", "label", "kept_back"))
+    rows = cut(counts.transform(rows).select("features", "label", "kept_back")).coalesce(4)  # a few thousand rows: iterations are short
     regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, rawPredictionCol="__scores", probabilityCol="__probabilities", predictionCol="__predicted")
     classifier = regression.fit(rows.where("not kept_back or label > 0"))
     binary = margins(classifier, rows.where("kept_back")).withColumn("label", (F.col("label") > 0).cast("double"))
