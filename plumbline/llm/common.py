@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
-
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts of an Arrow batch.
-TEXT_ROWS = 512
+TEXT_ROWS = 128
 #: The white space of all word and text contracts: space, and tab to carriage return.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,6 +48,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows up to which a side whose size was counted is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def ordered_id() -> Column:
+    """What orders the rows of a group: doc_id, null last."""
+    return F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"))
+
+
+def without_marked(docs: DataFrame, marks: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """The rows of docs but those marked: marks has first (an ordered_id), digest and gone.
+
+    Of rows with a mark that isn't gone one stays of each first and digest. Ids are joined first, so that digests are
+    taken only of the texts under a marked id; texts are shuffled only if the marks are too many to broadcast.
+    """
+    marked = cut(marks.groupBy("first").agg(F.collect_list(F.struct("digest", "gone")).alias("__marks")))
+    rows = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), ordered_id().alias("first"))
+    rows = rows.join(bounded(marked), "first", "left").withColumn("digest", F.when(F.col("__marks").isNotNull(), digest(F.col("text"))))
+    rows = rows.withColumn("gone", F.expr("get(filter(__marks, m -> m.digest = digest), 0).gone"))
+    repeated = rows.where("not gone").dropDuplicates(["digest", "first"]).select("__row.*")
+    return rows.where("gone is null").select("__row.*").unionByName(repeated)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Python tasks get at most TEXT_ROWS rows at a time: a batch of 10,000 long texts, Spark's default, fills a task's memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import cut, read
+from plumbline.llm.common import cut, ordered_id, read, without_marked
 
 #: Counters of the summary: digests of more than one row in COUNTERS + 1 are found, and at most so many broadcast.
 COUNTERS = 8192
@@ -101,18 +101,17 @@ def groups(docs: DataFrame, k: int = COUNTERS, text: str = "text", id_col: str =
 def deduplicated(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
     """The rows of docs that stay, with its columns.
 
-    Copies of heavy digests other than their winner go on the map side; the rest is shuffled by digest,
-    where one row of each stays.
+    Digests and ids are grouped, not texts: heavy digests by their broadcast winners, the others by a shuffle. What
+    has to go is then taken out of docs.
     """
-    packed = docs.select(
-        F.struct("*").alias("__row"),
-        digest(F.col("text")).alias("digest"),
-        F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id")).alias("first"),
-    )
-    winners = heavy_winners(cut(packed.select("digest", "first")), k).select("digest", F.col("first").alias("heavy_first"))
-    left = packed.join(F.broadcast(winners), "digest", "left").where("heavy_first is null or first = heavy_first")
-    nth = F.row_number().over(Window.partitionBy("digest").orderBy("first"))
-    return left.withColumn("nth", nth).where("nth = 1").select("__row.*")
+    rows = cut(docs.select(digest(F.col("text")).alias("digest"), ordered_id().alias("first")))
+    winners = heavy_winners(rows, k).select("digest", F.col("first").alias("keep"))
+    known = rows.groupBy("digest", "first").agg(F.count("*").alias("times"))
+    heavy = known.join(F.broadcast(winners), "digest")
+    light = known.join(F.broadcast(winners), "digest", "left_anti")
+    several = light.groupBy("digest").agg(F.min("first").alias("keep"), F.sum("times").alias("n")).where("n > 1").select("digest", "keep")
+    marks = heavy.unionByName(light.join(several, "digest")).withColumn("gone", F.col("first") != F.col("keep"))
+    return without_marked(docs, marks.where("gone or times > 1").select("digest", "first", "gone"), digest)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.most = KEPT_WORDS
 
     def _latin(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words of Latin letters."""
@@ -102,7 +103,7 @@ class WordEncoder:
         split = [(t.lower() if t.isascii() and "<|" not in t else t).split(" ") for t in texts]
         words = set(chain.from_iterable(split))
         new = words.difference(self.known)
-        if len(self.known) + len(new) > KEPT_WORDS:  # words that come again are worth keeping
+        if len(self.known) + len(new) > self.most:  # words that come again are worth keeping
             self.known = {w: self.known[w] for w in words.intersection(self.known).union([""])}
         known = self.known
         plain = list(filter(_LATIN.fullmatch, new))
@@ -127,7 +128,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", kept_words: int = KEPT_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids (binary: little-endian unsigned 32-bit) of all documents, cut at capacity."""
     small_batches(docs.sparkSession)
     schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
@@ -138,6 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         encoder = _encoders[path]
+        encoder.most = kept_words
         for batch in batches:
             for part in blocks(batch, [1], TOGETHER, MOST_CHARS):
                 rows, piece, start, length, ids = [], [], [], [], []
@@ -154,6 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
         encoder.forget()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", F.col(text).cast("string")).mapInArrow(cut_pieces, schema)
 
@@ -242,8 +245,11 @@ def packed(found: DataFrame, n_docs: int, capacity: int = CAPACITY, chunk_docs:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    """Packed pieces with their token ids: the rows of one sequence_id, in order of offset, are a training sequence."""
-    return packed(pieces(docs, tokenizer, capacity), docs.count(), capacity, CHUNK_DOCS // 2)
+    """Packed pieces with their token ids: the rows of one sequence_id, in order of offset, are a training sequence.
+
+    With ids a chunk is larger than with digests, so chunks and the memory for words are smaller.
+    """
+    return packed(pieces(docs, tokenizer, capacity, kept_words=KEPT_WORDS // 5), docs.count(), capacity, CHUNK_DOCS // 2)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

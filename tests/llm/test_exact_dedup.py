@@ -2,10 +2,11 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import exact_dedup
+from plumbline.llm import common, exact_dedup
 
 
 def normal(text):
@@ -26,7 +27,9 @@ def test_groups_with_few_counters(spark):
         assert (r["keep_id"], r["group_size"], r["kept"]) == (min(ids), len(by[text]), r["doc_id"] == min(ids))
 
 
-def test_filter_keeps_one_row_of_each_text(spark):
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_filter_keeps_one_row_of_each_text(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     rows = [(2, "a  b"), (1, "a\tb"), (1, "a b"), (5, None), (4, ""), (None, "c"), (None, "c"), (9, "a b ")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
     for k in (1, 8192):

@@ -29,9 +29,9 @@ def test_markers_and_contractions(encoder):
 
 
 def test_a_small_memory_changes_nothing(encoder, monkeypatch):
+    monkeypatch.setattr(encoder, "most", 10)
     texts = [f"word{i} thing{'abcdefghij'[i % 10]} the of, and." for i in range(300)]
     expected = [whole(encoder, t) for t in texts]
-    monkeypatch.setattr(packing, "KEPT_WORDS", 10)
     assert [encoder([t])[0] for t in texts] == expected
 
 
