@@ -53,7 +53,8 @@ BROADCAST_ROWS = 200_000
 
 
 def bounded(side: DataFrame) -> DataFrame:
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    """side, of narrow rows with distinct keys, as the side of a join that is held in memory: whole, or by shuffled parts."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side.hint("shuffle_hash")
 
 
 def ordered_id() -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import WORD, cut, read
+from plumbline.llm.common import WORD, bounded, cut, ordered_id, read
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
@@ -98,10 +98,25 @@ def copies(docs: DataFrame, size: Column, carry: list[Column], seed: str = SEED,
     )
 
 
+def _identity(docs: DataFrame) -> Column:
+    """A hash of the whole row, but for columns that hold maps, which Spark doesn't hash."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with the columns of docs."""
-    counted = copies(docs, words(F.col("text")), [F.struct(*[F.col(f"`{c}`") for c in docs.columns])], **options)
-    return counted.where("copies > 0").select("__carry0", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__carry0.*")
+    """The rows of docs as often as the mix takes them, with the columns of docs.
+
+    Only ids, sizes and hashes of rows are put in order; their copies are then joined to the rows, whose texts are
+    shuffled only if the copies are too many to broadcast, and never sorted. Of rows that repeat every column one
+    is emitted for all of them.
+    """
+    sized = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), _identity(docs).alias("row")))
+    counted = copies(sized, F.col("size"), [ordered_id(), F.col("row")], **options)
+    taken = counted.groupBy(F.col("__carry0").alias("id"), F.col("__carry1").alias("row")).agg(F.sum("copies").alias("copies"), F.count("*").alias("times"))
+    rows = docs.select(F.struct("*").alias("__row"), ordered_id().alias("id"), _identity(docs).alias("row"))
+    rows = rows.join(bounded(cut(taken.where("copies > 0"))), ["id", "row"])
+    chosen = rows.where("times = 1").unionByName(rows.where("times > 1").dropDuplicates(["id", "row"]))
+    return chosen.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
