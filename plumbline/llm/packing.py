@@ -15,6 +15,7 @@ A null or empty text is the end token alone. Null ids are packed like others.
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ TOKENIZER = "word_bpe_49k.json"
 CHUNK_DOCS = 8192
 #: Texts encoded together by a task: so many, and so many characters of them, at most (or one text).
 TOGETHER, MOST_CHARS = 256, 1 << 20
+#: Lines of 256 words that go through the merges together.
+LINES = 16
 #: Words whose ids a worker keeps before it forgets all but those in use: a bound on its memory only.
 KEPT_WORDS = 250_000
 
@@ -67,6 +70,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        # Tasks are the parallelism: a pool of threads in each would only hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,7 +87,8 @@ class WordEncoder:
         """Ids of words of Latin letters."""
         forms = [w.lower() if w.isascii() else w.lower().encode().decode("latin-1").translate(_BYTE_LETTERS) for w in words]
         lines = [" ".join(forms[i : i + 256]) for i in range(0, len(forms), 256)]
-        ids = np.fromiter(chain.from_iterable(x.ids for x in self.merges.encode_batch_fast(lines, add_special_tokens=False)), "<u4")
+        few = (self.merges.encode_batch_fast(lines[i : i + LINES], add_special_tokens=False) for i in range(0, len(lines), LINES))
+        ids = np.fromiter(chain.from_iterable(x.ids for found in few for x in found), "<u4")
         stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         if len(stops) != len(words):
             raise ValueError("this tokenizer doesn't mark the ends of words")
