@@ -8,7 +8,8 @@ gap it leaves best, if they fill more than it did. At most one sequence of a chu
 underfull for want of pieces, so the loss is one sequence in some thousand.
 
 A chunk has at most CHUNK_DOCS rests on average, whatever the input, so its memory is bounded;
-full pieces take a sequence of their own. Equal rows are separate documents.
+full pieces take a sequence of their own. Equal rows are separate documents, dealt to different
+chunks.
 
 A null or empty text is the end token alone. Null ids are packed like others.
 """
@@ -232,7 +233,8 @@ def packed(found: DataFrame, n_docs: int, capacity: int = CAPACITY, chunk_docs:
     """
     chunks = max(1, -(-n_docs // chunk_docs))
     others = [c for c in found.columns if c not in ("doc_id", "piece", "start", "length")]
-    keyed = found.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "piece", "length", *others), F.lit(chunks)))
+    # The number of a row deals equal rows to different chunks too.
+    keyed = found.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "piece", "length", *others, F.monotonically_increasing_id()), F.lit(chunks)))
     schema = found.schema.add("sequence_id", "long").add("offset", "long")
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:

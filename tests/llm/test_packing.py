@@ -41,8 +41,11 @@ def test_bins_hold_every_piece_once_and_never_too_much(lengths):
     bins = packing.best_two_fit(lengths, 50)
     assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
     assert all(0 < sum(lengths[i] for i in b) <= 50 for b in bins)
-    # no more than first-fit decreasing can need
-    assert len(bins) <= 11 / 9 * -(-sum(lengths) // 50) + 1 or max(lengths) > 25 or len(bins) <= len(lengths)
+    # a sequence is closed only when nothing that is left fits its gap
+    left = [i for b in bins for i in b]
+    for b in bins:
+        left = left[len(b) :]
+        assert all(sum(lengths[i] for i in b) + lengths[j] > 50 for j in left)
 
 
 def test_two_replace_one_where_they_fill_more():
@@ -61,6 +64,12 @@ def test_rows_round_trip(spark, odd_dir, encoder):
             assert (own["offset"].to_numpy() == np.concatenate(([0], own["length"].cumsum()[:-1]))).all() and own["length"].sum() <= capacity
 
 
+def test_many_equal_rows_are_dealt_to_several_chunks(spark):
+    docs = spark.createDataFrame([(None, "the same text")] * 1000, "doc_id long, text string")
+    rows = packing.packed(packing.pieces(docs), 1000, chunk_docs=100).toPandas()
+    assert len(rows) == 1000 and rows.groupby(rows["sequence_id"] // (1 << 40)).size().max() < 200
+
+
 def packing_key(row):
     return row
 
