@@ -24,8 +24,8 @@ from itertools import chain
 from string import punctuation
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -233,23 +233,24 @@ def packed(found: DataFrame, n_docs: int, capacity: int = CAPACITY, chunk_docs:
     """
     chunks = max(1, -(-n_docs // chunk_docs))
     others = [c for c in found.columns if c not in ("doc_id", "piece", "start", "length")]
-    # The number of a row deals equal rows to different chunks too.
-    keyed = found.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "piece", "length", *others, F.monotonically_increasing_id()), F.lit(chunks)))
+    # The number of a row deals equal rows to different chunks too, by eights: the copies that a mix
+    # emits side by side stay together, where they compress.
+    keyed = found.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "piece", "length", *others, F.shiftright(F.monotonically_increasing_id(), 3)), F.lit(chunks)))
     schema = found.schema.add("sequence_id", "long").add("offset", "long")
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        # Equal rows are interchangeable, so any order among them gives the same sequences.
-        rows = rows.sort_values(["length", "doc_id", "piece", *others], ascending=[False] + [True] * (2 + len(others)), kind="stable")
-        rows = rows.reset_index(drop=True)
-        lengths = rows["length"].to_numpy()
-        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    def pack(rows: pa.Table) -> pa.Table:
+        # Columns are only added, so token ids are neither copied nor turned into objects. Equal rows are
+        # interchangeable, and so are pieces of one length.
+        order = pc.sort_indices(rows, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).to_numpy()
+        lengths = rows.column("length").to_numpy()[order]
+        sequence, offset = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         for number, positions in enumerate(best_two_fit(lengths, capacity)):
-            sequence[positions] = number
-            offset[positions] = np.cumsum(lengths[positions]) - lengths[positions]
-        first = int(rows["__chunk"].iloc[0]) << 40
-        return rows.drop(columns="__chunk").assign(sequence_id=sequence + first, offset=offset)
+            sequence[order[positions]] = number
+            offset[order[positions]] = np.cumsum(lengths[positions]) - lengths[positions]
+        first = rows.column("__chunk")[0].as_py() << 40
+        return rows.drop_columns("__chunk").append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset))
 
-    return keyed.groupBy("__chunk").applyInPandas(pack, schema)
+    return keyed.groupBy("__chunk").applyInArrow(pack, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
