@@ -63,15 +63,25 @@ def ordered_id() -> Column:
 
 
 def without_marked(docs: DataFrame, marks: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """The rows of docs but those marked: marks has first (an ordered_id), digest and gone.
+    """The rows of docs but those marked: marks has first (an ordered_id), digest, gone and times, a row for each first and digest.
 
-    Of rows with a mark that isn't gone one stays of each first and digest. Ids are joined first, so that digests are
-    taken only of the texts under a marked id; texts are shuffled only if the marks are too many to broadcast.
+    Of rows with a mark that isn't gone one stays of each first and digest; times counts them. Marks are never gathered by
+    id, so many rows may share one or have none. A few marks are broadcast, and digests are taken only of the texts under a
+    marked id. Of more, those of the most rows are broadcast, at most BROADCAST_ROWS; the others are shuffled with docs.
     """
-    marked = cut(marks.groupBy("first").agg(F.collect_list(F.struct("digest", "gone")).alias("__marks")))
+    keys = ["first", "digest"]
+    marks = cut(marks.select(*keys, "gone", "times"))
+    n, marked_rows = marks.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0))).first()
     rows = docs.select(F.struct("*").alias("__row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), ordered_id().alias("first"))
-    rows = rows.join(bounded(marked), "first", "left").withColumn("digest", F.when(F.col("__marks").isNotNull(), digest(F.col("text"))))
-    rows = rows.withColumn("gone", F.expr("get(filter(__marks, m -> m.digest = digest), 0).gone"))
+    if n <= BROADCAST_ROWS:
+        ids = F.broadcast(marks.select("first", F.lit(True).alias("marked")).distinct())
+        rows = rows.join(ids, "first", "left").select("__row", "first", F.when(F.col("marked"), digest(F.col("text"))).alias("digest"))
+        rows = rows.join(F.broadcast(marks), keys, "left")
+    else:
+        rows = rows.select("__row", "first", digest(F.col("text")).alias("digest"))
+        many = F.col("times") * BROADCAST_ROWS > marked_rows
+        often = F.broadcast(marks.where(many))
+        rows = rows.join(often, keys).unionByName(rows.join(often, keys, "left_anti").join(marks.where(~many).hint("shuffle_hash"), keys, "left"))
     repeated = rows.where("not gone").dropDuplicates(["digest", "first"]).select("__row.*")
     return rows.where("gone is null").select("__row.*").unionByName(repeated)
 

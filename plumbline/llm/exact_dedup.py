@@ -111,7 +111,7 @@ def deduplicated(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
     light = known.join(F.broadcast(winners), "digest", "left_anti")
     several = light.groupBy("digest").agg(F.min("first").alias("keep"), F.sum("times").alias("n")).where("n > 1").select("digest", "keep")
     marks = heavy.unionByName(light.join(several, "digest")).withColumn("gone", F.col("first") != F.col("keep"))
-    return without_marked(docs, marks.where("gone or times > 1").select("digest", "first", "gone"), digest)
+    return without_marked(docs, marks.where("gone or times > 1").select("digest", "first", "gone", "times"), digest)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

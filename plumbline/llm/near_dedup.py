@@ -383,5 +383,5 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     rows, nodes = classes(docs, **options)
     known = rows.groupBy("digest", "first").agg(F.count("*").alias("times"))
     verdict = known.join(nodes.select("digest", "class_first"), "digest").withColumn("gone", F.col("first") != F.col("class_first"))
-    marks = verdict.where("gone or times > 1").select("digest", "first", "gone")
+    marks = verdict.where("gone or times > 1").select("digest", "first", "gone", "times")
     return without_marked(docs, marks, text_digest)
