@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -35,17 +37,40 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder, and go on from the written rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def cut(df: DataFrame, *replaces: DataFrame | None) -> DataFrame:
+    """Compute df once into a table in the shared folder, and go on from the written rows.
+
+    replaces are earlier results of cut that nothing reads once df is written; their tables are deleted then.
+    """
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[written] = path
+    forget(*replaces)
+    return written
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Delete the tables of results of cut that nothing reads any more."""
+    for frame in frames:
+        if frame is not None and frame in _folders:
+            delete(frame.sparkSession, _folders.pop(frame))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the shared folder, by the file system of its path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: Rows up to which a side whose size was counted is broadcast; beyond it the join shuffles.
@@ -57,6 +82,20 @@ def bounded(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side.hint("shuffle_hash")
 
 
+def by_size(rows: DataFrame, side: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """The inner join of rows with side, which has distinct keys and in size at least how many of rows each key meets.
+
+    Keys of more than one row in BROADCAST_ROWS, at most so many, are broadcast, so that no task gets all rows of a hot key;
+    those of the others meet by a shuffle. side is read several times.
+    """
+    n, total = side.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), keys)
+    often = F.col(size) * BROADCAST_ROWS > total
+    hot = F.broadcast(side.where(often))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(side.where(~often).hint("shuffle_hash"), keys))
+
+
 def ordered_id() -> Column:
     """What orders the rows of a group: doc_id, null last."""
     return F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"))

@@ -1,10 +1,8 @@
 """Near-dedup: consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-A text's elements are its five-word shingles, weighing times * idf. idf is 1 + SPREAD *
-ln(N / df) / ln(N / floor) for a shingle in df of N documents, and 1 + SPREAD for those below
-the floor, which is a 2 / COUNTERS share of all documents' shingles. Candidates for those above
-come from a Misra-Gries summary of COUNTERS counters per task and are then counted exactly, so
-the table is the same for every partitioning, covers all documents and has at most COUNTERS rows.
+A text's elements are its five-word shingles, weighing times * idf, with the exact document
+frequencies of `bags`; texts that share too little of their weight with all others to be similar
+to any have no bag and stay apart.
 
 Improved consistent weighted sampling draws BANDS * ROWS samples of each text; texts that agree
 in the samples of a band meet in a bucket. Equal texts are one node throughout.
@@ -17,7 +15,7 @@ pair of the bucket was compared, lies in one component, or can't be similar enou
 is known from bounds: no intersection holds a shingle that no other text of an open bucket has,
 nor more of a run of the centre's shingles than both texts kept of it. So no candidate pair
 that could join two components is dropped, none within a component is emitted, and no bucket
-is collected. Every link is verified on the whole texts.
+is collected. Every link is verified on the bags of whole texts.
 
 Texts without words have no links; they stay apart, also from each other. Null texts count as
 empty. Of a class the smallest doc_id stays (null last), of rows that repeat id and text one.
@@ -25,36 +23,30 @@ empty. Of a class the smallest doc_id stays (null last), of rows that repeat id
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import WORD, blocks, bounded, cut, ordered_id, read, release, small_batches, without_marked
+from plumbline.llm.bags import BAG, RUNS, SLACK, bag, bags, similarity
+from plumbline.llm.common import WORD, bounded, by_size, cut, forget, ordered_id, read, release, small_batches, without_marked
 from plumbline.llm.components import components
-from plumbline.llm.exact_dedup import CHANGED_RUN
-from plumbline.llm.shingles import HASH_BITS, mix, shingles, windows
+from plumbline.llm.exact_dedup import CHANGED_RUN, heavy_winners
+from plumbline.llm.shingles import HASH_BITS, mix
 
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
-COUNTERS = 1 << 14
-SPREAD = 0.25
-#: Texts of this size in all are broadcast to their pairs; beyond it the pairs are shuffled to them.
+#: Bags of this size in all are broadcast to their pairs; beyond it both are shuffled.
 BROADCAST_BYTES = 16 << 20
-#: What sums of weights may be off by; bounds leave that much room.
-SLACK = 1e-9
-#: Texts hashed together by a task: so many, and so many characters of them, at most (or one text).
-TOGETHER, MOST_CHARS = 256, 1 << 18
 #: How many times more nodes of a bucket are compared with its others in each further round.
 GROWTH = 1024
-#: Runs of a bucket's centre that bounds on similarity tell apart.
-RUNS = 32
+#: Parts in which the nodes of a bucket are ranked first.
+SALTS = 64
+
+_BAG = [field.split()[0] for field in BAG.split(", ")]
 
 
 def text_digest(text: Column) -> Column:
@@ -66,97 +58,6 @@ def _has_words(text: Column) -> Column:
     return F.coalesce(text.rlike(WORD), F.lit(False))
 
 
-def _blocks(batch: pa.RecordBatch, *columns: int) -> Iterator[pa.RecordBatch]:
-    return blocks(batch, columns, TOGETHER, MOST_CHARS)
-
-
-def _strings(part: pa.RecordBatch, column: int) -> list[str]:
-    return [t or "" for t in part.column(column).to_pylist()]
-
-
-def merge_heavy(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sums counts of equal hashes and lowers all by the (k + 1)-th largest; what stays above zero, at most k, and the decrement."""
-    if not len(hashes):
-        return hashes, counts, 0
-    order = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[order], counts[order]
-    starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-    hashes, counts = hashes[starts], np.add.reduceat(counts, starts)
-    if len(counts) <= k:
-        return hashes, counts, 0
-    least = int(np.partition(counts, len(counts) - k - 1)[len(counts) - k - 1])
-    return hashes[counts > least], counts[counts > least] - least, least
-
-
-def summary(parts: Iterator[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes and counts, each too low by at most total / (k + 1), and total, the number of values in parts.
-
-    The counters are lowered as Misra and Gries do; those that the bound still allows to miss are left out.
-    """
-    kept, counts, wait, waiting, total, lowered = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, 0, 0
-    for hashes in chain(parts, [None]):
-        if hashes is not None:
-            wait.append(hashes)
-            waiting += len(hashes)
-            total += len(hashes)
-        if waiting and (hashes is None or waiting > 8 * k):
-            kept, counts, least = merge_heavy(np.concatenate((kept, *wait)), np.concatenate((counts, np.ones(waiting, np.int64))), k)
-            lowered += least
-            wait, waiting = [], 0
-    enough = counts > total // (k + 1) - lowered
-    return kept[enough], counts[enough], total
-
-
-def heavy_weights(docs: DataFrame, k: int = COUNTERS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles above the floor, and their idf. docs has a column text.
-
-    Summed over tasks, counts are too low by at most total / (k + 1). So all shingles in more than
-    2 * total / (k + 1) documents, the floor, still count more than total / (k + 1), as at most k can.
-    """
-    rows = docs.select("text")
-
-    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            for part in _blocks(batch, 0):
-                yield shingles(_strings(part, 0))[1]
-
-    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, counts, total = summary(batches_of(batches), k)
-        # One row more, of no shingle, carries the total.
-        yield pa.RecordBatch.from_pydict({"hash": np.append(kept.astype(np.int64), -1), "n": np.append(counts, total)})
-
-    summed = cut(rows.mapInArrow(summarise, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
-    total = summed.where("hash = -1").agg(F.sum("n")).first()[0] or 0
-    top = summed.where((F.col("hash") != -1) & (F.col("n") > total // (k + 1))).toPandas()
-    candidates = np.sort(top["hash"].to_numpy(np.int64)).astype(np.uint64)
-    n_docs, floor = docs.count(), max(1.0, 2 * total / (k + 1))
-    if not len(candidates) or n_docs <= floor:
-        return np.zeros(0, np.uint64), np.zeros(0)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(len(candidates), np.int64)
-        for hashes in batches_of(batches):
-            at = np.minimum(np.searchsorted(candidates, hashes), len(candidates) - 1)
-            found += np.bincount(at[candidates[at] == hashes], minlength=len(candidates))
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_pydict({"hash": candidates[some].astype(np.int64), "n": found[some]})
-
-    exact = rows.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") > floor).toPandas().sort_values("hash")
-    idf = 1 + SPREAD * np.log(n_docs / exact["n"].to_numpy(np.float64)) / math.log(n_docs / floor)
-    return exact["hash"].to_numpy(np.uint64), np.maximum(idf, 1.0)
-
-
-def weights(hashes: np.ndarray, times: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """times * idf of shingles."""
-    idf = np.full(len(hashes), 1 + SPREAD)
-    keys, values = heavy
-    if len(keys) and len(hashes):
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        same = keys[at] == hashes
-        idf[same] = values[at[same]]
-    return times * idf
-
-
 def samples(hashes: np.ndarray, weight: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """Improved consistent weighted samples: a row of n 64-bit values for each run of elements that begins at starts.
 
@@ -186,114 +87,102 @@ def samples(hashes: np.ndarray, weight: np.ndarray, starts: np.ndarray, n: int)
     return out
 
 
-def signed(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """first, digest and buckets (one hash for each band) of the rows of docs that have words."""
+def signer(bands: int, rows: int):
+    """The signature of texts from their shingles: one hash for each band."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _blocks(batch, 2):
-                of, hashes, times = shingles(_strings(part, 2))
-                starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
-                drawn = samples(hashes, weights(hashes, times, heavy), starts, bands * rows).reshape(-1, bands, rows) if len(of) else np.zeros((0, bands, rows), np.uint64)
-                buckets = np.zeros((len(starts), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
-                for k in range(rows):
-                    buckets = mix(buckets * np.uint64(0xD6E8FEB86659FD93) + drawn[:, :, k])
-                keep = pa.array(of[starts])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(keep), part.column(1).take(keep), pa.ListArray.from_arrays(np.arange(0, len(starts) * bands + 1, bands, dtype=np.int32), pa.array(buckets.reshape(-1).view(np.int64)))],
-                    names=["first", "digest", "buckets"],
-                )
-        pa.default_memory_pool().release_unused()
-
-    worded = docs.where(_has_words(F.col("text")))
-    rows_in = worded.select(ordered_id().alias("first"), text_digest(F.col("text")).alias("digest"), F.col("text").alias("text"))
-    return rows_in.mapInArrow(sign, rows_in.drop("text").schema.add("buckets", ArrayType(LongType())))
-
-
-def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two sorted (hashes, weights)."""
-    _, a, b = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
-    shared = np.minimum(one[1][a], two[1][b]).sum()
-    return float(shared / (one[1].sum() + two[1].sum() - shared))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (u, v) whose texts are similar enough. texts has node and text."""
-    left = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-    both = left.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
+    def sign(hashes: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        drawn = samples(hashes, weight, starts, bands * rows).reshape(-1, bands, rows)
+        buckets = np.zeros((len(starts), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+        for k in range(rows):
+            buckets = mix(buckets * np.uint64(0xD6E8FEB86659FD93) + drawn[:, :, k])
+        return buckets
+
+    return sign
+
+
+def _of(found: DataFrame, name: str, suffix: str = "") -> DataFrame:
+    """The bags, with their node as name and suffix on the other columns."""
+    return found.select(F.col("node").alias(name), *[F.col(c).alias(c + suffix) for c in _BAG])
+
+
+class _Decoded:
+    """Bags of a batch, each decoded once."""
+
+    def __init__(self, n_docs: int) -> None:
+        self.n_docs, self.known = n_docs, {}
+
+    def __call__(self, node: bytes, row: dict, suffix: str = "") -> tuple[np.ndarray, np.ndarray]:
+        if node not in self.known:
+            self.known[node] = bag({c: row[c + suffix] for c in ("shingles", "df", "times")}, self.n_docs)
+        return self.known[node]
+
+
+def verified(pairs: DataFrame, found: DataFrame, n_docs: int, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (u, v) whose texts are similar enough. found has node and its bag."""
+    both = pairs.join(_of(found, "u", "_u"), "u").join(_of(found, "v", "_v"), "v")
+    columns = [c + s for s in ("_u", "_v") for c in ("shingles", "df", "times", "weight")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _blocks(batch, 2, 3):
-                n = part.num_rows
-                names = [*part.column(0).to_pylist(), *part.column(1).to_pylist()]
-                place = {name: i for i, name in enumerate(dict.fromkeys(names))}
-                texts_in = dict(zip(names, [*part.column(2).to_pylist(), *part.column(3).to_pylist()], strict=True))
-                of, hashes, times = shingles([texts_in[name] or "" for name in place])
-                weight = weights(hashes, times, heavy)
-                edges = np.searchsorted(of, np.arange(len(place) + 1))
-                bag = lambda name: slice(edges[place[name]], edges[place[name] + 1])  # noqa: E731, B023
-                bags = [(hashes[s], weight[s]) for s in map(bag, names)]
-                keep = pa.array([similarity(bags[i], bags[n + i]) >= threshold for i in range(n)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(keep)
-
-    return both.mapInArrow(compare, "u binary, v binary")
+            decoded, keep = _Decoded(n_docs), []
+            for row in batch.to_pylist():
+                keep.append(similarity(decoded(row["u"], row, "_u"), decoded(row["v"], row, "_v"), row["weight_u"], row["weight_v"]) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", *columns).mapInArrow(compare, "u binary, v binary")
 
 
 def _open(rooted: DataFrame) -> DataFrame:
     """The rows (bucket, node, root ...) of buckets with several roots, and the most frequent root as largest."""
     parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    several = parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    return cut(rooted.drop("largest").join(several.select("bucket", "largest"), "bucket"))
+    several = parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    several = cut(several.where("parts > 1").select("bucket", "largest", "n"))
+    opened = cut(by_size(rooted.drop("largest"), several, ["bucket"], "n").drop("n"), rooted)
+    forget(several)
+    return opened
 
 
-def alone(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """node, weight (of all its shingles), own (of those that no other of texts has) and own_hashes; texts has node and text."""
+def alone(found: DataFrame, n_docs: int) -> DataFrame:
+    """node, weight (of all its shingles), own (of those that no other of found has) and own_hashes; found has node and its bag."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _blocks(batch, 1):
-                of, hashes, times = shingles(_strings(part, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.astype(np.int64)), part.column(0).take(pa.array(of)), pa.array(weights(hashes, times, heavy))], names=["hash", "node", "weight"]
-                )
+            for row in batch.to_pylist():
+                hashes, weight = bag(row, n_docs)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array([row["node"]] * len(hashes), pa.binary()), pa.array(weight)], names=["hash", "node", "weight"])
 
-    rows = texts.select("node", "text").mapInArrow(spread, "hash long, node binary, weight double")
-    single = rows.groupBy("hash").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("weight").alias("weight")).where("n = 1")
-    own = single.groupBy("node").agg(F.sum("weight").alias("own"), F.collect_list("hash").alias("own_hashes"))
-    total = rows.groupBy("node").agg(F.sum("weight").alias("weight"))
-    return total.join(own, "node", "left").select("node", "weight", F.coalesce("own", F.lit(0.0)).alias("own"), "own_hashes")
+    rows = found.select("node", "shingles", "df", "times").mapInArrow(spread, "hash long, node binary, weight double")
+    shared = F.col("n") > 1
+    held = rows.groupBy("hash").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("weight").alias("weight"))
+    own = held.where(~shared).groupBy("node").agg(F.sum("weight").alias("mine"), F.collect_list("hash").alias("own_hashes"))
+    bagged = rows.groupBy("node").agg(F.sum("weight").alias("bagged"))
+    total = found.select("node", "weight").join(bagged, "node").join(own, "node", "left")
+    return total.select("node", "weight", (F.col("weight") - F.col("bagged") + F.coalesce("mine", F.lit(0.0))).alias("own"), "own_hashes")
 
 
-def against(pairs: DataFrame, texts: DataFrame, singles: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def against(pairs: DataFrame, found: DataFrame, singles: DataFrame, n_docs: int) -> DataFrame:
     """node, centre, weight, kept and rest for pairs (node, centre): what of a node others can share, by where it stands.
 
     kept is the weight that node and centre have in common in each of RUNS runs of the centre's shingles, and rest the
     node's weight beyond; shingles of the node alone count in neither.
     """
-    left = pairs.join(texts.select("node", "text"), "node").join(singles.select("node", "weight", "own_hashes"), "node")
-    both = left.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("text_c")), "centre").select("node", "centre", "weight", "own_hashes", "text", "text_c")
+    left = pairs.join(_of(found, "node").drop("weight", "runs"), "node").join(singles.select("node", "weight", "own_hashes"), "node")
+    both = left.join(_of(found, "centre", "_c"), "centre").select("node", "centre", "weight", "own_hashes", *[c + s for s in ("", "_c") for c in ("shingles", "df", "times")], "runs_c")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _blocks(batch, 4, 5):
-                n, kept, rest = part.num_rows, [], []
-                of, hashes, times = shingles([*_strings(part, 4), *_strings(part, 5)])
-                weight, edges = weights(hashes, times, heavy), np.searchsorted(of, np.arange(2 * n + 1))
-                at, ordered = windows(_strings(part, 5))
-                for i, own in enumerate(part.column(3).to_pylist()):
-                    node, centre = slice(edges[i], edges[i + 1]), slice(edges[n + i], edges[n + i + 1])
-                    mine, shared = hashes[node], weight[node].copy()
-                    shared[np.isin(mine, np.array(own or [], np.int64).astype(np.uint64))] = 0.0
-                    first, place = np.unique(ordered[at == i], return_index=True)  # sorted as hashes are
-                    run = np.argsort(np.argsort(place)) * RUNS // max(1, len(first))
-                    _, a, b = np.intersect1d(mine, hashes[centre], assume_unique=True, return_indices=True)
-                    common = np.minimum(shared[a], weight[centre][b])
-                    kept.append(np.bincount(run[b], common, RUNS))
-                    rest.append(float(shared.sum() - common.sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(kept, pa.list_(pa.float64())), pa.array(rest, pa.float64())], names=["node", "centre", "weight", "kept", "rest"]
-                )
+            decoded, kept, rest = _Decoded(n_docs), [], []
+            for row in batch.to_pylist():
+                mine, weight = decoded(row["node"], row)
+                theirs, centre_weight = decoded(row["centre"], row, "_c")
+                shared = np.where(np.isin(mine, np.array(row["own_hashes"] or [], np.int64).astype(np.uint64)), 0.0, weight)
+                _, a, b = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
+                common = np.minimum(shared[a], centre_weight[b])
+                kept.append(np.bincount(np.frombuffer(row["runs_c"], np.uint8)[b], common, RUNS))
+                rest.append(float(shared.sum() - common.sum()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(kept, pa.list_(pa.float64())), pa.array(rest, pa.float64())], names=["node", "centre", "weight", "kept", "rest"]
+            )
 
     return both.mapInArrow(measure, "node binary, centre binary, weight double, kept array<double>, rest double")
 
@@ -306,72 +195,93 @@ def _possible(threshold: float) -> Column:
     return most * (1 + threshold - SLACK) >= (threshold - SLACK) * (F.col("weight") + F.col("weight_v"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """Two tables: rows (first, digest) of all rows with words, and nodes (digest, class_first, text_first).
-
-    class_first is the row that stays of a node's class, text_first the first of its own text.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    heavy = heavy_weights(docs)
-    signatures = cut(signed(docs, heavy, bands, rows))
-    nodes = signatures.groupBy("digest").agg(F.min("first").alias("text_first"), F.first("buckets").alias("buckets"))
-    held = nodes.select(F.col("digest").alias("node"), F.explode("buckets").alias("bucket"))
-    sizes = held.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    held = held.join(sizes, "bucket")
-    held = cut(held.join(held.groupBy("node").agg(F.sum("size").alias("fame")), "node").select("bucket", "node", "fame"))
-    needed = held.select("node").distinct().join(nodes.select(F.col("digest").alias("node"), F.col("text_first").alias("first")), "node")
-    needed = bounded(cut(needed))
-    texts = docs.where(_has_words(F.col("text"))).select(ordered_id().alias("first"), "text").join(needed, "first").where(text_digest(F.col("text")) == F.col("node"))
-    texts = cut(texts.select("node", "text").dropDuplicates(["node"]))
-    texts_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    compared_texts = F.broadcast(texts) if texts_bytes <= BROADCAST_BYTES else texts
-
-    centre = held.groupBy("bucket").agg(F.max_by("node", F.struct("fame", "node")).alias("v"))
-    pairs = held.join(centre, "bucket").select(F.col("node").alias("u"), "v").where("u <> v")
-    compared = links = roots = None
-    share = 1
-    used = centre.select("bucket", F.col("v").alias("node"))
+def _first_nodes(held: DataFrame, share: int) -> DataFrame:
+    """Of each bucket the share nodes outside its largest root with the most fame; ranked within SALTS parts of a bucket first."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    order = [F.desc("fame"), F.col("node")]
+    some = held.where("root <> largest").withColumn("nth", F.row_number().over(Window.partitionBy("bucket", salt).orderBy(*order))).where(F.col("nth") <= share)
+    return some.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("nth") <= share)
+
+
+def linked(found: DataFrame, n_docs: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of the nodes that are similar to another; found has node, its bag and the buckets of its signature."""
+    spark = found.sparkSession
+    held = found.select("node", F.explode("signature").alias("bucket"))
+    sizes = cut(held.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    met = cut(by_size(held, sizes, ["bucket"], "size"), sizes)
+    held = cut(met.join(met.groupBy("node").agg(F.sum("size").alias("fame")), "node").select("bucket", "node", "fame"), met)
+    found = cut(found.drop("signature").join(bounded(held.select("node").distinct()), "node"))
+    size = found.agg(F.sum(3 * F.octet_length("shingles"))).first()[0] or 0
+    compared_bags = F.broadcast(found) if size <= BROADCAST_BYTES else found
+
+    centre = cut(held.groupBy("bucket").agg(F.max_by("node", F.struct("fame", "node")).alias("v"), F.count("*").alias("n")))
+    pairs = by_size(held, centre, ["bucket"], "n").select(F.col("node").alias("u"), "v").where("u <> v")
+    links = roots = singles = bounds = None
+    compared: list[DataFrame] = []
+    share, used = 1, centre.select("bucket", F.col("v").alias("node"))
     while True:
-        ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        fresh = cut(ordered if compared is None else ordered.join(compared, ["u", "v"], "left_anti"))
-        found = verified(fresh, compared_texts, heavy, threshold)
-        compared = fresh if compared is None else compared.unionByName(fresh)
-        links = cut(found if links is None else links.unionByName(found))
-        roots = cut(components(links))
+        fresh = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        for earlier in compared:
+            fresh = fresh.join(earlier, ["u", "v"], "left_anti")
+        compared.append(fresh := cut(fresh))
+        passed = verified(fresh, compared_bags, n_docs, threshold)
+        links = cut(passed if links is None else links.unionByName(passed), links)
+        known, roots = roots, components(links)
+        forget(known)
         # What is left: nodes not yet compared with their whole bucket, where it holds several components.
-        held = held.join(used, ["bucket", "node"], "left_anti").drop("root", "largest")
-        held = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        held = _open(cut(held))
-        if share == 1:
-            singles = alone(texts.join(held.select("node").distinct(), "node"), heavy)
-            singles = cut(singles.where(F.col("weight") - F.col("own") >= (threshold - SLACK) * F.col("weight")))
-            held = held.join(singles.select("node"), "node").join(centre.select("bucket", F.col("v").alias("centre")), "bucket")
-            bounds = cut(against(held.select("node", "centre").distinct(), compared_texts, singles, heavy))
-            held = _open(cut(held.join(bounds, ["node", "centre"]).drop("centre")))
+        left = held.join(used, ["bucket", "node"], "left_anti").drop("root", "largest")
+        left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = cut(left, held)
+        held = _open(left)
+        if share == 1 and not held.isEmpty():
+            singles = cut(alone(found.join(held.select("node").distinct(), "node"), n_docs).where(F.col("weight") - F.col("own") >= (threshold - SLACK) * F.col("weight")))
+            near = cut(held.join(singles.select("node"), "node").join(centre.select("bucket", F.col("v").alias("centre")), "bucket"), held)
+            bounds = cut(against(near.select("node", "centre").distinct(), compared_bags, singles, n_docs), singles)
+            bounded_rows = cut(near.join(bounds, ["node", "centre"]).drop("centre"), near, bounds)
+            held = _open(bounded_rows)
+        forget(centre)
         if held.isEmpty():
             break
-        release(docs.sparkSession)
+        release(spark)
         share *= GROWTH
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("fame"), "node"))
-        centre = held.where("root <> largest").withColumn("nth", nth).where(F.col("nth") <= share)
-        centre = cut(centre.select("bucket", *[F.col(c).alias(n) for c, n in (("node", "v"), ("root", "root_v"), ("weight", "weight_v"), ("kept", "kept_v"), ("rest", "rest_v"))]))
+        centre = _first_nodes(held, share).select("bucket", *[F.col(c).alias(n) for c, n in (("node", "v"), ("root", "root_v"), ("weight", "weight_v"), ("kept", "kept_v"), ("rest", "rest_v"))])
+        centre = cut(centre)
         pairs = held.join(centre, "bucket").where((F.col("root") != F.col("root_v")) & _possible(threshold)).select(F.col("node").alias("u"), "v")
         used = centre.select("bucket", F.col("v").alias("node"))
+    forget(held, links, found, *compared)
+    return roots
 
-    joined = nodes.select("digest", "text_first").join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
-    joined = cut(joined.withColumn("root", F.coalesce("root", "digest")))
-    firsts = joined.groupBy("root").agg(F.min("text_first").alias("class_first"))
-    return signatures.select("first", "digest"), joined.join(firsts, "root").select("digest", "class_first", "text_first")
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """Two tables: rows (first, digest) of all rows with words, and nodes (digest, n, class_first, class_size).
+
+    n is the rows that carry the text, class_first the row that stays of its class, class_size the rows of that.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n_docs = docs.count()
+    worded = docs.where(_has_words(F.col("text"))).select(ordered_id().alias("first"), text_digest(F.col("text")).alias("digest"), "text")
+    known = cut(worded.select("first", "digest", F.length("text").alias("chars")))
+    heavy = {bytes(r["digest"]): r["group_size"] for r in heavy_winners(known).select("digest", "group_size").collect()}
+    chars = known.agg(F.sum("chars")).first()[0] or 0
+    found = cut(bags(worded.select("digest", "text"), n_docs, chars, heavy, signer(bands, rows), threshold).withColumnRenamed("digest", "node"))
+    release(docs.sparkSession)
+    roots = linked(found, n_docs, threshold)
+    forget(found)
+
+    nodes = cut(known.groupBy("digest").agg(F.min("first").alias("text_first"), F.count("*").alias("n")))
+    members = cut(nodes.join(bounded(roots.withColumnRenamed("node", "digest")), "digest"), roots)
+    firsts = cut(members.groupBy("root").agg(F.min("text_first").alias("class_first"), F.sum("n").alias("class_size"), F.count("*").alias("members")))
+    placed = cut(by_size(members.select("digest", "root"), firsts, ["root"], "members").select("digest", "class_first", "class_size"), members, firsts)
+    nodes = nodes.join(bounded(placed), "digest", "left").select("digest", "n", F.coalesce("class_first", "text_first").alias("class_first"), F.coalesce("class_size", "n").alias("class_size"))
+    return known.select("first", "digest"), nodes
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (doc_id of the row that stays), class_size (rows), kept; one row per document."""
     docs = read(spark, sf_dir, "documents")
     rows, nodes = classes(docs)
-    worded = rows.join(nodes, "digest").select("first", "class_first")
-    sizes = worded.groupBy("class_first").agg(F.count("*").alias("class_size"))
-    worded = worded.join(sizes, "class_first").select(
+    worded = by_size(rows, nodes, ["digest"], "n").select(
         F.col("first.doc_id").alias("doc_id"), F.col("class_first.doc_id").alias("class_id"), "class_size", (F.col("first") == F.col("class_first")).alias("kept")
     )
     empty = docs.where(~_has_words(F.col("text")))
@@ -382,6 +292,6 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with its columns: one of each class, and all without words."""
     rows, nodes = classes(docs, **options)
     known = rows.groupBy("digest", "first").agg(F.count("*").alias("times"))
-    verdict = known.join(nodes.select("digest", "class_first"), "digest").withColumn("gone", F.col("first") != F.col("class_first"))
+    verdict = by_size(known, nodes.select("digest", "n", "class_first"), ["digest"], "n").withColumn("gone", F.col("first") != F.col("class_first"))
     marks = verdict.where("gone or times > 1").select("digest", "first", "gone", "times")
     return without_marked(docs, marks, text_digest)

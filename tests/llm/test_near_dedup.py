@@ -1,22 +1,34 @@
+import math
+import os
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from plumbline.llm import bags, near_dedup
 from plumbline.llm import components as components_module
-from plumbline.llm import near_dedup
+from plumbline.llm.common import read
 from plumbline.llm.components import components
 from plumbline.llm.shingles import shingles
 
 
-def brute_classes(texts: dict, heavy=(np.zeros(0, np.uint64), np.zeros(0))) -> dict:
+def brute_bags(texts: dict) -> dict:
+    """(shingles, weights) of each text with words: times * (1 + ln(N / df)), df by one counter over all texts."""
+    found = {i: shingles([" ".join(re.findall(r"[^\x20\x09-\x0D]+", t.lower()))])[1:] for i, t in texts.items() if t and re.search(r"[^\x20\x09-\x0D]", t)}
+    df = Counter(h for hashes, _ in found.values() for h in hashes.tolist())
+    return {i: (hashes, times * np.array([1 + math.log(len(texts) / df[h]) for h in hashes.tolist()])) for i, (hashes, times) in found.items()}
+
+
+def alike(one: tuple, two: tuple) -> float:
+    return bags.similarity(one, two, one[1].sum(), two[1].sum())
+
+
+def brute_classes(texts: dict) -> dict:
     """Smallest id of the component of each text with words, every pair compared."""
-    norm = {i: " ".join(re.findall(r"[^\x20\x09-\x0D]+", t.lower())) for i, t in texts.items() if t}
-    ids = sorted(i for i in norm if norm[i])
-    bags = {}
-    for i in ids:
-        _, hashes, times = shingles([norm[i]])
-        bags[i] = hashes, near_dedup.weights(hashes, times, heavy)
+    found = brute_bags(texts)
+    ids = sorted(found)
     root = {i: i for i in ids}
 
     def find(i):
@@ -26,7 +38,7 @@ def brute_classes(texts: dict, heavy=(np.zeros(0, np.uint64), np.zeros(0))) -> d
 
     for n, i in enumerate(ids):
         for j in ids[:n]:
-            if norm[i] == norm[j] or near_dedup.similarity(bags[i], bags[j]) >= near_dedup.THRESHOLD:
+            if alike(found[i], found[j]) >= near_dedup.THRESHOLD:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
@@ -59,8 +71,7 @@ def test_classes_equal_brute_force(spark, tmp_path):
     texts = groups()
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: r for r in near_dedup.op2_near_dedup(spark, str(tmp_path)).collect()}
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    expected = brute_classes(texts, near_dedup.heavy_weights(docs.selectExpr("coalesce(text, '') as text")))
+    expected = brute_classes(texts)
     assert len(found) == len(texts)
     assert {i: found[i]["class_id"] for i in expected} == expected
     assert all(found[i]["class_id"] == i and found[i]["kept"] for i in texts if i not in expected)
@@ -76,7 +87,7 @@ def test_a_bucket_of_several_components_is_searched_to_the_end(spark, monkeypatc
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows, nodes = near_dedup.classes(docs, bands=30, rows=1)
     found = {r["first"]["doc_id"]: r["class_first"]["doc_id"] for r in rows.join(nodes, "digest").collect()}
-    assert found == brute_classes(texts, near_dedup.heavy_weights(docs.selectExpr("coalesce(text, '') as text")))
+    assert found == brute_classes(texts)
 
 
 def test_filter_keeps_one_row_of_each_class(spark):
@@ -93,30 +104,75 @@ def test_samples_agree_as_often_as_texts_are_similar():
     base = varied(400, 5)
     changed = list(base)
     changed[100:140] = [f"new{i}" for i in range(40)]
-    none = (np.zeros(0, np.uint64), np.zeros(0))
     of, hashes, times = shingles([" ".join(base), " ".join(changed)])
-    weight = near_dedup.weights(hashes, times, none) * (1 + hashes % np.uint64(3)).astype(float)
+    weight = times * (1 + hashes % np.uint64(3)).astype(float)
     starts = np.array([0, np.searchsorted(of, 1)])
     drawn = near_dedup.samples(hashes, weight, starts, 2000)
-    exact = near_dedup.similarity((hashes[: starts[1]], weight[: starts[1]]), (hashes[starts[1] :], weight[starts[1] :]))
+    exact = alike((hashes[: starts[1]], weight[: starts[1]]), (hashes[starts[1] :], weight[starts[1] :]))
     assert abs((drawn[0] == drawn[1]).mean() - exact) < 0.04
 
 
-@pytest.mark.parametrize("k", [1, 3, 50])
-def test_summaries_keep_the_bound(k):
-    rng = np.random.Generator(np.random.PCG64(k))
-    values = np.concatenate((rng.integers(0, 400, 3000), np.full(2500, 7))).astype(np.uint64)
-    rng.shuffle(values)
-    counts: dict[int, int] = {}
-    for task in np.array_split(values, 5):
-        kept, low, total = near_dedup.summary(iter(np.array_split(task, 9)), k)
-        assert len(kept) <= k and total == len(task)
-        for value, n in zip(kept.tolist(), low.tolist(), strict=True):
-            counts[value] = counts.get(value, 0) + n
-    for value in np.unique(values).tolist():
-        true = int((values == value).sum())
-        assert true - len(values) / (k + 1) <= counts.get(value, 0) <= true
-    assert near_dedup.summary(iter([]), k)[2] == 0
+@pytest.mark.parametrize(("block", "bucket"), [(1 << 20, 1 << 24), (500, 300)])
+def test_frequencies_are_those_of_one_counter(spark, monkeypatch, block, bucket):
+    """Every bag has the weights that a plain count gives, however texts and hashes are dealt, with a text of a third of all rows."""
+    monkeypatch.setattr(bags, "BLOCK_CHARS", block)
+    monkeypatch.setattr(bags, "BUCKET_CHARS", bucket)
+    texts = {i: t for i, t in groups().items() if t}
+    often = texts[0]
+    texts |= {1000 + i: often for i in range(50)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).select(near_dedup.text_digest(F.col("text")).alias("digest"), "text")
+    heavy = {bytes(rows.where(F.col("text") == often).first()["digest"]): sum(t.lower().split() == often.lower().split() for t in texts.values())}
+    found = bags.bags(rows, len(texts), sum(map(len, texts.values())), heavy, near_dedup.signer(2, 1), 0.0).collect()
+    by_text = {" ".join(t.lower().split()): b for t, b in ((texts[i], b) for i, b in brute_bags(texts).items())}
+    digests = {bytes(r["digest"]): " ".join(r["text"].lower().split()) for r in rows.collect()}
+    df = Counter(h for hashes, _ in by_text.values() for h in hashes.tolist())  # texts, not rows
+    assert len(found) == sum(any(df[h] > 1 for h in hashes.tolist()) for hashes, _ in by_text.values())
+    for row in found:
+        hashes, weight = by_text[digests[bytes(row["digest"])]]
+        shared = np.array([df[h] > 1 for h in hashes.tolist()], bool)
+        mine = bags.bag(row.asDict(), len(texts))
+        assert mine[0].tolist() == hashes[shared].tolist() and np.allclose(mine[1], weight[shared], rtol=1e-12)
+        assert math.isclose(row["weight"], weight.sum(), rel_tol=1e-9) and len(row["runs"]) == len(mine[0]) and len(row["signature"]) == 2
+
+
+def test_packed_numbers_come_back():
+    values = np.array([0, 1, 255, 256, (1 << 48) - 1, 123456789012], np.uint64)
+    assert bags.unpacked(bags.packed(values)).tolist() == values.tolist() and bags.unpacked(b"").tolist() == []
+
+
+def test_recall_on_a_driver_table(spark):
+    """All pairs of sf0.01 that share a shingle: 95 of 100 at the threshold lie in one class, and no class is larger than their component."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in read(spark, folder, "documents").collect()}
+    found, holders, common = brute_bags(texts), {}, Counter()
+    for i, (hashes, weight) in found.items():
+        for h, w in zip(hashes.tolist(), weight.tolist(), strict=True):
+            holders.setdefault(h, []).append((i, w))
+    for held in holders.values():
+        for n, (i, w) in enumerate(held):
+            for j, v in held[:n]:
+                common[i, j] += min(w, v)
+    total = {i: weight.sum() for i, (_, weight) in found.items()}
+    pairs = [p for p, c in common.items() if c >= near_dedup.THRESHOLD * (total[p[0]] + total[p[1]] - c)]
+    classes = {r["doc_id"]: r["class_id"] for r in near_dedup.op2_near_dedup(spark, folder).collect()}
+    assert len(classes) == len(texts) and len(pairs) > 50
+    assert sum(classes[i] == classes[j] for i, j in pairs) >= 0.95 * len(pairs)
+    root = {i: i for i in texts}
+    for i, j in sorted(pairs):
+        a, b = root[i], root[j]
+        root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert all(root[i] == root[c] for i, c in classes.items())
+
+
+def test_only_tables_that_the_result_reads_are_left(spark, tmp_path):
+    texts = groups()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    rows, nodes = near_dedup.classes(docs)
+    left = {n for n in os.listdir(folder) if n.startswith("cut-")} - before
+    read_by = {f.split("/cut-")[1].split("/")[0] for df in (rows, nodes) for f in df.inputFiles() if "/cut-" in f}
+    assert {n.removeprefix("cut-") for n in left} == read_by
 
 
 def test_shingles_of_few_and_many_words():
