@@ -7,10 +7,11 @@ sum(min(cap, L * weight)) = total, found from one sort of the sources by cap / w
 
 Each document of a source expects target / source size copies. The documents of a source are
 put in an order that does not depend on partitions: by stratum (whole square root of the
-size), then one of 256 salts from the md5 of the id, then size and id. The expected copies are
+size), then one of 256 salts from the md5 of the id (in `mixed`, of a hash of the whole row), then size and id. Rows that agree in
+all of these are interchangeable, so each task counts its own and only counts go on. The expected copies are
 prefix-summed over that order in two levels - counts of every (source, stratum, salt), then
-row numbers within each - so that no task holds more than one salt of one stratum, however
-large the source. One offset per source comes from an md5 of seed and source; a document is
+running counts within each - so that no task holds more than one salt of one stratum, however
+large the source and however many rows share an id or have none. One offset per source comes from an md5 of seed and source; a document is
 emitted once for every whole number its prefix sum crosses. Since the order is nearly by size,
 the words taken stay within about one large document of the target.
 
@@ -67,35 +68,46 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def copies(docs: DataFrame, size: Column, carry: list[Column], seed: str = SEED, **shares) -> DataFrame:
-    """carry of every row of docs, with size, source_size, target and copies.
+def counted(docs: DataFrame, size: Column, carry: list[Column], apart: Column | None = None, seed: str = SEED, **shares) -> DataFrame:
+    """carry, size, source_size and target of groups of n interchangeable rows of docs, with __before, __rate and __offset.
 
-    docs has doc_id and source; it is read twice: once for the totals of (source, stratum, salt), once
-    for the rows themselves.
+    docs has doc_id and source; salts come from apart, or else doc_id. docs is read twice: once for the totals of (source, stratum, salt), once
+    for the rows themselves. Row i of a group, from 1, takes as many copies as whole numbers lie in
+    (__before + i - 1, __before + i] times __rate, plus __offset.
     """
-    source, salt = F.coalesce(F.col("source"), F.lit("")), F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2)
+    carried = [f"__carry{i}" for i in range(len(carry))]
+    source = F.coalesce(F.col("source"), F.lit(""))
+    salt = F.substring(F.md5(F.coalesce((F.col("doc_id") if apart is None else apart).cast("string"), F.lit(""))), 1, 2)
     rows = docs.select(
         F.col("source").isNull().alias("__null"), source.alias("__source"), salt.alias("__salt"), F.col("doc_id").alias("__id"),
-        size.alias("size"), *[c.alias(f"__carry{i}") for i, c in enumerate(carry)],
+        size.alias("size"), *[c.alias(n) for c, n in zip(carry, carried, strict=True)],
     ).withColumn("__stratum", F.floor(F.sqrt(F.col("size").cast("double"))))
     cells = rows.groupBy(*_KEYS).agg(F.count("*").alias("__n"), F.sum("size").alias("__words"))
     sizes = cells.groupBy("__null", "__source").agg(F.sum("__words").alias("source_size"))
     before = Window.partitionBy("__null", "__source").orderBy("__stratum", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     starts = starts.join(targets(sizes, **shares), ["__null", "__source"]).select(*_KEYS, "__start", "source_size", "target")
-    nth = F.row_number().over(Window.partitionBy(*_KEYS).orderBy("size", "__id"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = _unit(F.concat(F.lit(f"{seed}:"), F.col("__source")))
-    return (
-        rows.withColumn("__nth", nth)
-        .join(starts, _KEYS)
-        .withColumn("__last", F.col("__start") + F.col("__nth"))
-        .select(
-            *[F.col(f"__carry{i}") for i in range(len(carry))],
-            "size", "source_size", "target",
-            (F.floor(F.col("__last") * rate + offset) - F.floor((F.col("__last") - 1) * rate + offset)).alias("copies"),
-        )
-    )
+    # A task's equal rows become one with their number; those of other tasks come beside it in the order.
+    grouped = rows.groupBy(*_KEYS, "size", "__id", *carried, F.spark_partition_id().alias("__task")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*_KEYS).orderBy("size", "__id", *carried, "__task"))
+    return grouped.withColumn("__within", upto - F.col("n")).join(starts, _KEYS).select(
+        *carried, "size", "n", "source_size", "target",
+        (F.col("__start") + F.col("__within")).alias("__before"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"),
+        _unit(F.concat(F.lit(f"{seed}:"), F.col("__source"))).alias("__offset"),
+    )
+
+
+def crossed(first: Column, last: Column) -> Column:
+    """Whole numbers that rows first + 1 to last of counted's order cross."""
+    return F.floor(last * F.col("__rate") + F.col("__offset")) - F.floor(first * F.col("__rate") + F.col("__offset"))
+
+
+def copies(docs: DataFrame, size: Column, carry: list[Column], **options) -> DataFrame:
+    """carry (as __carry0 ...) of every row of docs, with size, source_size, target and copies."""
+    groups = counted(docs, size, carry, **options)
+    each = groups.withColumn("__last", F.explode(F.sequence(F.col("__before") + 1, F.col("__before") + F.col("n"))))
+    return each.select(*[f"__carry{i}" for i in range(len(carry))], "size", "source_size", "target", crossed(F.col("__last") - 1, F.col("__last")).alias("copies"))
 
 
 def _identity(docs: DataFrame) -> Column:
@@ -107,14 +119,15 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, with the columns of docs.
 
     Only ids, sizes and hashes of rows are put in order; their copies are then joined to the rows, whose texts are
-    shuffled only if the copies are too many to broadcast, and never sorted. Of rows that repeat every column one
-    is emitted for all of them.
+    shuffled only if the copies are too many to broadcast, and never sorted. Of rows that repeat every column (columns that
+    hold maps, which Spark doesn't compare, do not count) one is emitted for all of them.
     """
     sized = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), _identity(docs).alias("row")))
-    counted = copies(sized, F.col("size"), [ordered_id(), F.col("row")], **options)
-    taken = counted.groupBy(F.col("__carry0").alias("id"), F.col("__carry1").alias("row")).agg(F.sum("copies").alias("copies"), F.count("*").alias("times"))
+    groups = counted(sized, F.col("size"), [ordered_id(), F.col("row")], apart=F.col("row"), **options)
+    of_group = crossed(F.col("__before"), F.col("__before") + F.col("n"))
+    taken = groups.groupBy(F.col("__carry0").alias("id"), F.col("__carry1").alias("row")).agg(F.sum(of_group).alias("copies"), F.sum("n").alias("times"))
     rows = docs.select(F.struct("*").alias("__row"), ordered_id().alias("id"), _identity(docs).alias("row"))
-    rows = rows.join(bounded(cut(taken.where("copies > 0"))), ["id", "row"])
+    rows = rows.join(bounded(cut(taken.where("copies > 0"), sized)), ["id", "row"])
     chosen = rows.where("times = 1").unionByName(rows.where("times > 1").dropDuplicates(["id", "row"]))
     return chosen.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__row.*")
 

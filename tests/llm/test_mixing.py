@@ -44,3 +44,22 @@ def test_mixed_keeps_columns_and_drops_what_is_not_taken(spark):
     mixed = mixing.mixed(docs)
     assert mixed.columns == docs.columns
     assert {r["copies"] for r in mixed.collect()} == {1} and mixed.count() in (3, 4)
+
+
+def test_rows_that_share_an_id_or_have_none_are_split(spark):
+    """Of 100,000 rows, two thirds without an id or with one id; no group of the windows holds many."""
+    docs = spark.range(100_000).selectExpr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 7 ELSE id END AS doc_id", "'s' AS source", "repeat('w ', 1 + cast(id % 500 AS int)) AS text", "id AS other")
+    size = mixing.words(docs["text"])
+    of_op = mixing.counted(docs, size, [docs["doc_id"]], share=1.0)
+    sized = docs.select("doc_id", "source", size.alias("size"), mixing._identity(docs).alias("row"))
+    of_rows = mixing.counted(sized, sized["size"], [sized["row"]], apart=sized["row"], share=1.0)
+    for groups in (of_op, of_rows):
+        assert groups.selectExpr("sum(n)").first()[0] == 100_000
+    # what one window holds: rows of one stratum and salt
+    window = mixing.F.substring(mixing.F.md5(mixing.F.coalesce(mixing.F.col("__carry0").cast("string"), mixing.F.lit(""))), 1, 2)
+    most = of_rows.groupBy(mixing.F.floor(mixing.F.sqrt("size")).alias("s"), window.alias("w")).count().agg({"count": "max"}).first()[0]
+    assert most < 200
+    same = of_op.where("__carry0 is null").groupBy(mixing.F.floor(mixing.F.sqrt("size")).alias("s")).count().agg({"count": "max"}).first()[0]
+    assert same < 500
+    taken = mixing.copies(docs, size, [docs["doc_id"]], share=1.0).selectExpr("count(*)", "sum(size * copies)", "max(target)", "max(copies)").first()
+    assert taken[0] == 100_000 and abs(taken[1] - taken[2]) <= 500 and taken[3] == 1
