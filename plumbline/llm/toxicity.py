@@ -9,13 +9,18 @@ ids, an isotonic regression calibrates their output on another fifth, and the la
 (crc32 of the id as text divisible by 5) is never learned from. Labels, lang, source and
 doc_id are no inputs of a score.
 
-Fitting uses at most TRAIN_ROWS labelled rows, chosen by a hash of the id; they and the
-LEXICON_TERMS terms are all that is broadcast or collected. Scoring is a map over the
+Fitting uses about TRAIN_ROWS labelled ids at most, chosen by a hash of the id, with one text each (the
+least, where an id repeats). They bound what is collected: every term that passes the test is kept, and
+terms come from those texts alone. Scoring is a map over the
 documents: no shuffle.
 
 Null and empty texts have all features 0 and get the score of that. Without both a toxic and a
 clean training row, every score is the training rate (0 without any). Of labels that repeat an
-id the largest counts; null labels don't.
+id the largest counts; null labels don't, nor labels without an id. A null doc_id is an empty text to the
+crc32, whose remainder is 0: held out.
+
+A score is the calibrated probability, but for TIE_SHARE of it: isotonic steps tie many documents, and that
+share of the trees' own probability puts those of one step in order.
 """
 
 from __future__ import annotations
@@ -33,14 +38,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from plumbline.llm.common import cut, read, small_batches
+from plumbline.llm.common import cut, forget, read, small_batches
 
 TRAIN_ROWS = 20_000
-LEXICON_TERMS = 2_000
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 TREES, DEPTH = 20, 4
-#: The raw probability decides between documents on one step of the calibration.
+#: The share of the uncalibrated probability in a score.
 TIE_SHARE = 0.01
 
 # Second-person words of the corpus languages, and letters that other signs stand for.
@@ -77,20 +81,22 @@ def terms_of(word: str) -> Iterator[str]:
 
 
 def fold() -> Column:
-    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS).cast("int")
+    """The remainder of crc32(doc_id as text) by FOLDS; a null doc_id is empty."""
+    return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("int")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, text, toxic, fold of at most about limit labelled documents outside the held-out fold."""
+    """doc_id, text, toxic, fold of at most about limit labelled ids outside the held-out fold, a row for each."""
     small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != HELD_OUT)
     share = min(1.0, limit / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).withColumn("fold", fold())
-    return cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return cut(texts.join(F.broadcast(chosen), "doc_id"))
 
 
-def learn_lexicon(rows: DataFrame, limit: int = LEXICON_TERMS) -> dict[str, float]:
-    """Log odds of the terms that toxic documents hold significantly more often than clean ones."""
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
+    """Log odds of all terms that toxic documents hold significantly more often than clean ones."""
     totals = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     n, toxic = totals["n"], totals["toxic"] or 0
     if not 0 < toxic < n:
@@ -111,8 +117,10 @@ def learn_lexicon(rows: DataFrame, limit: int = LEXICON_TERMS) -> dict[str, floa
     odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (n - toxic + 1))
     tested = cut(counted.where("toxic + clean >= 3"))
     least = 2 * math.log(max(2, tested.count())) + 2
-    found = tested.withColumns({"g": g, "odds": odds}).where((F.col("g") > least) & (F.col("odds") > math.log(4))).orderBy(F.desc("g"), "term").limit(limit)
-    return {r["term"]: r["odds"] for r in found.collect()}
+    found = tested.withColumns({"g": g, "odds": odds}).where((F.col("g") > least) & (F.col("odds") > math.log(4)))
+    lexicon = {r["term"]: r["odds"] for r in found.select("term", "odds").collect()}
+    forget(tested)
+    return lexicon
 
 
 class Features:
@@ -203,6 +211,7 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> ToxicityModel:
+    """A model of labels (doc_id, toxic) for docs (doc_id, text); what it could not learn from one class alone is None."""
     rows = training_rows(docs, labels, limit)
     learned = rows.where(F.col("fold") != CALIBRATION)
     totals = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
@@ -215,11 +224,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Toxicity
     vectors = cut(with_features(rows.select("toxic", "fold", "text"), lexicon).withColumn("toxic", F.col("toxic").cast("double")))
     trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=27, minInstancesPerNode=3, cacheNodeIds=False)
     model = trees.fit(vectors.where(F.col("fold") != CALIBRATION))
-    if not both(True):
-        return ToxicityModel(lexicon, rate, model)
-    isotonic = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="step")
-    held = ToxicityModel.raw(vectors.where(F.col("fold") == CALIBRATION), model).select("toxic", "raw")
-    return ToxicityModel(lexicon, rate, model, isotonic.fit(held))
+    calibration = None
+    if both(True):
+        held = ToxicityModel.raw(vectors.where(F.col("fold") == CALIBRATION), model).select("toxic", "raw")
+        calibration = IsotonicRegression(labelCol="toxic", featuresCol="raw", predictionCol="step").fit(held)
+    forget(rows, vectors)
+    return ToxicityModel(lexicon, rate, model, calibration)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
+import re
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import toxicity
 
@@ -27,6 +30,51 @@ def test_scores_ignore_ids_and_odd_labels(spark, odd_dir):
     assert scores[1][0] == scores[2][0]  # empty and blank texts
 
 
+def test_labels_held_out_and_other_columns_are_not_learned(spark, tmp_path):
+    """Turning every held-out label, and lang and source of every document, leaves all scores as they are."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    held = toxicity.fold() == toxicity.HELD_OUT
+    folder = str(tmp_path)
+    docs.withColumn("lang", F.lit("x")).withColumn("source", F.col("doc_id").cast("string")).orderBy(F.desc("doc_id")).write.parquet(f"{folder}/documents.parquet")
+    labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int")).write.parquet(f"{folder}/labels.parquet")
+    one, two = ({r["doc_id"]: r["score"] for r in toxicity.op4_toxicity(spark, f).collect()} for f in ("/root/testdata/sf0.01", folder))
+    assert one.keys() == two.keys() and max(abs(one[i] - two[i]) for i in one) < 1e-9
+
+
+def test_null_ids_are_held_out_and_repeated_ids_are_one_training_row(spark, odd_dir):
+    rows = toxicity.op4_toxicity(spark, odd_dir).collect()
+    assert [r["held_out"] for r in rows if r["doc_id"] is None] and all(r["held_out"] is (zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(500)] + [(2, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sorted((r["doc_id"], r["text"]) for r in toxicity.training_rows(docs, labels).collect()) == [(1, "text 0"), (2, "x")]
+
+
+def plain_features(text: str, lexicon: dict[str, float]) -> list[float]:
+    """The features again, one definition a line, word by word."""
+    words = re.findall(r"[^\W_]+(?:[@$*'\-.][^\W_]+)*", text)
+    if not words:
+        return [0.0] * 13
+    clear = [toxicity.plain(w) for w in words]
+    second = [w in toxicity.SECOND_PERSON.split() for w in clear]
+    weight = [0.0 if s else max([lexicon.get("=" + w, 0.0)] + [lexicon.get(w[:k], 0.0) for k in range(1, len(w) + 1)]) for w, s in zip(clear, second, strict=True)]
+    hit = [w > 0 for w in weight]
+    apart = [abs(i - j) for i, h in enumerate(hit) if h for j, s in enumerate(second) if s]
+    n = len(words)
+    return [
+        sum(hit), sum(hit) / n, max(weight), sum(weight) / n, len({w for w, h in zip(words, hit, strict=True) if h}), sum(second) / n, 1 / (1 + min(apart)) if apart else 0.0,
+        sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ" for c in text) / len(text), text.count("!") / n, text.count("?") / n, sum(re.match(r"[^\w\s]", c) is not None for c in text) / len(text),
+        len(toxicity._OBFUSCATED.findall(text)) / n, len(toxicity._REPEATED.findall(text)) / n,
+    ]
+
+
+def test_features_equal_a_plain_version(spark, odd_dir):
+    lexicon = {"=idiot": 3.0, "the": 0.5, "=clown": 2.0, "pathe": 1.5, "los": 1.0}
+    for folder in (odd_dir, "/root/testdata/sf0.001"):
+        docs = spark.read.parquet(f"{folder}/documents.parquet").select("text")
+        rows = toxicity.with_features(docs.withColumn("kept", F.col("text")), lexicon).collect()
+        assert all(np.allclose(r["features"].toArray(), plain_features(r["kept"] or "", lexicon)) for r in rows) and rows
+
+
 def test_features():
     of = toxicity.Features({"=idiot": 3.0, "mor": 1.0})
     named = lambda text: dict(zip(toxicity.FEATURES, of(text), strict=True))
