@@ -1,17 +1,18 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph (a line with words) is described by the word pairs and triples it shares with the
-templates; a multinomial logistic regression over those sparse counts names a licence family or
+A paragraph is a run of lines that ends at a blank line or after a line that ends a sentence, so a
+hard-wrapped notice is one, and licences that stand line by line are several. It is described by the word
+pairs and triples it shares with the templates; a multinomial logistic regression over those sparse counts names a licence family or
 `unknown`. It learns from every window of MIN_WINDOW and more words of the templates, from
 decoys, and from the paragraphs of at most UNKNOWN_DOCS documents, leaving out those that hold
 half of a template. A second regression, on rows kept back, calibrates the margin between the
 best family and `unknown`; below even odds a paragraph is unknown. A prediction is confirmed
-if the paragraph and some template of the family share at least CONFIRMED of the triples of
-the shorter.
+if the paragraph and some template of the family share at least CONFIRMED of the triples (of two
+words: the pair) of the shorter.
 
 Everything is DataFrame functions and JVM models: a map over the documents without a shuffle.
 Paragraphs without a pair or triple of any template have no feature, so only the intercepts
-speak, which is `unknown` for all of them; they are dropped before scoring.
+speak, which is `unknown` for all of them; they are dropped before triples are made or anything is scored.
 
 Null and empty texts have no paragraphs and so no rows. Repeated rows are scanned each. Of
 documents only doc_id and text are read.
@@ -19,6 +20,7 @@ documents only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -37,6 +39,8 @@ CONFIRMED = 0.5
 # Notices and opening or telling sentences of common licences, by family.
 TEMPLATES = {
     "MIT": (
+        "MIT License",
+        "SPDX-License-Identifier: MIT",
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "This project is licensed under the terms of the MIT license.",
@@ -44,56 +48,82 @@ TEMPLATES = {
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
     "Apache-2.0": (
+        "Apache License 2.0",
+        "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "Released under the Apache License 2.0.",
     ),
     "GPL": (
+        "GNU General Public License",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License v2.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
     ),
     "LGPL": (
+        "GNU Lesser General Public License",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
         "Licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ),
     "AGPL": (
+        "GNU Affero General Public License",
+        "SPDX-License-Identifier: AGPL-3.0-only",
         "Licensed under the GNU Affero General Public License, version 3.",
         "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     ),
     "BSD": (
+        "BSD 3-Clause License",
+        "SPDX-License-Identifier: BSD-3-Clause",
         "Licensed under the BSD 3-Clause License.",
         "Released under the BSD license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     ),
     "MPL-2.0": (
+        "Mozilla Public License 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
     ),
     "ISC": (
+        "ISC License",
+        "SPDX-License-Identifier: ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Licensed under the ISC License.",
     ),
     "CC-BY": (
+        "Creative Commons Attribution 4.0",
+        "SPDX-License-Identifier: CC-BY-4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
     ),
     "CC-BY-SA": (
+        "Creative Commons Attribution-ShareAlike 4.0",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
     ),
     "CC-BY-NC": (
+        "Creative Commons Attribution-NonCommercial 4.0",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
     ),
     "CC0": (
+        "CC0 1.0 Universal",
+        "SPDX-License-Identifier: CC0-1.0",
         "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication.",
         "Released under CC0 1.0.",
     ),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "The Unlicense",
+        "SPDX-License-Identifier: Unlicense",
+    ),
     "proprietary": (
         "All rights reserved.",
         "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
@@ -115,21 +145,41 @@ DECOYS = (
 )
 
 
-def _words(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), 0)
+_WORDS = r"[a-z0-9]+(?:\.[0-9]+)*"
+#: A line after which a paragraph ends: without words, or at the end of a sentence.
+_ENDS = r"^[\x20\x09-\x0D]*$|[.!?:;\"')\]][\x20\x09-\x0D]*$"
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORDS), 0)
+
 
+def template_pairs() -> list[str]:
+    """The word pairs of all templates."""
+    listed = [re.findall(_WORDS, text.lower()) for texts in TEMPLATES.values() for text in texts]
+    return sorted({f"{a} {b}" for words in listed for a, b in zip(words, words[1:])})  # noqa: B905  one less
 
-def _grams(rows: DataFrame) -> DataFrame:
-    """rows (with words) plus triples and grams: pairs and triples."""
+
+def _grams(rows: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """rows (with words) plus triples and grams: pairs and triples; of rows that hold a pair of only, if given."""
     pairs = NGram(n=2, inputCol="words", outputCol="__pairs").transform(rows)
+    if only is not None:
+        pairs = pairs.where(F.exists("__pairs", lambda pair: pair.isin(only)))
     both = NGram(n=3, inputCol="words", outputCol="triples").transform(pairs)
     return both.withColumn("grams", F.concat("__pairs", "triples")).drop("__pairs")
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line number from 0), words, triples and grams of lines with at least two words."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
-    return _grams(lines.select("doc_id", "paragraph", _words(F.col("line")).alias("words")).where(F.size("words") > 1))
+def paragraphs(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """doc_id, paragraph (number of its first line, from 0), words, triples and grams of paragraphs with at least two words."""
+    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | F.get("lines", i - 1).rlike(_ENDS))
+    begun = lines.withColumn("starts", starts)
+    whole = F.transform(
+        "starts",
+        lambda start, nth: F.struct(start.alias("paragraph"), F.array_join(F.slice("lines", start + 1, F.coalesce(F.get("starts", nth + 1), F.size("lines")) - start), " ").alias("text")),
+    )
+    each = begun.select("doc_id", F.explode(whole).alias("each")).select("doc_id", "each.paragraph", _words(F.col("each.text")).alias("words"))
+    return _grams(each.where(F.size("words") > 1), only)
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -139,8 +189,13 @@ def templates(spark: SparkSession) -> DataFrame:
     return _grams(frame.select("family", _words(F.col("text")).alias("words")))
 
 
+def _marks(grams: Column, triples: Column) -> Column:
+    """What texts are compared by: triples, or the pair of a text of two words."""
+    return F.when(F.size(triples) > 0, triples).otherwise(grams)
+
+
 def _shared(one: Column, two: Column) -> Column:
-    """Share of the shorter's triples that both have; texts of two words have none and share nothing."""
+    """Share of the shorter's marks that both have."""
     least = F.least(F.size(F.array_distinct(one)), F.size(F.array_distinct(two)))
     return F.when(least > 0, F.size(F.array_intersect(one, two)) / least).otherwise(F.lit(0.0))
 
@@ -153,9 +208,8 @@ class LicenseModel:
     calibration: LogisticRegressionModel
 
     def predicted(self, rows: DataFrame) -> DataFrame:
-        """rows (with grams) that share any n-gram with a template, plus family and probability (calibrated, of not unknown)."""
-        counted = self.counts.transform(rows).where(F.size(F.filter(vector_to_array("features"), lambda v: v > 0)) > 0)
-        return self._judged(counted)
+        """rows (with grams) plus family and probability (calibrated, of not unknown)."""
+        return self._judged(self.counts.transform(rows))
 
     def _judged(self, counted: DataFrame) -> DataFrame:
         judged = self.calibration.transform(margins(self.classifier, counted))
@@ -190,10 +244,12 @@ def fit(docs: DataFrame) -> LicenseModel:
     windows = spans.select("family", F.slice("words", F.col("start"), F.col("length")).alias("words"))
     decoys = spark.createDataFrame([(UNKNOWN, t) for t in DECOYS], "family string, text string").select("family", _words(F.col("text")).alias("words"))
     share = min(1.0, UNKNOWN_DOCS / max(1, docs.count()))
-    some = paragraphs(docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))))
-    texts = F.array(*[F.array(*map(F.lit, r["triples"])) for r in listed if r["triples"]])
-    every = F.array(*map(F.lit, sorted({t for r in listed for t in r["triples"]})))
-    holds = F.arrays_overlap(every, F.col("triples")) & F.exists(texts, lambda t: _shared(t, F.col("triples")) >= CONFIRMED)
+    chosen = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    some = paragraphs(chosen.dropDuplicates(["text"]))  # many rows may repeat one text
+    texts = F.array(*[F.array(*map(F.lit, r["triples"] or r["grams"])) for r in listed])
+    near = F.exists(F.col("grams"), lambda gram: gram.isin(vocabulary)) & F.exists(texts, lambda t: _shared(t, _marks(F.col("grams"), F.col("triples"))) >= CONFIRMED)
+    # a template of two words is compared by its pair, which triples don't hold
+    holds = near | F.exists(F.col("grams"), lambda gram: gram.isin([r["grams"][0] for r in listed if not r["triples"]]))
     some = some.where(~holds).select(F.lit(UNKNOWN).alias("family"), "words")
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     rows = _grams(windows.unionByName(decoys).unionByName(some)).withColumn("label", label)
@@ -209,9 +265,11 @@ def fit(docs: DataFrame) -> LicenseModel:
 def scanned(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     """doc_id, paragraph, family, probability, similarity, confirmed of every paragraph that the model gives a family."""
     model = model or fit(docs)
-    by_family = templates(docs.sparkSession).groupBy("family").agg(F.collect_list("triples").alias("__templates"))
-    found = model.predicted(paragraphs(docs)).where(F.col("family") != UNKNOWN).join(F.broadcast(by_family), "family")
-    similarity = F.array_max(F.transform("__templates", lambda t: _shared(t, F.col("triples"))))
+    by_family = templates(docs.sparkSession).groupBy("family").agg(F.collect_list("grams").alias("__templates"), F.collect_list("triples").alias("__triples"))
+    found = model.predicted(paragraphs(docs, template_pairs())).where(F.col("family") != UNKNOWN).join(F.broadcast(by_family), "family")
+    # where either has two words only, the pairs of both are compared
+    short = F.size("triples") == 0
+    similarity = F.array_max(F.transform("__templates", lambda t, i: F.when(short | (F.size(F.get("__triples", i)) == 0), _shared(t, F.col("grams"))).otherwise(_shared(F.get("__triples", i), F.col("triples")))))
     return found.withColumn("similarity", similarity).select(
         "doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= CONFIRMED).alias("confirmed")
     )
