@@ -1,15 +1,16 @@
 """Best-fit packing: fill a sequence greedily, then try two for one.
 
 Documents are tokenized once, an end token is added, and those over the capacity are cut into
-whole pieces and a rest. Pieces are dealt by hash to chunks of about CHUNK_DOCS documents, and
-each chunk is packed by itself: a sequence takes the largest pieces that fit its gap; while a
-gap is left, its smallest piece is replaced by the two unpacked pieces that together fill the
-gap it leaves best, if they fill more than it did. At most one sequence of a chunk is left
-underfull for want of pieces, so the loss is one sequence in some thousand.
+whole pieces and a rest. A whole piece is a sequence of its own and goes on at once. A task gathers
+rests into chunks of CHUNK_TOKENS tokens and packs each: a sequence takes the largest pieces that
+fit its gap; while a gap is left, its smallest piece is replaced by the two unpacked pieces that
+together fill the gap it leaves best, if they fill more than it did. The last sequence of a chunk
+is opened again for the next one, so a task leaves at most one underfull for want of pieces, of
+some thousand that a partition of 100 MB fills.
 
-A chunk has at most CHUNK_DOCS rests on average, whatever the input, so its memory is bounded;
-full pieces take a sequence of their own. Equal rows are separate documents, dealt to different
-chunks.
+Nothing is shuffled: packing is a map over the partitions of the documents. A task holds one chunk,
+whatever the number or length of documents, beside the text it encodes. Equal rows are separate
+documents.
 
 A null or empty text is the end token alone. Null ids are packed like others.
 """
@@ -18,23 +19,26 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from string import punctuation
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.llm.common import blocks, read, small_batches
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CHUNK_DOCS = 8192
+#: Tokens of the rests that are packed together.
+CHUNK_TOKENS = 1 << 22
 #: Texts encoded together by a task: so many, and so many characters of them, at most (or one text).
 TOGETHER, MOST_CHARS = 256, 1 << 20
 #: Lines of 256 words that go through the merges together.
@@ -42,6 +46,8 @@ LINES = 16
 #: Words whose ids a worker keeps before it forgets all but those in use: a bound on its memory only.
 KEPT_WORDS = 250_000
 
+#: Texts on which a tokenizer is tried when a worker loads it.
+PROBES = ("The Quick brown fox, it's 3.5 (don't)... <|endoftext|> x", "É à ß ﬁ İ 日本語 e\u0301\tab\nnew", "a,,b .. c.d ,e --- __init__ <b>&")
 #: Latin letters whose lower case and composed form don't depend on other letters.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
 #: Where signs stand together they make one word; a comma or stop by itself is a word of its own, wherever it stands.
@@ -83,6 +89,10 @@ class WordEncoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.most = KEPT_WORDS
+        # A file whose tokenizer normalises or splits otherwise must not give wrong ids silently.
+        for text in PROBES:
+            if self([text])[0] != np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes():
+                raise ValueError(f"words of {path} don't encode as they do in whole texts: {text!r}")
 
     def _latin(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words of Latin letters."""
@@ -135,37 +145,49 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", kept_words: int = KEPT_WORDS) -> DataFrame:
-    """doc_id, piece, start, length, ids (binary: little-endian unsigned 32-bit) of all documents, cut at capacity."""
-    small_batches(docs.sparkSession)
-    schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
+Batches = Iterator[pa.RecordBatch]
+
+
+def _pieces_schema(docs: DataFrame, ids: bool) -> StructType:
+    schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long")
+    return schema.add("ids", "binary") if ids else schema.add("ids_crc32", "long")
+
+
+def _cutter(tokenizer: str, capacity: int, end_id: int, ids: bool) -> Callable[[Batches], Batches]:
+    """From batches (doc_id, text) to batches of pieces, with their ids or, to hold less, only the CRC-32 of those."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_pieces(batches: Batches) -> Batches:
         path = tokenizer_path(tokenizer)
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         encoder = _encoders[path]
-        encoder.most = kept_words
         for batch in batches:
             for part in blocks(batch, [1], TOGETHER, MOST_CHARS):
-                rows, piece, start, length, ids = [], [], [], [], []
+                rows, piece, start, length, carried = [], [], [], [], []
                 for row, found in enumerate(encoder([t or "" for t in part.column(1).to_pylist()])):
                     found += end
                     for at in range(0, len(found), 4 * capacity):
+                        own = found[at : at + 4 * capacity]
                         rows.append(row)
                         piece.append(at // (4 * capacity))
                         start.append(at // 4)
-                        ids.append(found[at : at + 4 * capacity])
-                        length.append(len(ids[-1]) // 4)
+                        length.append(len(own) // 4)
+                        carried.append(own if ids else zlib.crc32(own))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "piece", "start", "length", "ids"],
+                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(carried, pa.binary() if ids else pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids" if ids else "ids_crc32"],
                 )
         encoder.forget()
         pa.default_memory_pool().release_unused()
 
-    return docs.select("doc_id", F.col(text).cast("string")).mapInArrow(cut_pieces, schema)
+    return cut_pieces
+
+
+def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """doc_id, piece, start, length, ids (binary: little-endian unsigned 32-bit) of all documents, cut at capacity."""
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_cutter(tokenizer, capacity, end_id, True), _pieces_schema(docs, True))
 
 
 def best_two_fit(lengths: list[int] | np.ndarray, capacity: int) -> list[list[int]]:
@@ -226,42 +248,63 @@ def best_two_fit(lengths: list[int] | np.ndarray, capacity: int) -> list[list[in
     return bins
 
 
-def packed(found: DataFrame, n_docs: int, capacity: int = CAPACITY, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
-    """found (doc_id, piece, start, length and any more columns) plus sequence_id and offset.
+def _packer(capacity: int, chunk_tokens: int) -> Callable[[Batches], Batches]:
+    """Adds sequence_id and offset to batches of pieces, which it emits in the order of sequences."""
+
+    def pack(batches: Batches) -> Batches:
+        made = TaskContext.get().partitionId() << 40
+        waiting: list[pa.RecordBatch] = []
+        tokens = 0
+
+        def placed(rows: pa.Table, bins: list[list[int]], lengths: np.ndarray) -> Batches:
+            nonlocal made
+            counts = np.array([len(b) for b in bins], np.int64)
+            order = np.array(list(chain.from_iterable(bins)), np.int64)
+            upto = np.cumsum(lengths[order]) - lengths[order]
+            offset = upto - np.repeat(upto[np.cumsum(counts) - counts], counts) if len(order) else upto
+            sequence = made + np.repeat(np.arange(len(bins)), counts)
+            made += len(bins)
+            yield from rows.take(pa.array(order)).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).to_batches(max_chunksize=1024)
+
+        def flush(last: bool) -> Batches:
+            nonlocal waiting, tokens
+            rows = pa.Table.from_batches(waiting)
+            lengths = rows.column("length").to_numpy()
+            bins = best_two_fit(lengths, capacity)
+            again = [] if last else bins.pop()
+            yield from placed(rows, bins, lengths)
+            waiting, tokens = rows.take(pa.array(again, pa.int64())).to_batches(), int(lengths[again].sum())
 
-    n_docs bounds the pieces shorter than capacity, and so sets the number of chunks.
-    """
-    chunks = max(1, -(-n_docs // chunk_docs))
-    others = [c for c in found.columns if c not in ("doc_id", "piece", "start", "length")]
-    # The number of a row deals equal rows to different chunks too, by eights: the copies that a mix
-    # emits side by side stay together, where they compress.
-    keyed = found.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "piece", "length", *others, F.shiftright(F.monotonically_increasing_id(), 3)), F.lit(chunks)))
-    schema = found.schema.add("sequence_id", "long").add("offset", "long")
-
-    def pack(rows: pa.Table) -> pa.Table:
-        # Columns are only added, so token ids are neither copied nor turned into objects. Equal rows are
-        # interchangeable, and so are pieces of one length.
-        order = pc.sort_indices(rows, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).to_numpy()
-        lengths = rows.column("length").to_numpy()[order]
-        sequence, offset = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        for number, positions in enumerate(best_two_fit(lengths, capacity)):
-            sequence[order[positions]] = number
-            offset[order[positions]] = np.cumsum(lengths[positions]) - lengths[positions]
-        first = rows.column("__chunk")[0].as_py() << 40
-        return rows.drop_columns("__chunk").append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset))
-
-    return keyed.groupBy("__chunk").applyInArrow(pack, schema)
-
-
-def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    """Packed pieces with their token ids: the rows of one sequence_id, in order of offset, are a training sequence.
-
-    With ids a chunk is larger than with digests, so chunks and the memory for words are smaller.
-    """
-    return packed(pieces(docs, tokenizer, capacity, kept_words=KEPT_WORDS // 5), docs.count(), capacity, CHUNK_DOCS // 2)
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            lengths = rows.column("length").to_numpy()
+            whole = np.flatnonzero(lengths == capacity)
+            yield from placed(rows, [[i] for i in whole.tolist()], lengths)
+            rests = np.flatnonzero(lengths < capacity)
+            if len(rests):
+                waiting += rows.take(pa.array(rests)).to_batches()
+                tokens += int(lengths[rests].sum())
+            if tokens >= chunk_tokens:
+                yield from flush(False)
+        if waiting:
+            yield from flush(True)
+
+    return pack
+
+
+def packed(found: DataFrame, capacity: int = CAPACITY, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """found (length, of at most capacity, and any more columns) plus sequence_id and offset."""
+    schema = StructType([*found.schema.fields]).add("sequence_id", "long").add("offset", "long")
+    return found.mapInArrow(_packer(capacity, chunk_tokens), schema)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = True, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Packed pieces with their token ids (or ids_crc32): the rows of one sequence_id, in order of offset, are a training sequence."""
+    small_batches(docs.sparkSession)
+    cutter, packer = _cutter(tokenizer, capacity, end_id, ids), _packer(capacity, chunk_tokens)
+    schema = _pieces_schema(docs, ids).add("sequence_id", "long").add("offset", "long")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lambda batches: packer(cutter(batches)), schema)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    found = pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packed(found, docs.count())
+    return pack_documents(read(spark, sf_dir, "documents"), ids=False)
