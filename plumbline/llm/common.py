@@ -82,18 +82,18 @@ def bounded(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side.hint("shuffle_hash")
 
 
-def by_size(rows: DataFrame, side: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """The inner join of rows with side, which has distinct keys and in size at least how many of rows each key meets.
+def by_size(rows: DataFrame, side: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """The inner or left join of rows with side, which has distinct keys and in size at least how many of rows each key meets.
 
     Keys of more than one row in BROADCAST_ROWS, at most so many, are broadcast, so that no task gets all rows of a hot key;
     those of the others meet by a shuffle. side is read several times.
     """
     n, total = side.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     if n <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(side), keys)
+        return rows.join(F.broadcast(side), keys, how)
     often = F.col(size) * BROADCAST_ROWS > total
     hot = F.broadcast(side.where(often))
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(side.where(~often).hint("shuffle_hash"), keys))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(side.where(~often).hint("shuffle_hash"), keys, how))
 
 
 def ordered_id() -> Column:

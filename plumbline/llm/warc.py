@@ -1,10 +1,11 @@
 """WARC archives with a two-level capture index.
 
-Writing: every page becomes a record, gzipped by itself, in one WARC file per task. Of records
-with equal payloads of at least MIN_REVISIT bytes the one with the smallest page_id is a
-response and the others are revisits without payload. Payloads that many pages share are found
-by the heavy-hitter split of `exact_dedup` and settled on the map side, so their copies are
-never shuffled; the rest meets by digest.
+Writing: every page becomes a record, gzipped by itself, in one WARC file per task, which opens
+with a warcinfo record. Of records with equal payloads of at least MIN_REVISIT bytes the one with
+the smallest page_id (of those, the smallest url digest) is a response and the others are revisits
+without payload. Digests are grouped, not pages: only those that several pages share are joined
+back to the pages, by broadcast while they are few (and always those that many pages share), so
+payloads stay in the task that scanned them.
 
 Indexing: captures are sorted by reversed host (`net,example,www)/path`) and page_id over range
 partitions. Each partition is one index shard: lines in gzipped blocks of BLOCK_LINES, and a
@@ -18,8 +19,8 @@ Files go to a folder under the shared checkpoint folder by pyarrow's file system
 s3, gs). A retried task writes files of another name; only those of the task that succeeded
 are in the index. Keys, shards and directories are bounded by the index, records by a page.
 
-A null html is an empty payload, a null url has the key `-`. Null page_ids come last. Rows
-that repeat both page_id and payload are of the same type, each with its own record.
+A null html is an empty payload, a null url has the key `-`. Null page_ids come last. Of rows
+that repeat page_id, url and payload one is the response, the others its revisits.
 """
 
 from __future__ import annotations
@@ -40,8 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, read, shared_dir, small_batches
-from plumbline.llm.exact_dedup import COUNTERS, heavy_winners
+from plumbline.llm.common import by_size, cut, read, shared_dir, small_batches
 
 MIN_REVISIT = 100
 BLOCK_LINES = 512
@@ -100,32 +100,38 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers | {f"http-{k}": v for k, v in named(http).items()}, payload
 
 
-def classified(pages: DataFrame, counters: int = COUNTERS) -> DataFrame:
+def warcinfo() -> bytes:
+    """The record that opens a file."""
+    fields = b"software: plumbline\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", f"Content-Length: {len(fields)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + fields + b"\r\n\r\n"
+
+
+def classified(pages: DataFrame) -> DataFrame:
     """page_id, url, size, digest, payload (null for revisits), refers_to, revisit."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select("page_id", "url", F.octet_length(html).cast("long").alias("size"), F.unhex(F.sha2(html, 256)).alias("digest"), html.alias("html"))
-    first = F.struct(F.col("page_id").isNull().alias("null_id"), F.col("page_id"))
-    seen = cut(rows.where(F.col("size") >= MIN_REVISIT).select("digest", first.alias("first")))
-    heavy = heavy_winners(seen, counters).select("digest", F.col("first").alias("heavy_first"))
-    shared = seen.join(F.broadcast(heavy), "digest", "left_anti").groupBy("digest").agg(F.min("first").alias("light_first"), F.count("*").alias("n")).where("n > 1")
-    copy = F.col("first") != F.col("heavy_first")
-    mapped = rows.withColumn("first", first).join(F.broadcast(heavy), "digest", "left").select(
-        "page_id", "url", "size", "digest", "first", "heavy_first",
-        F.when(~F.coalesce(copy, F.lit(False)), F.col("html")).alias("html"),
-        # settled rows get a key of their own, so that a shared payload is no hot key of the join
-        F.when(F.col("heavy_first").isNull() & (F.col("size") >= MIN_REVISIT), F.col("digest")).otherwise(
-            F.concat(F.lit("-").cast("binary"), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")).cast("binary"))
-        ).alias("__key"),
-    )
-    joined = mapped.join(shared.select(F.col("digest").alias("__key"), "light_first"), "__key", "left")
-    keeper = F.coalesce("heavy_first", "light_first")
-    revisit = F.coalesce(keeper != F.col("first"), F.lit(False))
-    return joined.select(
-        "page_id", "url", "size", "digest",
-        F.when(~revisit, F.col("html")).alias("payload"),
-        F.when(revisit, keeper["page_id"]).alias("refers_to"),
-        revisit.alias("revisit"),
-    )
+    own = F.struct(F.col("page_id").isNull().alias("null_id"), F.col("page_id"), F.unhex(F.sha2(F.coalesce(F.col("url"), F.lit("")), 256)).alias("url_digest"))
+    rows = pages.select("page_id", "url", F.octet_length(html).cast("long").alias("size"), F.unhex(F.sha2(html, 256)).alias("digest"), html.alias("html"), own.alias("own"))
+    seen = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest", "own").agg(F.count("*").alias("times"), F.first("url").alias("url"), F.first("size").alias("size"))
+    seen = cut(seen)
+    kept = F.min(F.struct("own", "times", "url", "size"))
+    shared = cut(seen.groupBy("digest").agg(F.sum("times").alias("n"), kept.alias("kept")).where("n > 1").select("digest", "n", F.col("kept.own").alias("keep"), (F.col("kept.times") > 1).alias("repeats"), "kept.times", "kept.url", "kept.size"), seen)
+    named = ["page_id", "url", "size", "digest", "payload", "refers_to", "revisit"]
+    joined = by_size(rows, shared.select("digest", "n", "keep", "repeats"), ["digest"], "n", "left")
+    revisit = F.coalesce(F.col("keep") != F.col("own"), F.lit(False))
+    settled = joined.withColumn("revisit", revisit).withColumn("repeated", F.coalesce(F.col("repeats") & ~F.col("revisit"), F.lit(False)))
+    out = settled.where("not repeated").select(
+        "page_id", "url", "size", "digest", F.when(~F.col("revisit"), F.col("html")).alias("payload"), F.when(F.col("revisit"), F.col("keep.page_id")).alias("refers_to"), "revisit"
+    )
+    again = shared.where("repeats")
+    if again.isEmpty():
+        return out
+    # Rows that repeat a response in everything: one is written with the payload, and as many revisits as there are others.
+    one = settled.where("repeated").dropDuplicates(["digest"]).select("page_id", "url", "size", "digest", F.col("html").alias("payload"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"), "revisit")
+    others = again.select(F.col("keep.page_id").alias("page_id"), "url", "size", "digest", F.explode(F.sequence(F.lit(2), F.col("times"))).alias("nth")).select(
+        "page_id", "url", "size", "digest", F.lit(None).cast("string").alias("payload"), F.col("page_id").alias("refers_to"), F.lit(True).alias("revisit")
+    )
+    return out.select(*named).unionByName(one.select(*named)).unionByName(others.select(*named))
 
 
 def write_records(rows: DataFrame, base: str) -> DataFrame:
@@ -139,7 +145,10 @@ def write_records(rows: DataFrame, base: str) -> DataFrame:
             captures: list[tuple] = []
             for page_id, url, size, digest, payload, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = gzip.compress(record(page_id, url, size, digest.hex(), (payload or "").encode(), refers_to, revisit), 6, mtime=0)
-                out = out or files.open_output_stream(f"{folder}/{name}", compression=None)
+                if out is None:
+                    out = files.open_output_stream(f"{folder}/{name}", compression=None)
+                    out.write(opening := gzip.compress(warcinfo(), 6, mtime=0))
+                    at = len(opening)
                 out.write(data)
                 captures.append((surt(url), page_id, name, at, len(data)))
                 at += len(data)
@@ -162,6 +171,7 @@ def _line_key(key: str, page_id: int | None) -> str:
 
 
 def line_key(key: Column, page_id: Column) -> Column:
+    """_line_key as a column."""
     shifted = F.lpad((page_id.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
     return F.concat(key, F.lit(" "), F.coalesce(shifted, F.lit("~")))
 
@@ -318,9 +328,10 @@ ORACLE_SQL = r"""
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
 ), f AS (
-  SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first,
+         payload_bytes >= 100 AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) > 1 AS again
+  FROM p
 )
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS DISTINCT FROM page_id AND payload_bytes >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first IS DISTINCT FROM page_id AND payload_bytes >= 100 THEN first END AS refers_to
-FROM p LEFT JOIN f USING (payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM f
 """

@@ -1,4 +1,6 @@
 import gzip
+import hashlib
+from collections import Counter
 from pathlib import Path
 
 from plumbline.llm import warc
@@ -35,4 +37,25 @@ def test_index_over_many_blocks_and_shards(spark, tmp_path, monkeypatch):
     assert list(reader.records("zz no such key")) == []
     # the files are gzip members that any WARC reader can walk through
     whole = b"".join(gzip.decompress(p.read_bytes()) for p in Path(f"{tmp_path}/archive").glob("*.warc.gz"))
-    assert whole.count(b"WARC/1.1\r\n") == 300
+    files = len(list(Path(f"{tmp_path}/archive").glob("*.warc.gz")))
+    assert whole.count(b"WARC/1.1\r\n") == 300 + files and whole.count(b"WARC-Type: warcinfo") == files
+
+
+def test_repeated_rows_have_one_response_and_payloads_stay_where_they_are(spark, tmp_path):
+    """A third of all rows are one page, a third share a payload and have no id, and one payload is too short to revisit."""
+    rows = [(5, "http://a/", "p" * 300)] * 40 + [(None, f"http://b/{i % 2}", "q" * 300) for i in range(40)] + [(i, f"http://c/{i}", "r" * (i % 7 * 30)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    archive, captures = warc.write_archive(pages, f"file://{tmp_path}/archive")
+    found = warc.lookup(archive, captures).collect()
+    kinds = Counter((r["page_id"], r["payload_digest"], r["record_type"]) for r in found)
+    digest = lambda c, n: hashlib.sha256((c * n).encode()).hexdigest()
+    assert len(found) == 120 and kinds[5, digest("p", 300), "response"] == 1 and kinds[5, digest("p", 300), "revisit"] == 39
+    assert kinds[None, digest("q", 300), "response"] == 1 and kinds[None, digest("q", 300), "revisit"] == 39
+    for n in range(7):
+        mine = [r for r in found if r["payload_digest"] == digest("r", 30 * n)]
+        firsts = {r["page_id"] for r in mine if r["record_type"] == "response"}
+        assert firsts == ({r["page_id"] for r in mine} if 30 * n < 100 else {min(r["page_id"] for r in mine)})
+        assert all(r["refers_to"] in firsts for r in mine if r["record_type"] == "revisit")
+    # rows that repeat nothing pass through no exchange
+    plain = warc.classified(spark.createDataFrame([(i, "u", "x" * 200 + str(i // 2)) for i in range(20)], "page_id long, url string, html string"))
+    assert "Exchange hashpartitioning" not in plain._jdf.queryExecution().executedPlan().toString()
