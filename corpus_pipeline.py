@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import exact_dedup, mixing, near_dedup, packing, quality
-from plumbline.llm.common import read, shared_dir
+from plumbline.llm.common import delete, read, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for documents. Stages are written to the shared checkpoint folder and read again."""
+    """The last stage's rows for documents. Stages are written to the shared checkpoint folder and read again; one that is read is deleted."""
     docs, base = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
             docs.write.parquet(f"{base}/{number}")
             docs = spark.read.parquet(f"{base}/{number}")
+            if number:
+                delete(spark, f"{base}/{number - 1}")
     return docs
