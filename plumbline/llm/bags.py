@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.shingles import HASH_BITS, shingles, windows
 
 #: Characters of a block's texts on average, and of all texts for a bucket of the hash space.
-BLOCK_CHARS, BUCKET_CHARS = 1 << 20, 1 << 24
+BLOCK_CHARS, BUCKET_CHARS = 1 << 20, 1 << 22
 #: Texts hashed together by a task: so many, and so many characters of them, at most (or one text).
 TOGETHER, MOST_CHARS = 256, 1 << 18
 #: What sums of weights may be off by; bounds leave that much room.
@@ -140,24 +140,30 @@ def frequencies(blocks: DataFrame, buckets: int) -> DataFrame:
         )
 
     def count(bucket: pa.Table) -> pa.Table:
-        hashes, documents, texts, source = [], [], [], []
-        for i, row in enumerate(bucket.select(["single", "counted", "documents", "texts"]).to_pylist()):
-            single, counted = unpacked(row["single"]), unpacked(row["counted"])
-            ones = np.ones(len(single), np.int64)
-            hashes += [single, counted]
-            documents += [ones, unpacked(row["documents"]).astype(np.int64)]
-            texts += [ones, unpacked(row["texts"]).astype(np.int64)]
-            source.append(np.full(len(single) + len(counted), i, np.int64))
-        hashed = np.concatenate(hashes)
+        hashes, documents, texts, sizes = [], [], [], []
+        for batch in bucket.select(["single", "counted", "documents", "texts"]).to_batches(max_chunksize=64):
+            for row in batch.to_pylist():
+                single, counted = unpacked(row["single"]), unpacked(row["counted"])
+                ones = np.ones(len(single), np.int32)
+                hashes += [single, counted]
+                documents += [ones, unpacked(row["documents"]).astype(np.int64)]
+                texts += [ones, unpacked(row["texts"]).astype(np.int32)]
+                sizes.append(len(single) + len(counted))
+        hashed, total, several = np.concatenate(hashes), np.concatenate(documents), np.concatenate(texts)
+        del hashes, documents, texts
         order = np.argsort(hashed)
-        hashed, source_of = hashed[order], np.concatenate(source)[order]
+        hashed, source_of = hashed[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
         fresh = np.flatnonzero(np.concatenate(([True], hashed[1:] != hashed[:-1])))
         held = np.diff(np.append(fresh, len(hashed)))
-        df = np.repeat(np.add.reduceat(np.concatenate(documents)[order], fresh), held)
-        shared = np.flatnonzero(np.repeat(np.add.reduceat(np.concatenate(texts)[order], fresh), held) > 1)
+        total, several = np.add.reduceat(total[order], fresh), np.add.reduceat(several[order], fresh)
+        del order
+        shared = np.flatnonzero(np.repeat(several > 1, held))
+        df = np.zeros(len(hashed), np.int64)
+        df[shared] = np.repeat(total, held)[shared]
         shared = shared[np.argsort(source_of[shared], kind="stable")]
         edges = np.searchsorted(source_of[shared], np.arange(bucket.num_rows + 1))
         some = np.flatnonzero(np.diff(edges)).tolist()
+        pa.default_memory_pool().release_unused()
         parts = [shared[edges[i] : edges[i + 1]] for i in some]
         return pa.table(
             [bucket.column("block").take(pa.array(some, pa.int64())), pa.array([packed(hashed[p]) for p in parts], pa.binary()), pa.array([packed(df[p]) for p in parts], pa.binary())],

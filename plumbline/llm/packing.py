@@ -38,7 +38,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Tokens of the rests that are packed together.
-CHUNK_TOKENS = 1 << 22
+CHUNK_TOKENS = 1 << 21
 #: Texts encoded together by a task: so many, and so many characters of them, at most (or one text).
 TOGETHER, MOST_CHARS = 256, 1 << 20
 #: Lines of 256 words that go through the merges together.
@@ -162,6 +162,8 @@ def _cutter(tokenizer: str, capacity: int, end_id: int, ids: bool) -> Callable[[
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         encoder = _encoders[path]
+        # Ids take memory of their own, so fewer words are kept beside them.
+        encoder.most = KEPT_WORDS // 5 if ids else KEPT_WORDS
         for batch in batches:
             for part in blocks(batch, [1], TOGETHER, MOST_CHARS):
                 rows, piece, start, length, carried = [], [], [], [], []
