@@ -6,7 +6,7 @@ import hashlib
 import itertools
 import json
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -99,10 +99,12 @@ def scores(predicted: DataFrame, classes: Sequence[str]) -> dict[str, float]:
 
 def cross_validate(
     rows: DataFrame, kind: str, grid: Mapping[str, Sequence], numeric: Sequence[str], categorical: Sequence[str], target: str, key: str,
-    seeds: Sequence[int] = (27, 32, 59), k: int = 3, done: DataFrame | None = None, parallel: int = 4,
+    seeds: Sequence[int] = (27, 32, 59), k: int = 3, done: DataFrame | None = None, parallel: int = 4, record: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """configuration_id, seed, fold and metrics of every combination that done lacks, and those of done.
 
+    record gets the rows of each fold when it ends (lifecycle.cross_validated appends them to a table, and resumes from it).
+
     Configurations of a fold share its prepared rows and are fitted from a few driver threads; each fit is a Spark job.
     """
     spark, classes = rows.sparkSession, prepare.classes_of(rows, target)
@@ -123,15 +125,19 @@ def cross_validate(
                 return (configuration_id(parameters), seed, fold, *[float(result[m]) for m in METRICS])
 
             with ThreadPoolExecutor(parallel) as threads:
-                found += threads.map(one, wanted)
+                ended = list(threads.map(one, wanted))
+            if record:
+                record(spark.createDataFrame(ended, RESULTS))
+            found += ended
             for part in parts:
                 part.unpersist()
         folded.unpersist()
-    new = spark.createDataFrame(found, ", ".join(["configuration_id string", "seed int", "fold int", *[f"{m} double" for m in METRICS]]))
+    new = spark.createDataFrame(found, RESULTS)
     return new if done is None else done.select(new.columns).unionByName(new)
 
 
 METRICS = ("accuracy", "precision", "recall", "macro_f1", "roc_auc", "pr_auc", "mcc", "balanced_accuracy")
+RESULTS = ", ".join(["configuration_id string", "seed int", "fold int", *[f"{m} double" for m in METRICS]])
 
 
 def select_best(folds: DataFrame, metric: str = "macro_f1") -> str:

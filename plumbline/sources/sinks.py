@@ -16,17 +16,18 @@ def write_table(rows: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def write_json(spark: SparkSession, value: Mapping, path: str) -> None:
-    """A JSON object with sorted keys, written aside and renamed, on any file system Spark knows."""
+    """A JSON object with sorted keys, written aside and renamed over an older one, on any file system Spark knows: readers see one or the other."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    aside = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = jvm.org.apache.hadoop.fs
+    target, aside = fs.Path(path), fs.Path(path + ".tmp")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = target.getFileSystem(conf)
     out = files.create(aside, True)
     out.write(bytearray(json.dumps(value, sort_keys=True, indent=2).encode()))
     out.close()
-    files.delete(target, False)
-    if not files.rename(aside, target):
-        raise OSError(f"{path} can't be written")
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(aside), files.makeQualified(target), options)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
