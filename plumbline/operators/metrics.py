@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,21 +69,42 @@ def _ranked(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scores.groupBy(*keys, "score").agg(F.sum(F.col("positive").cast("long")).alias("pos"), F.count("*").alias("n"))
 
 
+def _range(score: Column) -> Column:
+    """The number of a range of scores, in their order: 64 to a unit of log odds of a probability; what is none lies in the first or last."""
+    inside = F.floor(64 * F.log(score / (1 - score)))
+    return F.when(score.isNull() | (score <= 0), F.lit(-(1 << 20))).when(score < 1, inside).otherwise(F.lit(1 << 20)).cast("long")
+
+
+def _before(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """ranked (keys, score, pos, n) plus pos_below and n_below: the sums over all smaller scores of the keys.
+
+    Sums of ranges of scores are run up first, then the scores within each range, so no task holds all scores of a group.
+    """
+    each = ranked.withColumn("__range", _range(F.col("score")))
+    ranges = each.groupBy(*keys, "__range").agg(F.sum("pos").alias("__pos"), F.sum("n").alias("__n"))
+    upto = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(*keys, "__range", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c + "0") for c in ("__pos", "__n")])
+    inside = Window.partitionBy(*keys, "__range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = [(F.col(f"__{c}0") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_below") for c in ("pos", "n")]
+    return each.join(starts, [*keys, "__range"]).select(*keys, "score", "pos", "n", *below)
+
+
 def roc_auc(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, roc_auc from (keys, positive, score): rank sums with mean ranks for ties; NULL where a class is missing."""
-    order = Window.partitionBy(*keys).orderBy("score")
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = _ranked(scores, keys).withColumn("rank", before + (F.col("n") + 1) / F.lit(2.0))
+    """keys (not NULL), roc_auc from (keys, positive, score): rank sums with mean ranks for ties; NULL where a class is missing."""
+    ranked = _before(_ranked(scores, keys), keys).withColumn("rank", F.col("n_below") + (F.col("n") + 1) / F.lit(2.0))
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("__r"), F.sum("pos").alias("__p"), F.sum("n").alias("__n"))
     pos, neg = F.col("__p").cast("double"), (F.col("__n") - F.col("__p")).cast("double")
     return sums.select(*keys, F.try_divide(F.col("__r") - pos * (pos + 1) / F.lit(2.0), pos * neg).alias("roc_auc"))
 
 
 def average_precision(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, pr_auc: precision at each distinct score times the recall gained there."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    stepped = _ranked(scores, keys).withColumns({"__tp": F.sum("pos").over(order), "__n": F.sum("n").over(order)})
-    sums = stepped.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("__tp").cast("double") / F.col("__n")).alias("__a"), F.sum("pos").cast("double").alias("__p"))
+    """keys (not NULL), pr_auc: precision at each distinct score times the recall gained there."""
+    ranked = _ranked(scores, keys)
+    totals = ranked.groupBy(*keys).agg(F.sum("pos").alias("__p"), F.sum("n").alias("__all"))
+    below = _before(ranked, keys)
+    both = below.join(totals, list(keys)) if keys else below.withColumn("__1", F.lit(1)).join(totals.withColumn("__1", F.lit(1)), "__1")
+    tp, n = F.col("__p") - F.col("pos_below"), F.col("__all") - F.col("n_below")  # at this score and above
+    sums = both.groupBy(*keys).agg(F.sum(F.col("pos") * tp.cast("double") / n).alias("__a"), F.max("__p").cast("double").alias("__p"))
     return sums.select(*keys, F.try_divide(F.col("__a"), F.col("__p")).alias("pr_auc"))
 
 

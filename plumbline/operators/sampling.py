@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from plumbline.functions.columns import draw
 
 
+#: Hex digits of a draw that split a class.
+DIGITS = 3
+
+
 def allocations(counts: list[tuple[str, int]], size: int) -> dict[str, int]:
     """How many of each class a sample of exactly size takes: proportional, at least one, at most all.
 
@@ -39,8 +43,19 @@ def allocations(counts: list[tuple[str, int]], size: int) -> dict[str, int]:
 
 
 def ranked(rows: DataFrame, target: str, seed: int, key: str) -> DataFrame:
-    """rows plus __nth: the place of each row in the draw of its class."""
-    return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(target).orderBy(draw(seed, F.col(key)), key)))
+    """rows plus __nth: the place of each row in the draw of its class.
+
+    Rows are counted by class and the first DIGITS hex digits of their draw, and numbered within those, so that a class is
+    spread over 16 ** DIGITS groups however large it is. The counts are broadcast: so many rows a class at most.
+    """
+    drawn = rows.withColumn("__draw", draw(seed, F.col(key))).withColumn("__part", F.substring("__draw", 1, DIGITS))
+    counts = drawn.groupBy(F.col(target).alias("__class"), F.col("__part").alias("__first")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__class").orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__class", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(target, "__part").orderBy("__draw", key))
+    met = F.col(target).eqNullSafe(F.col("__class")) & F.col("__part").eqNullSafe(F.col("__first"))
+    numbered = drawn.join(F.broadcast(starts), met, "left").withColumn("__nth", (F.col("__start") + inside).cast("int"))
+    return numbered.select(*rows.columns, "__nth")
 
 
 def stratified_sample(rows: DataFrame, target: str, size: int, seed: int, key: str) -> DataFrame:

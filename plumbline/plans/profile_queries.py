@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as C
-from plumbline.operators import checks, profile, summaries
+from plumbline.operators import checks, experiment, profile, summaries
 from plumbline.plans import fixtures as X
 from plumbline.plans.queries import query
 from plumbline.schema import Feature, Role, Schema, from_struct, identity
@@ -137,11 +137,13 @@ def mean_std_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fn_8_configuration_ids",
-    """SELECT n_nationkey, substr(sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '"}'), 1, 12) AS id FROM nation""",
+    """SELECT json, substr(sha256(json), 1, 12) AS id, sha256('{"parts":' || json || '}') AS signature
+FROM (SELECT '{"max_depth":' || d || ',"min_samples_leaf":' || l || ',"sampler":"' || s || '"}' AS json FROM (SELECT unnest(['4', '12', 'null']) AS d), (SELECT unnest([1, 5]) AS l), (SELECT unnest(['none', 'oversample']) AS s))""",
 )
 def configuration_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    canonical = F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")))
-    return X.table(spark, sf_dir, "nation").select("n_nationkey", F.substring(F.sha2(canonical, 256), 1, 12).alias("id"))
+    grid = {"sampler": ["none", "oversample"], "max_depth": [4, 12, None], "min_samples_leaf": [1, 5]}
+    rows = [(experiment.canonical(p), experiment.configuration_id(p), experiment.signature({"parts": p})) for p in experiment.expand(grid)]
+    return spark.createDataFrame(rows, "json string, id string, signature string")
 
 
 @query(
@@ -351,10 +353,13 @@ def quantile_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg_19_duplicate_rows",
-    "SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS n_distinct, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_duplicates FROM lineitem",
+    """WITH r AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 10 = 0), d AS (SELECT DISTINCT * FROM r)
+SELECT (SELECT count(*) FROM r) AS n_rows, (SELECT count(*) FROM d) AS n_distinct, (SELECT count(*) FROM r) - (SELECT count(*) FROM d) AS n_duplicates""",
 )
 def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.duplicate_rows(X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+    """All columns of lineitem, with a tenth of the orders twice."""
+    rows = X.table(spark, sf_dir, "lineitem")
+    return profile.duplicate_rows(rows.unionByName(rows.where("l_orderkey % 10 = 0")))
 
 
 # reshaping, sets and order

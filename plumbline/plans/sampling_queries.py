@@ -61,10 +61,22 @@ def few_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.few_shot(X.table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", 4, SEED, "event_id")
 
 
-@query("chk_15_few_shot_checks", "SELECT 0 AS n_unknown, 0 AS n_repeated, 0 AS n_number_off, 0 AS n_over_cap")
+@query(
+    "chk_15_few_shot_checks",
+    f"""WITH c AS (SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {_DRAW}, event_id) <= 4),
+e AS (SELECT CASE WHEN event_type = 'view' THEN -event_id - 1 ELSE event_id END AS event_id, event_type, row_number() OVER (ORDER BY event_type, event_id) AS example FROM c),
+x AS (SELECT event_id, CASE WHEN example = 2 THEN 'signup' ELSE event_type END AS event_type, example FROM e UNION ALL SELECT * FROM e WHERE event_type = 'error'),
+k AS (SELECT x.*, events.event_type AS t FROM x LEFT JOIN events ON x.event_id = events.event_id)
+SELECT count(*) FILTER (t IS NULL OR t <> event_type) AS n_unknown, count(*) - count(DISTINCT event_id) AS n_repeated,
+ (NOT (count(DISTINCT example) = count(*) AND min(example) = 1 AND max(example) = count(*)))::INT AS n_number_off, (SELECT count(*) FROM (SELECT 1 FROM k GROUP BY event_type HAVING count(*) > 4)) AS n_over_cap FROM k""",
+)
 def few_shot_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of which the views are unknown rows, one has another class, and the errors stand twice."""
     rows = X.table(spark, sf_dir, "events").select("event_id", "event_type")
-    return inference.check_examples(sampling.few_shot(rows, "event_type", 4, SEED, "event_id"), rows, "event_type", 4, "event_id")
+    chosen = sampling.few_shot(rows, "event_type", 4, SEED, "event_id")
+    moved = chosen.selectExpr("CASE WHEN event_type = 'view' THEN -event_id - 1 ELSE event_id END AS event_id", "event_type", "example")
+    planted = moved.selectExpr("event_id", "CASE WHEN example = 2 THEN 'signup' ELSE event_type END AS event_type", "example").unionByName(moved.where("event_type = 'error'"))
+    return inference.check_examples(planted, rows, "event_type", 4, "event_id")
 
 
 @query(
@@ -79,7 +91,7 @@ def preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule(prompt: str) -> str:
     """A model without a network: it answers by the record's number."""
-    number = int(prompt.split("user_id: ")[1].split("\n")[0])
+    number = int(prompt.rsplit("user_id: ", 1)[1].split("\n")[0])  # the record comes after the example
     answers = [" CLICK ", "error", "Purchase\n", "no idea", ""]
     if number % 11 == 10:
         raise TimeoutError("no answer")
@@ -94,7 +106,6 @@ def rule(prompt: str) -> str:
 def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.table(spark, sf_dir, "events").withColumnRenamed("event_id", "row_index")
     asked = inference.prompts(inference.pending(rows, rows.where("row_index % 4 = 0")), {"user_id": "bigint", "event_type": "string"}, ["row_index"], [("user_id: 0", "click")])
-    asked = asked.withColumn("prompt", F.regexp_replace("prompt", "^[\\s\\S]*?Label: click", ""))
     return inference.classify(asked, rule, X.CLASSES, in_flight=4).select("row_index", "predicted_class", "response_error", "response_valid")
 
 
