@@ -8,13 +8,33 @@ from collections.abc import Callable, Sequence
 STEPS = (1.0, 1.25, 1.5, 2.0, 2.5, 5.0, 10.0)
 
 
-def nice_step(low: float, high: float, target: int = 5) -> float:
-    """The step of 1, 1.25, 1.5, 2, 2.5, 5 or 10 times a power of ten whose inner ticks come nearest to target in number; the largest among equals."""
-    if not high > low:
+def nice_step(low: float, high: float, target: int = 5, least: int = 0) -> float:
+    """The step, of STEPS times a power of ten, for an axis with some target ticks, both ends counted.
+
+    The power is that of the range cut into target - 1 parts. Of the steps with at least `least` ticks strictly inside, the one
+    whose number of them is nearest target - 2 is taken, the smallest among equals; without any, the largest step.
+    """
+    if low > high or target < 2 or least < 0:
+        raise ValueError("an axis has low <= high, two ticks or more, and no negative number inside")
+    if low == high:
         return 1.0
-    power = math.floor(math.log10((high - low) / target))
-    options = [s * 10.0**p for p in range(power - 1, power + 2) for s in STEPS]
-    return min(options, key=lambda step: (abs(len(inner_ticks(low, high, step)) - target), -step))
+    power = 10.0 ** math.floor(math.log10((high - low) / (target - 1)))
+    off = {step * power: abs(n - (target - 2)) for step in STEPS if (n := len(strictly_inside(low, high, step * power))) >= least}
+    return min(off, key=lambda step: (off[step], step)) if off else STEPS[-1] * power
+
+
+def strictly_inside(low: float, high: float, step: float) -> list[float]:
+    return [tick for tick in inner_ticks(low, high, step) if low < tick < high]
+
+
+def linear_ticks(low: float, high: float, least: int = 5) -> list[float]:
+    """Both ends and the ticks of nice_step between them; even parts join these where fewer than least are inside."""
+    if low == high:
+        return [low]
+    inside = set(strictly_inside(low, high, nice_step(low, high, least + 3, least)))
+    if len(inside) < least:
+        inside |= {low + (high - low) * i / (least + 1) for i in range(1, least + 1)}
+    return [low, *sorted(inside), high]
 
 
 def inner_ticks(low: float, high: float, step: float) -> list[float]:

@@ -29,6 +29,14 @@ OPTIONS = {
 }
 
 
+# The published grids, without the two options that Spark's trees don't have.
+GRIDS = {
+    "decision_tree": {"sampler": ("none", "oversample"), "criterion": ("gini", "entropy"), "max_depth": (10, 20, None), "min_samples_leaf": (1, 5)},
+    "random_forest": {"sampler": ("none", "oversample"), "n_estimators": (100, 200), "max_depth": (10, 20, None), "min_samples_leaf": (1, 5)},
+    "boosted_trees": {"sampler": ("none", "oversample"), "rounds": (100, 200), "max_depth": (3, 6), "learning_rate": (0.05, 0.1), "subsample": (0.8, 1.0)},
+}
+
+
 def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import csv_row, named_lines, parsed_label, serialized
+from plumbline.operators.lifecycle import exists
 
 SYSTEM = "You assign one label to one record. Answer with the label alone."
 
@@ -71,6 +72,28 @@ def classify(asked: DataFrame, model: Callable[[str], str], classes: Sequence[st
     return answered.select(key, "raw_response", "request_time_seconds", F.coalesce("request_error", error).alias("response_error"), found.alias("predicted_class"), found.isNotNull().alias("response_valid"))
 
 
+def resumed(asked: DataFrame, model: Callable[[str], str], classes: Sequence[str], folder: str, key: str = "row_index", parts: int = 16, in_flight: int | None = None) -> DataFrame:
+    """The answers (as classify gives them) of all rows in folder, after asking for those that it lacks.
+
+    Rows are asked in parts, by a hash of their key, and each part's answers are appended when it ends: a run that is stopped
+    loses one part at most, and the next one goes on. Answers that are errors count as given.
+    """
+    spark, path = asked.sparkSession, f"{folder}/answers"
+    for part in range(parts):
+        todo = asked.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
+        if exists(spark, path):
+            todo = pending(todo, spark.read.parquet(path), key)
+        classify(todo, model, classes, key, in_flight).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(asked.select(key), key, "left_semi")
+
+
+def run_all(runs: Mapping[str, DataFrame], model: Callable[[str], str], classes: Mapping[str, Sequence[str]], folder: str, **options) -> dict[str, DataFrame]:
+    """The answers of every run (a dataset by a method), by name; each goes on in a folder of its own. A run without classes is refused before any call."""
+    if lacking := sorted(set(runs) - set(classes)):
+        raise ValueError(f"no classes are given for {', '.join(lacking)}")
+    return {name: resumed(asked, model, classes[name], f"{folder}/{name}", **options) for name, asked in runs.items()}
+
+
 def check_examples(examples: DataFrame, rows: DataFrame, target: str, per_class: int, key: str) -> DataFrame:
     """n_unknown, n_number_off, n_repeated and n_over_cap of few-shot rows against their source; all 0 if they are sound."""
     known = rows.select(key, F.col(target).alias("__t"))

@@ -154,8 +154,8 @@ def histogram(rows: DataFrame, column: str, bins: int, transform: str = "linear"
     return every.drop("__one").join(counted, [*keys, "bin"], "left").na.fill(0, ["n"]).select(*keys, "bin", "low", "high", "n")
 
 
-def box_statistics(rows: DataFrame, column: str, group: str, everything: str = "<all>") -> DataFrame:
-    """group (and everything), n, q1, median, q3, whiskers (furthest values within 1.5 IQR) and n_outside."""
+def _boxed(rows: DataFrame, column: str, group: str, everything: str) -> DataFrame:
+    """group (and everything), value, q1, median, q3 and inside (within 1.5 IQR) of every finite value."""
     value = finite(F.col(f"`{column}`").cast("double"))
     base = rows.select(F.col(group).cast("string").alias(group), value.alias("value")).where("value is not null")
     both = base.select(F.explode(F.array(F.col(group), F.lit(everything))).alias(group), "value")
@@ -164,11 +164,22 @@ def box_statistics(rows: DataFrame, column: str, group: str, everything: str = "
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     quartiles = quartiles.withColumnRenamed(group, "__group")
     joined = both.join(F.broadcast(quartiles), F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
-    return joined.groupBy(group, "q1", "median", "q3").agg(
+    return joined.withColumn("inside", inside)
+
+
+def box_statistics(rows: DataFrame, column: str, group: str, everything: str = "<all>") -> DataFrame:
+    """group (and everything), n, q1, median, q3, whiskers (furthest values within 1.5 IQR) and n_outside."""
+    inside = F.col("inside")
+    return _boxed(rows, column, group, everything).groupBy(group, "q1", "median", "q3").agg(
         F.count("*").alias("n"), F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"), F.count_if(~inside).alias("n_outside")
     )
 
 
+def fliers(rows: DataFrame, column: str, group: str, everything: str = "<all>") -> DataFrame:
+    """group (and everything), value, n: the values outside the whiskers of box_statistics, each once with its number."""
+    return _boxed(rows, column, group, everything).where(~F.col("inside")).groupBy(group, "value").agg(F.count("*").alias("n"))
+
+
 def quantile_ticks(rows: DataFrame, column: str, transform: str = "linear") -> DataFrame:
     """The distinct quartiles of the transformed finite values, in order."""
     forward, _ = TRANSFORMS[transform]

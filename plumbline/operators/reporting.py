@@ -17,6 +17,23 @@ def parameter_columns(table: DataFrame, excluded: Sequence[str] = ("configuratio
     return [c for c in table.columns if c not in excluded and not c.endswith(tuple(suffixes)) and not c.startswith(tuple(prefixes))]
 
 
+def restored_parameters(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """table with NaN as NULL in those of columns that hold floating-point numbers: options that a configuration doesn't set."""
+    floats = [f.name for f in table.schema if f.name in columns and f.dataType.typeName() in ("double", "float")]
+    return table.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
+
+
+def stripped_names(table: DataFrame, prefixes: Sequence[str] = (), suffixes: Sequence[str] = ()) -> DataFrame:
+    """table without the first prefix, then the first suffix, that a column's name has; names that become equal or empty raise."""
+    names = []
+    for name in table.columns:
+        name = name.removeprefix(next((p for p in prefixes if name.startswith(p)), ""))
+        names.append(name.removesuffix(next((s for s in suffixes if name.endswith(s)), "")))
+    if len(set(names)) != len(names) or "" in names:
+        raise ValueError(f"stripped names are not unique: {', '.join(names)}")
+    return table.toDF(*names)
+
+
 def cross_validation(folds: DataFrame, metrics: Sequence[str], seeds: Sequence[int], metric: str = "macro_f1", top: int = 5) -> dict[str, DataFrame]:
     """seeds (fold means), configurations (over seeds), best (the first of the ranking) and shown (the top ones as text)."""
     by_seed = summaries.means(folds, ["configuration_id", "seed"], metrics)

@@ -94,3 +94,19 @@ def few_shot(rows: DataFrame, target: str, per_class: int, seed: int, key: str)
     """At most per_class rows of each class, by class and row, numbered from 1 as example."""
     chosen = ranked(rows, target, seed, key).where(F.col("__nth") <= per_class).drop("__nth")
     return chosen.withColumn("example", F.row_number().over(Window.orderBy(target, key)))
+
+
+def target_faults(rows: DataFrame, target: str, key: str) -> DataFrame:
+    """n_null_targets, n_null_keys and n_repeated_keys (rows beyond the first of a key): all 0 if rows can be sampled."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("__n"), F.count_if(F.col(target).isNull()).alias("__t"))
+    total = lambda value, name: F.coalesce(F.sum(value), F.lit(0)).cast("long").alias(name)
+    unkeyed = F.col(key).isNull()
+    return counts.agg(total(F.col("__t"), "n_null_targets"), total(F.when(unkeyed, F.col("__n")), "n_null_keys"), total(F.when(~unkeyed, F.col("__n") - 1), "n_repeated_keys"))
+
+
+def guarded(rows: DataFrame, target: str, key: str) -> DataFrame:
+    """rows, if target_faults finds nothing; else ValueError with what it found."""
+    found = {name: n for name, n in target_faults(rows, target, key).first().asDict().items() if n}
+    if found:
+        raise ValueError("; ".join(f"{name}: {n}" for name, n in found.items()))
+    return rows

@@ -135,3 +135,33 @@ def timing_checks(rows: DataFrame, parts: Mapping[str, Sequence[str]], per: tupl
     rate, total, n = per
     wrong = F.abs(F.col(rate) - F.col(total) / F.col(n) * 100) > 1e-9
     return rows.agg(F.count_if(negative).alias("n_negative"), F.count_if(off).alias("n_sum_off"), F.count_if(wrong).alias("n_ratio_off"))
+
+
+def supports(rows: DataFrame, column: str, support: str = "support") -> DataFrame:
+    """Each class with its support, once, largest first and then by name; a class with two supports has two rows."""
+    return rows.select(column, support).distinct().orderBy(F.desc(support), column)
+
+
+def throughput(rows: DataFrame, keys: Sequence[str], started: str, seconds: str, tokens: str) -> DataFrame:
+    """keys, n, busy_s, wall_s (first start to last end), in_flight (busy by wall), requests and tokens per wall second, wall seconds for 100 rows; 0 where the wall is 0."""
+    begin = F.unix_micros(F.col(started).cast("timestamp")).cast("double")
+    wall = (F.max(begin + F.col(seconds) * 1e6) - F.min(begin)) / 1e6
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(seconds).alias("busy_s"), wall.alias("wall_s"), F.sum(tokens).alias("__tokens"))
+    rates = {"in_flight": "busy_s", "requests_per_wall_s": "n", "tokens_per_wall_s": "__tokens"}
+    out = sums.withColumns({name: ratio(F.col(part), F.col("wall_s")) for name, part in rates.items()})
+    return out.withColumn("wall_s_per_100", ratio(F.col("wall_s"), F.col("n")) * 100).drop("__tokens")
+
+
+MEASURES = ("training_s", "prediction_s", "probability_s", "inference_s", "inference_s_per_100")
+
+
+def timing_table(training: DataFrame, inference: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, n_seeds, <measure>_mean and _std of MEASURES over seeds. A seed of one table only, or twice in one, raises."""
+    by = [*keys, "seed"]
+    fits = training.groupBy(*by).agg(F.max(MEASURES[0]).alias(MEASURES[0]), F.count("*").alias("__fits"))
+    runs = inference.groupBy(*by).agg(*[F.max(m).alias(m) for m in MEASURES[1:]], F.count("*").alias("__runs"))
+    fault = F.coalesce((F.col("__fits") != 1) | (F.col("__runs") != 1), F.lit(True))
+    checked = F.when(fault, F.raise_error(F.concat(F.lit("training and inference are not one to one in seed "), F.col("seed").cast("string")))).otherwise(F.lit(True))
+    both = fits.join(runs, by, "full_outer").where(checked)
+    stats = [f(m).alias(f"{m}_{n}") for m in MEASURES for f, n in ((F.avg, "mean"), (spread, "std"))]
+    return both.groupBy(*keys).agg(F.count("*").alias("n_seeds"), *stats)

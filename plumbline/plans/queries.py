@@ -31,4 +31,4 @@ def rounded(rows: DataFrame, places: int = 6) -> DataFrame:
     return rows.select(*map(value, rows.schema.fields))
 
 
-from plumbline.plans import artifact_queries, evaluation_queries, file_queries, profile_queries, report_queries, sampling_queries  # noqa: E402, F401
+from plumbline.plans import artifact_queries, evaluation_queries, file_queries, profile_queries, report_queries, run_queries, sampling_queries  # noqa: E402, F401

@@ -111,6 +111,16 @@ class Schema:
     def of_semantic(self, *kinds: Semantic) -> tuple[Feature, ...]:
         return tuple(f for f in self.features if f.semantic in kinds)
 
+    def retained(self, excluded: Sequence[str] = (), roles: Sequence[Role] = tuple(Role)) -> tuple[str, ...]:
+        """The labels of roles without the excluded ones, in order; an excluded label that there isn't is an error."""
+        if unknown := sorted(set(excluded) - set(self.labels)):
+            raise ValueError(f"unknown labels: {', '.join(unknown)}")
+        return tuple(f.label for f in self.of_role(*roles) if f.label not in excluded)
+
+    def extended(self, *derived: Feature) -> Schema:
+        """A schema with further features after its own."""
+        return Schema((*self.features, *derived))
+
     def feature(self, label: str) -> Feature:
         for f in self.features:
             if f.label == label:
