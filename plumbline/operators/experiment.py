@@ -7,7 +7,7 @@ import itertools
 import json
 import time
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
@@ -77,10 +77,18 @@ def assembled(rows: DataFrame, fitted: prepare.Preprocessor, target: str, classe
 
 
 def fit(rows: DataFrame, kind: str, parameters: Mapping, seed: int, target: str, key: str) -> PipelineModel:
-    """Rows (from assembled) balanced if the sampler says so, and a model fitted on them."""
-    if parameters.get("sampler") == "oversample":
-        rows = sampling.oversampled(rows, target, seed, key)
-    return Pipeline(stages=[estimator(kind, parameters, seed)]).fit(rows)
+    """Rows (from assembled) balanced if the sampler says so, and a model fitted on them.
+
+    Balanced rows are cached, since a fit reads its rows several times.
+    """
+    pipeline = Pipeline(stages=[estimator(kind, parameters, seed)])
+    if parameters.get("sampler") != "oversample":
+        return pipeline.fit(rows)
+    balanced = sampling.oversampled(rows, target, seed, key).cache()
+    try:
+        return pipeline.fit(balanced)
+    finally:
+        balanced.unpersist()
 
 
 def predictions(model: PipelineModel, rows: DataFrame, classes: Sequence[str], target: str, key: str) -> DataFrame:
@@ -111,34 +119,44 @@ def cross_validate(
 ) -> DataFrame:
     """configuration_id, seed, fold and metrics of every combination that done lacks, and those of done.
 
-    record gets the rows of each fold when it ends (lifecycle.cross_validated appends them to a table, and resumes from it).
+    record gets the rows of each fold when it ends (lifecycle.cross_validated appends them to a table, and resumes from it);
+    it is called by the calling thread, for one fold at a time.
 
-    Configurations of a fold share its prepared rows and are fitted from a few driver threads; each fit is a Spark job.
+    Folds of a seed run side by side, each with its prepared rows cached once for all its configurations; at most parallel
+    fits run at a time, from driver threads. Each fit is a row of Spark jobs.
     """
     spark, classes = rows.sparkSession, prepare.classes_of(rows, target)
     known = {(r["configuration_id"], r["seed"], r["fold"]) for r in done.select("configuration_id", "seed", "fold").collect()} if done is not None else set()
     found = []
     for seed in seeds:
+        wanted = {fold: [p for p in expand(grid) if (configuration_id(p), seed, fold) not in known] for fold in range(1, k + 1)}
+        wanted = {fold: some for fold, some in wanted.items() if some}
+        if not wanted:
+            continue
         folded = sampling.folds(rows, target, k, seed, key).cache()
-        for fold in range(1, k + 1):
-            wanted = [p for p in expand(grid) if (configuration_id(p), seed, fold) not in known]
-            if not wanted:
-                continue
+        at_once = min(parallel, len(wanted))
+
+        def one_fold(fold: int, folded=folded, seed=seed, wanted=wanted, at_once=at_once) -> list[tuple]:
             train = folded.where(F.col("fold") != fold)
             ready = prepare.fit(train, numeric, categorical)
             parts = [assembled(part, ready, target, classes, [key]).cache() for part in (train, folded.where(F.col("fold") == fold))]
 
-            def one(parameters: Mapping, parts=parts, seed=seed, fold=fold) -> tuple:
+            def one(parameters: Mapping) -> tuple:
                 result = scores(predictions(fit(parts[0], kind, parameters, seed, target, key), parts[1], classes, target, key), classes)
                 return (configuration_id(parameters), seed, fold, *[float(result[m]) for m in METRICS])
 
-            with ThreadPoolExecutor(parallel) as threads:
-                ended = list(threads.map(one, wanted))
-            if record:
-                record(spark.createDataFrame(ended, RESULTS))
-            found += ended
-            for part in parts:
-                part.unpersist()
+            try:
+                with ThreadPoolExecutor(max(1, parallel // at_once)) as threads:
+                    return list(threads.map(one, wanted[fold]))
+            finally:
+                for part in parts:
+                    part.unpersist()
+
+        with ThreadPoolExecutor(at_once) as threads:
+            for ended in as_completed([threads.submit(one_fold, fold) for fold in wanted]):
+                if record:
+                    record(spark.createDataFrame(ended.result(), RESULTS))
+                found += ended.result()
         folded.unpersist()
     new = spark.createDataFrame(found, RESULTS)
     return new if done is None else done.select(new.columns).unionByName(new)
