@@ -16,7 +16,7 @@ from plumbline.operators.checks import Expectation, expect
 from plumbline.schema import DataType, Schema, Semantic, source_names
 
 
-class CsvLoadingError(ValueError):
+class UnreadableCsv(ValueError):
     """A CSV source that doesn't exist, or whose header or cells break the declared schema."""
 
 
@@ -25,9 +25,9 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     try:
         first = spark.read.text(path).limit(1).collect()
     except Exception as error:
-        raise CsvLoadingError(f"{path} can't be read: {error}") from error
+        raise UnreadableCsv(f"{path} can't be read: {error}") from error
     if not first:
-        raise CsvLoadingError(f"{path} is empty")
+        raise UnreadableCsv(f"{path} is empty")
     return next(csv.reader(io.StringIO(first[0][0])))
 
 
@@ -37,10 +37,10 @@ def check_header(found: list[str], declared: list[str]) -> None:
     lacking, extra = [c for c in declared if c not in found], [c for c in found if c not in declared]
     for names, what in ((repeated, "repeated"), (lacking, "missing"), (extra, "unexpected")):
         if names:
-            raise CsvLoadingError(f"{what} columns: {', '.join(names)}")
+            raise UnreadableCsv(f"{what} columns: {', '.join(names)}")
     if found != declared:
         at = next(i for i, (a, b) in enumerate(zip(found, declared, strict=True)) if a != b)
-        raise CsvLoadingError(f"column {at} is {found[at]}, not {declared[at]}")
+        raise UnreadableCsv(f"column {at} is {found[at]}, not {declared[at]}")
 
 
 def load_csv(spark: SparkSession, path: str, schema: Schema) -> DataFrame:

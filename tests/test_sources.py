@@ -32,7 +32,7 @@ def test_strict_csv(spark, tmp_path):
     ],
 )
 def test_headers(spark, tmp_path, header, why):
-    with pytest.raises(files.CsvLoadingError, match=why):
+    with pytest.raises(files.UnreadableCsv, match=why):
         files.load_csv(spark, written(tmp_path, header + "\n"), ORDERS)
 
 
@@ -43,7 +43,7 @@ def test_bad_cells_raise(spark, tmp_path, row):
 
 
 def test_missing_file(spark, tmp_path):
-    with pytest.raises(files.CsvLoadingError):
+    with pytest.raises(files.UnreadableCsv):
         files.load_csv(spark, str(tmp_path / "nowhere.csv"), ORDERS)
 
 
