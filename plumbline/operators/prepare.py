@@ -12,6 +12,9 @@ from plumbline.functions.columns import finite
 from plumbline.operators.profile import long_form
 from plumbline.operators.quantiles import exact_quantiles
 
+#: Categories of all columns, or classes, that a fit takes to the driver; each category becomes a column.
+MOST_CATEGORIES = 10_000
+
 
 @dataclass(frozen=True)
 class Preprocessor:
@@ -49,14 +52,22 @@ def modes(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counted.join(best, "feature").where("n = most").groupBy("feature").agg(F.min("value").alias("mode"))
 
 
-def fit(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Preprocessor:
-    """Medians, modes and categories of training rows; columns without a finite value get 0."""
+def _few(values: DataFrame, most: int, what: str) -> list:
+    """The distinct rows of values, which come to the driver; ValueError if there are more than most."""
+    found = values.distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} {what}")
+    return found
+
+
+def fit(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], most: int = MOST_CATEGORIES) -> Preprocessor:
+    """Medians, modes and categories of training rows; columns without a finite value get 0. More than most categories in all raise."""
     found = {r[0]: r[1] for r in medians(rows, numeric).collect()} if numeric else {}
-    most = {r[0]: r[1] for r in modes(rows, categorical).collect()} if categorical else {}
-    seen = long_form(rows, [], categorical, "string").where("value is not null").distinct().collect() if categorical else []
-    return Preprocessor({c: found.get(c, 0.0) for c in numeric}, {c: most.get(c, "") for c in categorical}, {c: tuple(sorted(r[1] for r in seen if r[0] == c)) for c in categorical})
+    seen = _few(long_form(rows, [], categorical, "string").where("value is not null"), most, "categories") if categorical else []
+    frequent = {r[0]: r[1] for r in modes(rows, categorical).collect()} if categorical else {}
+    return Preprocessor({c: found.get(c, 0.0) for c in numeric}, {c: frequent.get(c, "") for c in categorical}, {c: tuple(sorted(r[1] for r in seen if r[0] == c)) for c in categorical})
 
 
-def classes_of(rows: DataFrame, target: str) -> list[str]:
-    """The sorted labels that occur."""
-    return sorted(r[0] for r in rows.select(target).where(F.col(target).isNotNull()).distinct().collect())
+def classes_of(rows: DataFrame, target: str, most: int = MOST_CATEGORIES) -> list[str]:
+    """The sorted labels that occur; more than most raise."""
+    return sorted(r[0] for r in _few(rows.select(target).where(F.col(target).isNotNull()), most, "classes"))
