@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, exact_dedup, license_scan, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
+from plumbline.llm import chat, exact_dedup, infilling, license_scan, mixing, near_dedup, packing, quality, sentence_pieces, toxicity, url_filter, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_sentence_pieces": sentence_pieces.op11_sentence_pieces,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_fill_in_middle": infilling.op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc": warc.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
     "op9_quality_rules": quality.oracle_sql(),
+    "op13_fill_in_middle": infilling.ORACLE_SQL,
 }

@@ -77,7 +77,21 @@ def labels() -> pa.Table:
     )
 
 
-TABLES = {"documents": documents, "pages": pages, "conversations": conversations, "labels": labels}
+def embeddings() -> pa.Table:
+    """Vectors of three entries among nulls, null and infinite entries, and other lengths."""
+    inf, nan = float("inf"), float("nan")
+    vectors = [
+        None, [0.5, -0.25, 1.0], [0.5, -0.25, 1.0], [None, 0.1, 0.2], [0.1, inf, 0.2], [0.1, nan, 0.2], [], [1.0], [1.0, 2.0], [0.0, 0.0, 0.0],
+        [-3.5, 2.25, 0.015], [1000.0, -1000.0, 3.0], [0.015624, 0.015626, -0.0001], [7.0, 7.0, 7.0], [1.0, 2.0, 3.0, 4.0],
+    ]
+    ids = [1, 2, 2, 3, 4, 5, 6, 7, 8, None, None, 9, 10, -1, 11]
+    table = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32()))})
+    for name in ("label", "n", "component", "deviation", "whitened", "at", "v", "size", "d", "i", "j", "prime"):
+        table = table.append_column(name, pa.array(["x"] * len(ids)))
+    return table
+
+
+TABLES = {"documents": documents, "pages": pages, "conversations": conversations, "labels": labels, "embeddings": embeddings}
 
 
 @pytest.fixture(scope="session")
