@@ -9,31 +9,39 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor, as_completed
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml import Model, PipelineModel
+from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import class_index
-from plumbline.operators import metrics, prepare, sampling
+from plumbline.operators import metrics, pipeline, prepare, sampling
+from plumbline.operators.boosting import BoostedTrees
+from plumbline.sources.paths import delete, scratch
 
 #: Spark trees go down to this depth at most; an unlimited depth becomes it.
 DEEPEST = 30
 ESTIMATORS = ("decision_tree", "random_forest", "boosted_trees")
-#: Options of a grid, and the Spark parameter each sets.
+#: Options of a grid, and the parameter each sets, by kind of estimator.
+_TREE = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "criterion": "impurity", "max_bins": "maxBins"}
 OPTIONS = {
-    "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "n_estimators": "numTrees", "rounds": "maxIter", "learning_rate": "stepSize",
-    "subsample": "subsamplingRate", "criterion": "impurity", "max_features": "featureSubsetStrategy", "max_bins": "maxBins",
+    "decision_tree": _TREE,
+    "random_forest": _TREE | {"n_estimators": "numTrees", "max_features": "featureSubsetStrategy", "subsample": "subsamplingRate"},
+    "boosted_trees": {
+        "rounds": "rounds", "max_depth": "maxDepth", "learning_rate": "rate", "subsample": "subsample", "min_child_weight": "minChildWeight", "min_samples_split": "minSamplesSplit",
+        "min_samples_leaf": "minSamplesLeaf", "min_gain": "minGain", "reg": "reg", "max_bins": "maxBins",
+    },
 }
+#: Options that act beside the estimator: the sampler before, and the guard of nodes after.
+BESIDE = ("sampler", "min_samples_split")
 
 
-# The published grids, without the two options that Spark's trees don't have.
+# The published grids, of 72, 72 and 64 configurations.
 GRIDS = {
-    "decision_tree": {"sampler": ("none", "oversample"), "criterion": ("gini", "entropy"), "max_depth": (10, 20, None), "min_samples_leaf": (1, 5)},
-    "random_forest": {"sampler": ("none", "oversample"), "n_estimators": (100, 200), "max_depth": (10, 20, None), "min_samples_leaf": (1, 5)},
-    "boosted_trees": {"sampler": ("none", "oversample"), "rounds": (100, 200), "max_depth": (3, 6), "learning_rate": (0.05, 0.1), "subsample": (0.8, 1.0)},
+    "decision_tree": {"sampler": ("none", "oversample"), "criterion": ("gini", "entropy"), "max_depth": (10, 20, None), "min_samples_split": (2, 5, 10), "min_samples_leaf": (1, 5)},
+    "random_forest": {"sampler": ("none", "oversample"), "n_estimators": (100, 200), "max_depth": (10, 20, None), "min_samples_split": (2, 5, 10), "min_samples_leaf": (1, 5)},
+    "boosted_trees": {"sampler": ("none", "oversample"), "rounds": (100, 200), "max_depth": (3, 6), "learning_rate": (0.05, 0.1), "min_child_weight": (1, 5), "subsample": (0.8, 1.0)},
 }
 
 
@@ -52,22 +60,58 @@ def signature(parts: Mapping) -> str:
 
 def expand(grid: Mapping[str, Sequence]) -> list[dict]:
     """Every combination of a grid's options. Options are known, and include the sampler; seeds belong to the run."""
-    unknown = set(grid) - set(OPTIONS) - {"sampler"}
+    unknown = set(grid) - {o for options in OPTIONS.values() for o in options} - set(BESIDE)
     if "sampler" not in grid or unknown or not all(grid.values()):
         raise ValueError(f"a grid names samplers, and values for known options only: {sorted(unknown)}")
     return [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
 
 
-def estimator(kind: str, parameters: Mapping, seed: int):
-    """A classifier on features and label that gives probability."""
-    options = {OPTIONS[k]: (DEEPEST if k == "max_depth" and v is None else v) for k, v in parameters.items() if k in OPTIONS}
+def estimator(kind: str, parameters: Mapping, seed: int, key: str = "id"):
+    """A classifier on features and label that gives probability; an option that its kind doesn't have raises."""
+    if kind not in OPTIONS:
+        raise ValueError(f"unknown estimator {kind}; there are {', '.join(ESTIMATORS)}")
+    names = OPTIONS[kind]
+    if unknown := set(parameters) - set(names) - set(BESIDE):
+        raise ValueError(f"{kind} has no {', '.join(sorted(unknown))}")
+    options = {names[k]: (DEEPEST if k == "max_depth" and v is None else v) for k, v in parameters.items() if k in names}
     if kind == "decision_tree":
         return DecisionTreeClassifier(seed=seed, **options)
     if kind == "random_forest":
         return RandomForestClassifier(seed=seed, **options)
-    if kind == "boosted_trees":  # Spark's boosting is binary
-        return OneVsRest(classifier=GBTClassifier(seed=seed, **options), rawPredictionCol="rawPrediction")
-    raise ValueError(f"unknown estimator {kind}; there are {', '.join(ESTIMATORS)}")
+    return BoostedTrees(seed=seed, key=key, **options)
+
+
+def guarded_splits(model: Model, spark: SparkSession, min_samples_split: int) -> Model:
+    """model, a tree or forest, as if nodes of fewer training rows than min_samples_split had not been split.
+
+    A node's split doesn't depend on what is below or beside it, so the tree that a guard would have grown is the grown
+    one with the children of such nodes left out. The nodes are a column of the table that Spark saves a model in.
+    """
+    path = scratch(spark, "trees")
+    model.write().save(f"{path}/grown")
+    nodes = spark.read.parquet(f"{path}/grown/data")
+    forest = "nodeData" in nodes.columns
+    at = "nodeData." if forest else ""
+    small = F.col(f"{at}rawCount") < min_samples_split
+    ends = {"leftChild": F.lit(-1), "rightChild": F.lit(-1), "gain": F.lit(-1.0)}
+    if forest:
+        fields = [F.when(small, ends[n]).otherwise(F.col(f"nodeData.{n}")).alias(n) if n in ends else F.col(f"nodeData.{n}") for n in nodes.schema["nodeData"].dataType.names]
+        kept = nodes.withColumn("nodeData", F.struct(*fields))
+    else:
+        kept = nodes.withColumns({n: F.when(small, end).otherwise(F.col(n)) for n, end in ends.items()})
+    try:
+        kept.write.parquet(f"{path}/data")
+        delete(spark, f"{path}/grown/data")
+        spark.read.parquet(f"{path}/data").write.parquet(f"{path}/grown/data")
+        return (RandomForestClassificationModel if forest else DecisionTreeClassificationModel).load(f"{path}/grown")
+    finally:
+        delete(spark, path)
+
+
+def fit_classifier(rows: DataFrame, kind: str, parameters: Mapping, seed: int, key: str) -> Model:
+    """The model of rows (key, label, features) as they are, with its guard of nodes."""
+    model, least = estimator(kind, parameters, seed, key).fit(rows), parameters.get("min_samples_split", 2)
+    return guarded_splits(model, rows.sparkSession, least) if kind != "boosted_trees" and least > 2 else model
 
 
 def assembled(rows: DataFrame, fitted: prepare.Preprocessor, target: str, classes: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -76,31 +120,15 @@ def assembled(rows: DataFrame, fitted: prepare.Preprocessor, target: str, classe
     return VectorAssembler(inputCols=[n for n, _ in fitted.outputs], outputCol="features").transform(ready).select(*keep, target, "label", "features")
 
 
-def fit(rows: DataFrame, kind: str, parameters: Mapping, seed: int, target: str, key: str) -> PipelineModel:
-    """Rows (from assembled) balanced if the sampler says so, and a model fitted on them.
+def fit(rows: DataFrame, kind: str, parameters: Mapping, seed: int, target: str, key: str) -> Model:
+    """Rows (from assembled) balanced if the sampler says so, and a model fitted on them."""
+    return pipeline.Balanced(kind=kind, options=canonical(dict(parameters)), seed=seed, target=target, key=key).fit(rows)
 
-    Balanced rows are cached, since a fit reads its rows several times.
-    """
-    pipeline = Pipeline(stages=[estimator(kind, parameters, seed)])
-    if parameters.get("sampler") != "oversample":
-        return pipeline.fit(rows)
-    balanced = sampling.oversampled(rows, target, seed, key).cache()
-    try:
-        return pipeline.fit(balanced)
-    finally:
-        balanced.unpersist()
 
-
-def predictions(model: PipelineModel, rows: DataFrame, classes: Sequence[str], target: str, key: str) -> DataFrame:
-    """key, actual_class, predicted_class, probabilities."""
-    scored = model.transform(rows)
-    if "probability" in scored.columns:
-        shares = vector_to_array("probability")
-    else:  # one-versus-rest gives raw scores; a softmax orders the same
-        powers = F.transform(vector_to_array("rawPrediction"), F.exp)
-        shares = F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
-    label = F.get(F.array(*map(F.lit, classes)), F.col("prediction").cast("int"))
-    return scored.select(key, F.col(target).alias("actual_class"), label.alias("predicted_class"), shares.alias("probabilities"))
+def predictions(model: Model, rows: DataFrame, classes: Sequence[str], target: str, key: str) -> DataFrame:
+    """key, actual_class, predicted_class, probabilities of rows from assembled."""
+    scored = pipeline.Decision(classes=list(classes)).transform(model.transform(rows))
+    return scored.select(key, F.col(target).alias("actual_class"), "predicted_class", "probabilities")
 
 
 def scores(predicted: DataFrame, classes: Sequence[str]) -> dict[str, float]:
@@ -175,20 +203,11 @@ def select_best(folds: DataFrame, metric: str = "macro_f1") -> str:
 
 
 def refit(train: DataFrame, test: DataFrame, kind: str, parameters: Mapping, numeric: Sequence[str], categorical: Sequence[str], target: str, key: str, seed: int) -> tuple[PipelineModel, DataFrame, dict[str, float]]:
-    """The model of all training rows, its predictions of the test rows, and the seconds of the fit and the prediction."""
-    classes = prepare.classes_of(train, target)
+    """The pipeline of all training rows, its predictions of the test rows, and the seconds of the fit and the prediction."""
     began = time.perf_counter()
-    ready = prepare.fit(train, numeric, categorical)
-    model = fit(assembled(train, ready, target, classes, [key]), kind, parameters, seed, target, key)
+    model = pipeline.fitted(train, kind, parameters, numeric, categorical, target, key, seed)
     fitted = time.perf_counter()
-    predicted = predictions(model, assembled(test, ready, target, classes, [key]), classes, target, key).cache()
+    predicted = pipeline.predictions(model, test, target, key).cache()
     n = predicted.count()
     seconds = time.perf_counter() - fitted
     return model, predicted, {"fit_seconds": fitted - began, "predict_seconds": seconds, "predict_seconds_per_100": 100 * seconds / max(1, n)}
-
-
-def importances(model: PipelineModel, outputs: Sequence[tuple[str, str]]) -> list[tuple[str, str, float]]:
-    """(transformed, original, importance) of a fitted tree model; one-versus-rest is averaged."""
-    last = model.stages[-1]
-    parts = [m.featureImportances for m in getattr(last, "models", [last])]
-    return [(name, original, float(sum(p[i] for p in parts) / len(parts))) for i, (name, original) in enumerate(outputs)]

@@ -6,12 +6,17 @@ import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import csv_row, named_lines, parsed_label, serialized
-from plumbline.operators.lifecycle import exists
+from plumbline.operators import artifacts, signatures
+from plumbline.operators.experiment import canonical
+from plumbline.sources.paths import delete, names
 
+#: Stands for the class of an answer that gives none.
+INVALID = "<invalid>"
 SYSTEM = "You assign one label to one record. Answer with the label alone."
 
 
@@ -46,12 +51,13 @@ def pending(rows: DataFrame, done: DataFrame, key: str = "row_index") -> DataFra
     return rows.join(done.select(key), key, "left_anti")
 
 
-def classify(asked: DataFrame, model: Callable[[str], str], classes: Sequence[str], key: str = "row_index", in_flight: int | None = None) -> DataFrame:
-    """key, raw_response, request_time_seconds, response_error, predicted_class, response_valid for rows (key, prompt).
+def classify(asked: DataFrame, model: Callable[[str], str], classes: Sequence[str], key: str = "row_index", in_flight: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """key, keep, raw_response, request_time_seconds, response_error, predicted_class, response_valid for rows (key, prompt, keep).
 
     model runs in the tasks, one call after the other; in_flight bounds the calls at a time by the number of partitions.
     A call that raises becomes the error request_failed.
     """
+    kept = [key, *keep]
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -63,28 +69,84 @@ def classify(asked: DataFrame, model: Callable[[str], str], classes: Sequence[st
                 except Exception as reason:  # noqa: BLE001  any failure of the model is a result
                     error = f"request_failed: {reason}"
                 out.append((answer, time.perf_counter() - began, error))
-            yield pd.DataFrame({key: batch[key], "raw_response": [o[0] for o in out], "request_time_seconds": [o[1] for o in out], "request_error": [o[2] for o in out]})
+            yield batch[kept].assign(raw_response=[o[0] for o in out], request_time_seconds=[o[1] for o in out], request_error=[o[2] for o in out])
 
     spread = asked.repartition(in_flight, key) if in_flight else asked
-    schema = asked.select(key).schema.add("raw_response", "string").add("request_time_seconds", "double").add("request_error", "string")
-    answered = spread.select(key, "prompt").mapInPandas(call, schema)
+    schema = asked.select(*kept).schema.add("raw_response", "string").add("request_time_seconds", "double").add("request_error", "string")
+    answered = spread.select(*kept, "prompt").mapInPandas(call, schema)
     found, error = parsed_label(F.col("raw_response"), classes)
-    return answered.select(key, "raw_response", "request_time_seconds", F.coalesce("request_error", error).alias("response_error"), found.alias("predicted_class"), found.isNotNull().alias("response_valid"))
+    return answered.select(*kept, "raw_response", "request_time_seconds", F.coalesce("request_error", error).alias("response_error"), found.alias("predicted_class"), found.isNotNull().alias("response_valid"))
 
 
-def resumed(asked: DataFrame, model: Callable[[str], str], classes: Sequence[str], folder: str, key: str = "row_index", parts: int = 16, in_flight: int | None = None) -> DataFrame:
-    """The answers (as classify gives them) of all rows in folder, after asking for those that it lacks.
+#: Of an answer in a run's log: what it answers, under which fingerprint, and what came of it.
+ANSWER = "raw_response string, request_time_seconds double, response_error string, predicted_class string, response_valid boolean"
 
-    Rows are asked in parts, by a hash of their key, and each part's answers are appended when it ends: a run that is stopped
-    loses one part at most, and the next one goes on. Answers that are errors count as given.
+
+def fingerprinted(asked: DataFrame, classes: Sequence[str], definition: Mapping | None = None) -> DataFrame:
+    """asked with fingerprint: SHA-256 of all that an answer depends on, the run's definition (the model's name, its options ...), the classes and the row's prompt."""
+    made = canonical({"version": signatures.VERSION, "definition": dict(definition or {}), "classes": list(classes)})
+    return asked.withColumn("fingerprint", F.sha2(F.concat(F.lit(made), F.lit("\n"), F.coalesce("prompt", F.lit(""))), 256))
+
+
+def answers_of(spark: SparkSession, folder: str, key: T.StructField) -> DataFrame:
+    """key, fingerprint, batch (attempt-number) and answers of a run's log, whatever they were made from; empty if there is none."""
+    schema = T.StructType([key]).add("fingerprint", "string")
+    for field in T.StructType.fromDDL(ANSWER).fields:
+        schema = schema.add(field)
+    if not names(spark, f"{folder}/answers"):
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(""))
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/answers")
+    return rows.withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"answers/([^/]+/[^/]+)/", 1))
+
+
+def resumed(
+    asked: DataFrame, model: Callable[[str], str], classes: Sequence[str], folder: str, key: str = "row_index", every: int = 1000, in_flight: int | None = None,
+    definition: Mapping | None = None, changed: str = "ask",
+) -> DataFrame:
+    """The answers (as classify gives them) of all rows (key, prompt) in folder, after asking for those that it lacks.
+
+    Rows that lack an answer are queued in files of at most every rows, and a stream takes a file at a time: each
+    micro-batch is asked and its answers are written to a folder of its own, answers/<attempt>/<batch>. A run that is
+    stopped loses the answers of one batch at most. The next call is another attempt, whose queue has only rows without a
+    written answer, so a row that was answered isn't asked again. Answers that are errors count as given.
+
+    An answer counts for a row only under the fingerprint of what is asked now: of another definition, other classes or
+    another prompt it is left in the log and the row is asked anew, or the run is refused with changed = "raise".
+    The result answers each key of asked once; anything else raises.
     """
-    spark, path = asked.sparkSession, f"{folder}/answers"
-    for part in range(parts):
-        todo = asked.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
-        if exists(spark, path):
-            todo = pending(todo, spark.read.parquet(path), key)
-        classify(todo, model, classes, key, in_flight).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(asked.select(key), key, "left_semi")
+    if changed not in ("ask", "raise"):
+        raise ValueError(f"changed is ask or raise, not {changed}")
+    spark, wanted = asked.sparkSession, fingerprinted(asked, classes, definition).select(key, "prompt", "fingerprint")
+    kind = T.StructField(key, asked.schema[key].dataType)
+    done = answers_of(spark, folder, kind)
+    if changed == "raise":
+        own = wanted.select(key, F.col("fingerprint").alias("__asked"))
+        stale = done.join(own, key).groupBy(key).agg(F.max((F.col("fingerprint") == F.col("__asked")).cast("int")).alias("own")).where("own = 0").count()
+        if stale:
+            raise signatures.ChangedRun(f"{folder} has answers of {stale} rows under another definition, other classes or other prompts")
+    todo, attempt = wanted.join(done.select(key, "fingerprint"), [key, "fingerprint"], "left_anti"), len(names(spark, f"{folder}/answers"))
+    for older in ("queue", "progress"):  # of an attempt that was stopped; what it answered is in the log
+        delete(spark, f"{folder}/{older}")
+    files = -(-todo.count() // every)
+    if files:
+        todo.repartition(files).write.option("maxRecordsPerFile", every).parquet(f"{folder}/queue")
+
+        def ask(batch: DataFrame, number: int) -> None:
+            found = classify(batch, model, classes, key, in_flight, keep=["fingerprint"])
+            found.write.mode("overwrite").parquet(f"{folder}/answers/{attempt:06}/{number:09}")
+
+        stream = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/queue")
+        run = stream.writeStream.foreachBatch(ask).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        try:
+            run.awaitTermination()
+        finally:
+            run.stop()
+        for ended in ("queue", "progress"):
+            delete(spark, f"{folder}/{ended}")
+    found = answers_of(spark, folder, kind).join(wanted.select(key, "fingerprint"), [key, "fingerprint"], "left_semi")
+    checked = found.withColumn("__class", F.coalesce("predicted_class", F.lit(INVALID)))
+    artifacts.faultless(artifacts.reuse_faults(checked, asked, key, "__class", "response_valid", INVALID))
+    return found.drop("fingerprint")
 
 
 def run_all(runs: Mapping[str, DataFrame], model: Callable[[str], str], classes: Mapping[str, Sequence[str]], folder: str, **options) -> dict[str, DataFrame]:

@@ -1,13 +1,15 @@
 """Experiments that survive a stopped driver: results are tables in a folder, and what is there is not done again.
 
 A run's folder holds folds (a row for each configuration, seed and fold, appended when a fold
-ends), and for each seed of the final fit a model, the preprocessing it was fitted with, its
-predictions and its timing. Small objects are JSON, the others Parquet and Spark ML's own format.
+ends), and for each seed of the final fit a pipeline, its predictions and its timing. Small objects
+are JSON, the others Parquet and Spark ML's own format.
+
+Both parts of a run are signed: search.json and final.json hold digests of their rows and options
+(signatures.begin), so that a folder whose results came from something else isn't gone on with.
 """
 
 from __future__ import annotations
 
-import dataclasses
 import json
 from collections.abc import Mapping, Sequence
 
@@ -15,8 +17,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import ensemble, experiment, metrics, prepare
-from plumbline.sources import sinks
+from plumbline.operators import artifacts, ensemble, experiment, metrics, pipeline, signatures
+from plumbline.sources import files, sinks
+from plumbline.sources.paths import exists, names
 
 TIMING = "seed int, fit_seconds double, predict_seconds double, predict_seconds_per_100 double"
 TABLES = {
@@ -27,11 +30,6 @@ TABLES = {
 }
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a run with its schema; one that was not written yet is empty, one of other columns or types is refused."""
     schema = spark.createDataFrame([], TABLES[name]).schema
@@ -58,15 +56,28 @@ def flattened(checkpoint: Mapping) -> list[tuple]:
     ]
 
 
-def cross_validated(rows: DataFrame, folder: str, kind: str, grid: Mapping[str, Sequence], numeric: Sequence[str], categorical: Sequence[str], target: str, key: str, **options) -> DataFrame:
-    """The folds of a run, after fitting those that its table lacks; each fold is appended when it ends."""
+def _used(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, key: str) -> DataFrame:
+    """The columns that a run reads; others may change without making it another run."""
+    return rows.select(*dict.fromkeys([key, *numeric, *categorical, target]))
+
+
+def cross_validated(
+    rows: DataFrame, folder: str, kind: str, grid: Mapping[str, Sequence], numeric: Sequence[str], categorical: Sequence[str], target: str, key: str,
+    seeds: Sequence[int] = (27, 32, 59), k: int = 3, parallel: int = 4, changed: str = "raise",
+) -> DataFrame:
+    """The folds of a run, after fitting those that its table lacks; each fold is appended when it ends.
+
+    A folder whose folds came from other rows, options or seeds is refused, or emptied of them with changed = "restart".
+    """
     spark = rows.sparkSession
+    parts = {"rows": _used(rows, numeric, categorical, target, key), "kind": kind, "grid": grid, "columns": [list(numeric), list(categorical), target, key], "seeds": list(seeds), "folds": k}
+    signatures.begin(spark, folder, "search", parts, ["folds", "configurations"], changed)
     parameters = [(experiment.configuration_id(p), experiment.canonical(p)) for p in experiment.expand(grid)]
     known = {r["configuration_id"] for r in load_table(spark, folder, "configurations").collect()}
     if new := [p for p in parameters if p[0] not in known]:
         append_table(spark.createDataFrame(new, TABLES["configurations"]), folder, "configurations")
     done = load_table(spark, folder, "folds")
-    experiment.cross_validate(rows, kind, grid, numeric, categorical, target, key, done=done, record=lambda ended: append_table(ended, folder, "folds"), **options)
+    experiment.cross_validate(rows, kind, grid, numeric, categorical, target, key, seeds, k, done=done, parallel=parallel, record=lambda ended: append_table(ended, folder, "folds"))
     return load_table(spark, folder, "folds")
 
 
@@ -83,38 +94,58 @@ def mean_validation(spark: SparkSession, folder: str, metric: str = "macro_f1")
     return folds.where(F.col("configuration_id") == chosen).groupBy("seed").agg(F.avg(metric).alias("m")).agg(F.avg("m")).first()[0]
 
 
-def save_model(spark: SparkSession, model: PipelineModel, ready: prepare.Preprocessor, classes: Sequence[str], folder: str, seed: int) -> None:
-    """A fitted model, with what prepares rows for it."""
-    # JSON objects are written with sorted names; the order of features is that of the vector, so it is kept apart
-    order = {"medians": list(ready.medians), "categories": list(ready.categories)}
-    sinks.write_json(spark, dataclasses.asdict(ready) | {"classes": list(classes), "order": order}, f"{folder}/preparation-{seed}.json")
+def save_model(model: PipelineModel, folder: str, seed: int) -> None:
+    """A fitted pipeline, in one folder; then what it was made from, so that a half-written one isn't taken for whole."""
+    spark = SparkSession.active()
     model.write().overwrite().save(f"{folder}/model-{seed}")
+    made = files.load_json(spark, f"{folder}/final.json") if exists(spark, f"{folder}/final.json") else {}
+    sinks.write_json(spark, {"seed": seed, "made": experiment.signature(made)}, f"{folder}/model-{seed}.json")
 
 
-def load_model(spark: SparkSession, folder: str, seed: int) -> tuple[PipelineModel, prepare.Preprocessor, list[str]]:
-    held = json.loads(spark.read.text(f"{folder}/preparation-{seed}.json", wholetext=True).first()[0])
-    numeric, categorical = held["order"]["medians"], held["order"]["categories"]
-    ready = prepare.Preprocessor({c: held["medians"][c] for c in numeric}, {c: held["modes"][c] for c in categorical}, {c: tuple(held["categories"][c]) for c in categorical})
-    return PipelineModel.load(f"{folder}/model-{seed}"), ready, held["classes"]
+def load_model(spark: SparkSession, folder: str, seed: int) -> PipelineModel:
+    """A pipeline of the run that the folder is signed for; one of another run or seed is refused."""
+    held = files.load_json(spark, f"{folder}/model-{seed}.json")
+    made = files.load_json(spark, f"{folder}/final.json") if exists(spark, f"{folder}/final.json") else {}
+    if held != {"seed": seed, "made": experiment.signature(made)}:
+        raise signatures.ChangedRun(f"{folder}/model-{seed} is of another run or seed than {folder}/final.json")
+    return PipelineModel.load(f"{folder}/model-{seed}")
 
 
-def load_models(spark: SparkSession, folder: str, seeds: Sequence[int]) -> dict[int, tuple[PipelineModel, prepare.Preprocessor, list[str]]]:
-    """The models of all seeds; one that is missing is an error."""
-    lacking = [s for s in seeds if not exists(spark, f"{folder}/model-{s}/metadata/_SUCCESS")]
+def load_models(spark: SparkSession, folder: str, seeds: Sequence[int]) -> dict[int, PipelineModel]:
+    """The pipelines of all seeds; one that is missing is an error."""
+    lacking = [s for s in seeds if not exists(spark, f"{folder}/model-{s}.json")]
     if lacking:
         raise FileNotFoundError(f"{folder} has no model of the seeds {lacking}")
     return {s: load_model(spark, folder, s) for s in seeds}
 
 
-def refitted(train: DataFrame, test: DataFrame, folder: str, kind: str, parameters: Mapping, numeric: Sequence[str], categorical: Sequence[str], target: str, key: str, seeds: Sequence[int]) -> list[int]:
-    """Fits, predicts and times the seeds whose model, predictions or timing are not all there; returns those that it did."""
+def _final(train: DataFrame, test: DataFrame, folder: str, kind: str, parameters: Mapping, numeric: Sequence[str], categorical: Sequence[str], target: str, key: str, changed: str) -> None:
+    """Signs the final fit of a folder, or refuses it."""
+    spark = train.sparkSession
+    sides = {name: _used(side, numeric, categorical, target, key) for name, side in (("train", train), ("test", test))}
+    parts = sides | {"kind": kind, "parameters": parameters, "columns": [list(numeric), list(categorical), target, key]}
+    own = [n for n in names(spark, folder) if n.startswith(("model-", "predictions", "timing"))]
+    signatures.begin(spark, folder, "final", parts, own, changed)
+
+
+def refitted(
+    train: DataFrame, test: DataFrame, folder: str, kind: str, parameters: Mapping, numeric: Sequence[str], categorical: Sequence[str], target: str, key: str, seeds: Sequence[int], changed: str = "raise",
+) -> list[int]:
+    """Fits, predicts and times the seeds whose model, predictions or timing are not all there; returns those that it did.
+
+    A folder made from other rows or parameters is refused, or emptied with changed = "restart". Predictions that are
+    there are reused only if they answer each test row once.
+    """
     spark, did = train.sparkSession, []
+    _final(train, test, folder, kind, parameters, numeric, categorical, target, key, changed)
     timed = {r["seed"] for r in load_table(spark, folder, "timing").collect()}
     for seed in seeds:
-        if seed in timed and all(exists(spark, f"{folder}/{p}") for p in (f"model-{seed}/metadata/_SUCCESS", f"preparation-{seed}.json", f"predictions/seed={seed}/_SUCCESS")):
+        if seed in timed and all(exists(spark, f"{folder}/{p}") for p in (f"model-{seed}.json", f"predictions/seed={seed}/_SUCCESS")):
+            there = spark.read.parquet(f"{folder}/predictions/seed={seed}").withColumn("__valid", F.col("predicted_class").isNotNull())
+            artifacts.faultless(artifacts.reuse_faults(there, test, key, "predicted_class", "__valid", ""))
             continue
         model, predicted, seconds = experiment.refit(train, test, kind, parameters, numeric, categorical, target, key, seed)
-        save_model(spark, model, prepare.fit(train, numeric, categorical), prepare.classes_of(train, target), folder, seed)
+        save_model(model, folder, seed)
         sinks.write_table(predicted, f"{folder}/predictions/seed={seed}")
         if seed not in timed:
             append_table(spark.createDataFrame([(seed, *map(float, seconds.values()))], TIMING), folder, "timing")
@@ -126,6 +157,8 @@ def refitted(train: DataFrame, test: DataFrame, folder: str, kind: str, paramete
 def missing_timing(train: DataFrame, test: DataFrame, folder: str, kind: str, parameters: Mapping, numeric: Sequence[str], categorical: Sequence[str], target: str, key: str, seeds: Sequence[int]) -> list[int]:
     """Times the fit and prediction of the seeds whose timing is missing, and leaves models and predictions as they are."""
     spark = train.sparkSession
+    if exists(spark, f"{folder}/final.json"):
+        _final(train, test, folder, kind, parameters, numeric, categorical, target, key, "raise")
     wanted = spark.createDataFrame([(s,) for s in seeds], "seed int").join(load_table(spark, folder, "timing"), "seed", "left_anti")
     lacking = sorted(r["seed"] for r in wanted.collect())
     for seed in lacking:
@@ -138,12 +171,12 @@ def missing_timing(train: DataFrame, test: DataFrame, folder: str, kind: str, pa
 def frozen_test(test: DataFrame, folder: str, target: str, key: str, seeds: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """Predictions (seed, key, actual_class, predicted_class, probabilities) of saved models for rows they never saw, and all metrics by seed. Nothing is fitted."""
     parts, classes = [], None
-    for seed, (model, ready, found) in load_models(test.sparkSession, folder, seeds).items():
+    for seed, model in load_models(test.sparkSession, folder, seeds).items():
+        found = pipeline.classes_of(model)
         if classes not in (None, found):
             raise ValueError(f"the model of seed {seed} has other classes")
         classes = found
-        rows = experiment.assembled(test, ready, target, classes, [key])
-        parts.append(experiment.predictions(model, rows, classes, target, key).select(F.lit(seed).alias("seed"), "*"))
+        parts.append(pipeline.predictions(model, test, target, key).select(F.lit(seed).alias("seed"), "*"))
     predicted = parts[0]
     for part in parts[1:]:
         predicted = predicted.unionByName(part)

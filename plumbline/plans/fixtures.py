@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.paths import scratch as scratch
+
 SEEDS = (27, 32, 59)
 CLASSES = ("click", "error", "purchase", "signup", "view")
 CLASSIFIERS = ("c0", "c1", "c2")
@@ -24,16 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of its own for files that a query writes and reads back: below spark.checkpoint.dir, or local for a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "event_type", "ts", "value", f"{DIRTY} AS dirty", f"{SPLIT} AS split")
 

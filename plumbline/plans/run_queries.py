@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import transform
-from plumbline.operators import experiment, inference, metrics, profile, reporting, sampling, summaries
+from plumbline.operators import experiment, inference, metrics, profile, reporting, sampling, signatures, summaries
 from plumbline.plans import fixtures as X
 from plumbline.plans.queries import query
 from plumbline.schema import DataType, Feature, Role, Semantic, from_struct
@@ -124,24 +124,50 @@ def target_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.target_faults(rows, "kind", "id")
 
 
-_SAMPLERS, _LEAVES, _DEPTHS = "(SELECT unnest(['none', 'oversample']) AS sampler)", "(SELECT unnest([1, 5]) AS leaf)", "(SELECT unnest([10, 20, NULL]) AS depth)"
+def _choices(**values: list) -> str:
+    """Every combination of named values, as SQL."""
+    return ", ".join(f"(SELECT unnest([{', '.join(map(str, v))}]) AS {n})" for n, v in values.items())
+
+
+_SAMPLERS, _SPLITS = ["'none'", "'oversample'"], [2, 5, 10]
 
 
 @query(
     "exp_3_grids",
-    f"""SELECT 'decision_tree' AS kind, sampler, criterion, NULL::INT AS trees, depth, leaf, NULL::DOUBLE AS rate, NULL::DOUBLE AS share FROM {_SAMPLERS}, (SELECT unnest(['gini', 'entropy']) AS criterion), {_DEPTHS}, {_LEAVES}
-UNION ALL SELECT 'random_forest', sampler, NULL, trees, depth, leaf, NULL, NULL FROM {_SAMPLERS}, (SELECT unnest([100, 200]) AS trees), {_DEPTHS}, {_LEAVES}
-UNION ALL SELECT 'boosted_trees', sampler, NULL, trees, depth, NULL, rate, share FROM {_SAMPLERS}, (SELECT unnest([100, 200]) AS trees), (SELECT unnest([3, 6]) AS depth),
- (SELECT unnest([0.05, 0.1])::DOUBLE AS rate), (SELECT unnest([0.8, 1.0])::DOUBLE AS share)""",
+    f"""SELECT 'decision_tree' AS kind, sampler, criterion, NULL::INT AS trees, depth, split, leaf, NULL::INT AS weight, NULL::DOUBLE AS rate, NULL::DOUBLE AS share
+ FROM {_choices(sampler=_SAMPLERS, criterion=["'gini'", "'entropy'"], depth=[10, 20, 'NULL'], split=_SPLITS, leaf=[1, 5])}
+UNION ALL SELECT 'random_forest', sampler, NULL, trees, depth, split, leaf, NULL, NULL, NULL FROM {_choices(sampler=_SAMPLERS, trees=[100, 200], depth=[10, 20, 'NULL'], split=_SPLITS, leaf=[1, 5])}
+UNION ALL SELECT 'boosted_trees', sampler, NULL, trees, depth, NULL, NULL, weight, rate::DOUBLE, share::DOUBLE
+ FROM {_choices(sampler=_SAMPLERS, trees=[100, 200], depth=[3, 6], weight=[1, 5], rate=[0.05, 0.1], share=[0.8, 1.0])}""",
 )
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every configuration of the published grids: a few dozen rows, made on the driver."""
+    """Every configuration of the published grids: 208 rows, made on the driver."""
     rows = [
-        (kind, c["sampler"], c.get("criterion"), c.get("n_estimators", c.get("rounds")), c["max_depth"], c.get("min_samples_leaf"), c.get("learning_rate"), c.get("subsample"))
+        (kind, c["sampler"], c.get("criterion"), c.get("n_estimators", c.get("rounds")), c["max_depth"], *map(c.get, ("min_samples_split", "min_samples_leaf", "min_child_weight", "learning_rate", "subsample")))
         for kind, grid in experiment.GRIDS.items()
         for c in experiment.expand(grid)
     ]
-    return spark.createDataFrame(rows, "kind string, sampler string, criterion string, trees int, depth int, leaf int, rate double, share double")
+    return spark.createDataFrame(rows, "kind string, sampler string, criterion string, trees int, depth int, split int, leaf int, weight int, rate double, share double")
+
+
+@query(
+    "exp_7_changed_rows",
+    """SELECT l_returnflag, l_shipdate, count(*) AS n, bool_or(l_orderkey % 997 = 5) AS changed, bool_or(l_orderkey % 991 = 7) AS repeated, false AS reordered FROM lineitem GROUP BY 1, 2""",
+)
+def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which groups of lineitem another version of the table changes, by digests alone: one with other values in some rows, one with some rows twice, and one of the same rows and columns in another order."""
+    keys, rows = ["l_returnflag", "l_shipdate"], X.table(spark, sf_dir, "lineitem")
+    planted = {
+        "changed": rows.withColumn("l_tax", F.when(F.col("l_orderkey") % 997 == 5, F.col("l_tax") + 1).otherwise(F.col("l_tax"))),
+        "repeated": rows.unionByName(rows.where("l_orderkey % 991 = 7")),
+        "reordered": rows.select(*reversed(rows.columns)).repartition(7, "l_partkey"),
+    }
+    found = signatures.digests(rows, keys)
+    for name, other in planted.items():
+        # types are part of a digest, so those of a changed column are kept
+        other = other.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema))
+        found = found.join(signatures.digests(other, keys).select(*keys, F.col("digest").alias(name)), keys)
+    return found.select(*keys, "n", *((F.col("digest") != F.col(name)).alias(name) for name in planted))
 
 
 @query(
@@ -153,5 +179,25 @@ def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run over some rows that goes on with all of them: each row is answered once."""
     folder = X.scratch(spark, "answers")
     asked = inference.prompts(X.table(spark, sf_dir, "events").withColumnRenamed("event_id", "row_index"), {"user_id": "bigint"}, ["row_index"])
-    inference.resumed(asked.where("row_index % 3 = 0"), X.rule, X.CLASSES, folder, parts=2)
-    return inference.resumed(asked, X.rule, X.CLASSES, folder, parts=2).select("row_index", "predicted_class", "response_valid")
+    inference.resumed(asked.where("row_index % 3 = 0"), X.rule, X.CLASSES, folder, every=20_000)
+    return inference.resumed(asked, X.rule, X.CLASSES, folder, every=20_000).select("row_index", "predicted_class", "response_valid")
+
+
+_CHANGED = "CASE WHEN event_id % 50 = 7 THEN user_id + 1 ELSE user_id END"
+
+
+@query(
+    "llm_2_changed_run",
+    f"""WITH e AS (SELECT event_id AS row_index, {_CHANGED} AS u, event_id % 50 = 7 AS changed FROM events)
+SELECT row_index, CASE WHEN u % 11 = 10 THEN NULL ELSE CASE u % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 THEN 'purchase' END END AS predicted_class,
+ 2 + changed::INT AS n_asked FROM e""",
+)
+def changed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose prompts change in some rows, then nothing, then an option: how often each row was asked, and its answer under what holds now."""
+    folder, rows = X.scratch(spark, "answers"), X.table(spark, sf_dir, "events")
+    first, changed = (inference.prompts(rows.selectExpr("event_id AS row_index", f"{user} AS user_id"), {"user_id": "bigint"}, ["row_index"]) for user in ("user_id", _CHANGED))
+    for asked, option in ((first, 0), (changed, 0), (changed, 0)):
+        inference.resumed(asked, X.rule, X.CLASSES, folder, every=20_000, definition={"temperature": option})
+    found = inference.resumed(changed, X.rule, X.CLASSES, folder, every=20_000, definition={"temperature": 1})
+    times = inference.answers_of(spark, folder, found.schema["row_index"]).groupBy("row_index").agg(F.count("*").cast("int").alias("n_asked"))
+    return found.join(times, "row_index").select("row_index", "predicted_class", "n_asked")

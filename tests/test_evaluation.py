@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.operators import checks, ensemble, experiment, inference, metrics, prepare, profile, sampling, summaries
+from plumbline.operators import checks, ensemble, experiment, inference, metrics, pipeline, prepare, profile, sampling, summaries
 
 
 def table(spark, matrix, classes):
@@ -127,7 +127,7 @@ def test_experiment(spark):
     assert experiment.select_best(both) in {experiment.configuration_id(p) for p in experiment.expand(grid)}
     model, predicted, seconds = experiment.refit(rows, rows, "boosted_trees", {"rounds": 2, "sampler": "oversample"}, ["v"], ["c"], "y", "id", 27)
     assert predicted.count() == 240 and set(seconds) == {"fit_seconds", "predict_seconds", "predict_seconds_per_100"}
-    assert abs(sum(p for _, _, p in experiment.importances(model, prepare.fit(rows, ["v"], ["c"]).outputs)) - 1) < 1e-6
+    assert abs(sum(p for _, _, p in pipeline.importances(model)) - 1) < 1e-6
     assert abs(sum(predicted.first()["probabilities"]) - 1) < 1e-9
 
 

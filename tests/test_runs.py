@@ -13,17 +13,17 @@ from plumbline.schema import Role, from_struct
 def test_a_stopped_run_keeps_the_answers_of_ended_parts(spark, tmp_path):
     asked, folder = spark.range(60).selectExpr("id AS row_index", "CAST(id AS STRING) AS prompt"), f"file://{tmp_path}/run"
     first = asked.where("row_index < 20")
-    assert inference.resumed(first, lambda prompt: "old", ["old", "new"], folder, parts=3).count() == 20
-    found = inference.resumed(asked, lambda prompt: "new", ["old", "new"], folder, parts=3)
+    assert inference.resumed(first, lambda prompt: "old", ["old", "new"], folder, every=5).count() == 20
+    found = inference.resumed(asked, lambda prompt: "new", ["old", "new"], folder, every=5)
     assert {r["row_index"]: r["predicted_class"] for r in found.collect()} == {i: "old" if i < 20 else "new" for i in range(60)}
-    again = inference.resumed(first, lambda prompt: "none", ["old", "new"], folder, parts=3)
+    again = inference.resumed(first, lambda prompt: "none", ["old", "new"], folder, every=5)
     assert again.count() == 20 and again.where("predicted_class = 'old'").count() == 20
 
 
 def test_every_run_has_a_folder_and_needs_classes(spark, tmp_path):
     asked = spark.range(4).selectExpr("id AS row_index", "CAST(id AS STRING) AS prompt")
     runs = {"one": asked, "two": asked.where("row_index < 2")}
-    found = inference.run_all(runs, lambda prompt: "a", {"one": ["a"], "two": ["b"]}, f"file://{tmp_path}/all", parts=1)
+    found = inference.run_all(runs, lambda prompt: "a", {"one": ["a"], "two": ["b"]}, f"file://{tmp_path}/all", every=3)
     assert {n: rows.where("response_valid").count() for n, rows in found.items()} == {"one": 4, "two": 0}
     with pytest.raises(ValueError, match="two"):
         inference.run_all(runs, None, {"one": ["a"]}, f"file://{tmp_path}/none")
