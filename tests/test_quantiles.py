@@ -1,6 +1,8 @@
 import numpy as np
+import pandas as pd
 import pytest
 
+from plumbline.operators import quantiles
 from plumbline.operators.quantiles import exact_quantiles, quantile_columns
 
 
@@ -25,5 +27,26 @@ def test_without_keys_and_with_null_keys(spark):
 
 
 def test_brackets_are_what_is_broadcast(spark):
-    plan = exact_quantiles(spark.range(10).selectExpr("cast(id as double) v"), [], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
-    assert "percentile_approx" in plan and "BuildLeft" not in plan
+    frame = spark.range(10).selectExpr("cast(id as double) v", "id % 2 as g")
+    for keys in ([], ["g"]):
+        plan = exact_quantiles(frame, keys, "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("most_groups", [1, 20_000])
+def test_brackets_are_narrowed_until_they_are_small(spark, monkeypatch, most_groups):
+    """With brackets of at most 60 rows, several rounds and an expensive group among small ones give the same quantiles."""
+    for name, value in (("MOST_INSIDE", 60), ("GRID", 10), ("MOST_GROUPS", most_groups), ("SMALL", 1000)):
+        monkeypatch.setattr(quantiles, name, value)
+    rng = np.random.Generator(np.random.PCG64(7))
+    n = 60_000
+    groups = {"smooth": rng.normal(size=n), "ties": rng.integers(0, 5, n).astype(float), "skew": np.where(rng.random(n) < 0.97, 0.0, rng.random(n)), "few": rng.random(50), "steps": np.round(rng.random(n), 2)}
+    frame = spark.createDataFrame(pd.DataFrame({"g": [g for g, v in groups.items() for _ in v], "v": np.concatenate(list(groups.values()))})).repartition(3)
+    p, passes, narrowed = [0.0, 0.05, 0.5, 0.95, 1.0], [], quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda values, keys, held, shares: (narrowed(values, keys, held, shares), passes.append(held)))
+    found = {(r["g"], r["p"]): r["quantile"] for r in exact_quantiles(frame, ["g"], "v", p).collect()}
+    for g, values in groups.items():
+        assert np.allclose([found[g, x] for x in p], np.quantile(values, p), rtol=0, atol=1e-12)
+    for group in (h for held in passes for h in held if h["n"] >= 1000):
+        values = groups[group["key"][0]]
+        assert all(lo == hi or len(set(values[(values >= lo) & (values <= hi)])) <= 120 for lo, hi in zip(group["lo"], group["hi"], strict=True))
