@@ -59,6 +59,55 @@ def spaced(ticks: Sequence[float], forward: Callable[[float], float], low: float
     return out
 
 
+def _farthest(kept: list[float], candidates: Sequence[float], ends: tuple[float, float], number: int, apart: float) -> list[float]:
+    """kept, and of the candidates, one after the other, the one farthest from all ticks and ends, up to number and at least apart from them."""
+    kept, left = list(kept), set(candidates) - set(kept)
+    while left and len(kept) < number:
+        room = {c: min(abs(c - other) for other in (*kept, *ends)) for c in left}
+        best = min(left, key=lambda c: (-room[c], c))
+        if room[best] < apart:
+            break
+        kept.append(best)
+        left.remove(best)
+    return sorted(kept)
+
+
+#: Shares of the even spacing that ticks keep apart, the first with which there are enough.
+LOOSER = (0.6, 0.45, 0.3, 0.15, 0.0)
+
+
+def nonlinear_ticks(low: float, high: float, transform: str, quantiles: Sequence[float] = (), least: int = 5) -> list[float]:
+    """Both ends of an axis in a transformed space, and at least `least` ticks between them that don't crowd there.
+
+    Powers of ten come first (where low isn't negative), then the given quantiles of the data, then even parts, each the
+    farthest from those before. If spacing leaves too few, it is loosened.
+    """
+    forward, back = FORWARD_AND_BACK[transform]
+    a, b = forward(low), forward(high)
+    if b <= a:
+        return [low, high]
+    decades = [forward(t) for t in decade_ticks(low, high)] if low >= 0 else []
+    parts = (least + 2) * 4 - 1
+    pools = [v for q in quantiles if a < (v := forward(q)) < b], [a + (b - a) * i / parts for i in range(1, parts)]
+    found: list[float] = []
+    for share in LOOSER:
+        apart, found = (b - a) / (least + 1) * share, []
+        for tick in decades:
+            if all(abs(tick - other) >= apart for other in (*found, a, b)):
+                found.append(tick)
+        for pool in pools:
+            found = _farthest(found, pool, (a, b), least, apart)
+        if len(found) >= least:
+            break
+    return [back(t) for t in (a, *sorted(t for t in set(found) if a < t < b), b)]
+
+
+#: By name what the transforms of columns do, for single numbers.
+FORWARD_AND_BACK: dict[str, tuple[Callable[[float], float], Callable[[float], float]]] = {
+    "linear": (float, float), "sqrt": (math.sqrt, lambda v: v * v), "cbrt": (math.cbrt, lambda v: v**3), "log1p": (math.log1p, math.expm1),
+}
+
+
 def metric_bounds(values: Sequence[float], lowest: float = 0.0, highest: float = 1.0, padding: float = 0.1) -> tuple[float, float]:
     """The range of values with padding, within what the metric allows; never empty."""
     low, high = min(values), max(values)

@@ -66,6 +66,20 @@ def expand(grid: Mapping[str, Sequence]) -> list[dict]:
     return [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
 
 
+def gridded(rows: DataFrame, grid: Mapping[str, Sequence]) -> DataFrame:
+    """rows, each with every combination of a grid as columns: for grids of many datasets at once. Options are checked by expand."""
+    expand(grid)
+    for name, values in grid.items():
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return rows
+
+
+def configuration_ids(rows: DataFrame, columns: Sequence[str], name: str = "configuration_id") -> DataFrame:
+    """rows plus configuration_id of each row's columns, as configuration_id gives it for one; columns hold text, whole numbers or truth values."""
+    held = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    return rows.withColumn(name, F.substring(F.sha2(held, 256), 1, 12))
+
+
 def estimator(kind: str, parameters: Mapping, seed: int, key: str = "id"):
     """A classifier on features and label that gives probability; an option that its kind doesn't have raises."""
     if kind not in OPTIONS:

@@ -17,7 +17,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import artifacts, ensemble, experiment, metrics, pipeline, signatures
+from plumbline.operators import artifacts, ensemble, experiment, metrics, pipeline, signatures, summaries
 from plumbline.sources import files, sinks
 from plumbline.sources.paths import exists, names
 
@@ -185,10 +185,14 @@ def frozen_test(test: DataFrame, folder: str, target: str, key: str, seeds: Sequ
     return predicted, metrics.summary_metrics(wide, ["seed"]).join(metrics.macro_auc(wide, ["seed"], classes, list(named)), "seed")
 
 
-def committee(spark: SparkSession, folders: Mapping[str, str], classes: Sequence[str], key: str, metric: str = "macro_f1") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Weights, votes and metrics by strategy and seed of the classifiers whose runs lie in folders; only their tables are read.
+def committee(spark: SparkSession, folders: Mapping[str, str], classes: Sequence[str], key: str, metric: str = "macro_f1") -> dict[str, DataFrame]:
+    """All tables of a committee of the classifiers whose runs lie in folders; only what the runs wrote is read, and nothing is fitted.
 
-    A classifier weighs its mean validation metric's share of the sum.
+    weights: a classifier weighs its mean validation metric's share of the sum. votes; seeds (all eight metrics by seed and
+    strategy) and summary (their mean and spread over seeds); diversity of pairs by seed and pairs (over seeds); corrections
+    by seed and corrected (over seeds).
+
+    Predictions that aren't one of each classifier for each row and seed, of one actual class, raise.
     """
     values = spark.createDataFrame([(name, mean_validation(spark, folder, metric)) for name, folder in folders.items()], "classifier string, value double")
     weights = ensemble.weights_of(values, "value")
@@ -196,5 +200,21 @@ def committee(spark: SparkSession, folders: Mapping[str, str], classes: Sequence
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
+    if apart := ensemble.aligned(rows, ["seed", key], len(folders)).count():
+        raise ValueError(f"{apart} rows aren't predicted once by each of {', '.join(folders)}, of one actual class")
     voted = ensemble.votes(rows, ["seed", key], classes, {r["classifier"]: r["weight"] for r in weights.collect()})
-    return weights, voted, metrics.summary_metrics(voted, ["seed", "strategy"])
+    by = ["seed", "strategy"]
+    scores = {f"probability_{i}_{c}": F.round(F.get("scores", F.lit(i)), SCORE_PLACES) for i, c in enumerate(classes)}
+    seeds = metrics.summary_metrics(voted, by).join(metrics.macro_auc(voted.withColumns(scores), by, classes, list(scores)), by)
+    pairs = ensemble.diversity(rows, ["seed"], [key])
+    corrected = ensemble.corrections(voted, rows, ["seed"], [key])
+    rates = [c for c in corrected.columns if c.endswith("_rate")]
+    return {
+        "weights": weights, "votes": voted, "seeds": seeds, "summary": summaries.mean_and_std(seeds, ["strategy"], experiment.METRICS),
+        "diversity": pairs, "pairs": summaries.mean_and_std(pairs, ["classifier_a", "classifier_b"], ["disagreement", "double_fault", "error_jaccard"]),
+        "corrections": corrected, "corrected": summaries.mean_and_std(corrected, ["strategy"], rates),
+    }
+
+
+#: Places to which scores of votes count as different in AUCs: sums of weights in another order differ beyond them.
+SCORE_PLACES = 9

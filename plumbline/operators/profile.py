@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from plumbline.functions.columns import TRANSFORMS, domain_order, finite, infinite, missing, ratio
 from plumbline.operators.quantiles import exact_quantiles, quantile_columns
 from plumbline.schema import Role, Schema, Semantic
+from plumbline.sources.paths import scratch
 
 MISSING = "<missing>"
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -93,23 +94,65 @@ def datetime_profile(rows: DataFrame, keys: Sequence[str], columns: Sequence[str
     )
 
 
-def dataset_statistics(rows: DataFrame, schema: Schema, split: str = "split") -> dict[str, DataFrame]:
-    """All dataset tables, lazily, over one scan each: overview, target, inventory, quality, numeric, binary, categorical, datetime."""
+def dataset_cells(rows: DataFrame, schema: Schema, split: str = "split") -> DataFrame:
+    """split, feature, category, n, n_missing, n_infinite, min, max, mean, std, first, last: all that one scan tells of a dataset.
+
+    Each column of a row is a cell, and cells are grouped once: of a numeric feature all together, of any other by
+    category (a date's is its text). A cell without feature stands for the row.
+    """
+    cells = [F.struct(F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(False).alias("gone"), F.lit(False).alias("endless"))]
+    for f in schema.features:
+        value, numeric, dated = F.col(f"`{f.label}`"), f.semantic is Semantic.NUMERIC, f.semantic is Semantic.DATETIME
+        cells.append(
+            F.struct(
+                F.lit(f.label).alias("feature"),
+                (F.lit(None).cast("string") if numeric else value.cast("string") if dated else F.coalesce(value.cast("string"), F.lit(MISSING))).alias("category"),
+                (finite(value.cast("double")) if numeric else F.lit(None).cast("double")).alias("v"),
+                (value.cast("timestamp_ntz") if dated else F.lit(None).cast("timestamp_ntz")).alias("at"),
+                missing(value, numeric).alias("gone"),
+                (infinite(value) if numeric else F.lit(False)).alias("endless"),
+            )
+        )
+    each = rows.select(split, F.explode(F.array(*cells)).alias("c")).select(split, "c.*")
+    return each.groupBy(split, "feature", "category").agg(
+        F.count("*").alias("n"), F.count_if("gone").alias("n_missing"), F.count_if("endless").alias("n_infinite"), F.count("v").alias("n_finite"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("at").alias("first"), F.max("at").alias("last"),
+    )
+
+
+def dataset_statistics(rows: DataFrame, schema: Schema, split: str = "split", percentiles: bool = True) -> dict[str, DataFrame]:
+    """All dataset tables: overview, target, inventory, quality, numeric, binary, categorical, datetime.
+
+    They are cut from dataset_cells, which is computed once, in one scan of rows, into a table in the shared folder. Exact
+    percentiles of numeric features can't come from it; unless they are left out, exact_quantiles scans rows again.
+    """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "cells")
+    dataset_cells(rows, schema, split).write.parquet(path)
+    held = spark.read.parquet(path)
+    of = lambda labels: held.where(F.col("feature").isin(labels))
     labels = lambda *kinds: [f.label for f in schema.of_semantic(*kinds) if f.role is not Role.TARGET]
     numeric, binary, categorical, dates = (labels(k) for k in (Semantic.NUMERIC, Semantic.BINARY, Semantic.CATEGORICAL, Semantic.DATETIME))
+    counts = {f"{role.value}_columns": len(schema.of_role(role)) for role in Role}
+    totals = held.where("feature is null").select(split, F.col("n").alias("n_rows"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(split, "feature"))
+    by_feature = of([f.label for f in schema.features]).groupBy(split, "feature").agg(F.sum("n_missing").alias("n_missing"), F.sum("n_infinite").alias("n_infinite"))
     out = {
-        "overview": overview(rows, schema, split),
-        "target": target_distribution(rows, schema.target.label, split),
-        "inventory": rows.sparkSession.createDataFrame(schema.inventory(), "position int, label string, name string, data_type string, semantic string, role string, domain_size int"),
-        "quality": data_quality(rows, [split], {f.label: f.semantic is Semantic.NUMERIC for f in schema.features}),
+        "overview": totals.withColumns({"n_columns": F.lit(len(schema.features)), **{k: F.lit(v) for k, v in counts.items()}, "target": F.lit(schema.target.label)}),
+        "target": of([schema.target.label]).withColumn("share", share).select(split, "category", "n", "share"),
+        "inventory": spark.createDataFrame(schema.inventory(), "position int, label string, name string, data_type string, semantic string, role string, domain_size int"),
+        "quality": by_feature.join(totals, split).select(split, "feature", "n_missing", ratio(F.col("n_missing"), F.col("n_rows")).alias("missing_share"), "n_infinite"),
     }
     if numeric:
-        out["numeric"] = numeric_profile(rows, [split], numeric)
+        moments = of(numeric).where("n_finite > 0").select(split, "feature", F.col("n_finite").alias("n"), "min", "max", "mean", "std")
+        if percentiles:
+            long = long_form(rows, [split], numeric, "double").withColumn("value", finite(F.col("value"))).where("value is not null")
+            moments = moments.join(quantile_columns(long, [split, "feature"], "value", PERCENTILES), [split, "feature"])
+        out["numeric"] = moments
     for name, columns in (("binary", binary), ("categorical", categorical)):
         if columns:
-            out[name] = value_counts(rows, [split], columns)
+            out[name] = of(columns).withColumn("share", share).select(split, "feature", "category", "n", "share")
     if dates:
-        out["datetime"] = datetime_profile(rows, [split], dates)
+        out["datetime"] = of(dates).groupBy(split, "feature").agg(F.min("first").alias("min"), F.max("last").alias("max"), F.sum("n_missing").alias("n_missing"), F.count("category").alias("n_distinct"))
     return out
 
 

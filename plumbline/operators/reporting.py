@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.columns import domain_order, mean_std
+from plumbline.functions.axes import nonlinear_ticks
+from plumbline.functions.columns import domain_order, finite, mean_std
 from plumbline.operators import profile, summaries
+from plumbline.operators.quantiles import quantile_columns
 
 
 def parameter_columns(table: DataFrame, excluded: Sequence[str] = ("configuration_id", "seed", "fold"), suffixes: Sequence[str] = ("_mean", "_std"), prefixes: Sequence[str] = ("seed_",)) -> list[str]:
@@ -42,10 +45,20 @@ def cross_validation(folds: DataFrame, metrics: Sequence[str], seeds: Sequence[i
     return {"seeds": by_seed, "configurations": table, "best": summaries.ranked_configurations(table, metric, limit=1), "shown": summaries.shown(ranked, metrics)}
 
 
-def test_evaluation(seed_rows: DataFrame, names: Sequence[str], metrics: Sequence[str]) -> dict[str, DataFrame]:
-    """summary (mean and std of metrics by names) and shown (the same as text)."""
+def test_evaluation(seed_rows: DataFrame, names: Sequence[str], metrics: Sequence[str], training: DataFrame | None = None, inference: DataFrame | None = None) -> dict[str, DataFrame]:
+    """summary (mean and std of metrics by names) and shown (the same as text); with times of training and inference by names and seed also timing."""
     summary = summaries.mean_and_std(seed_rows, names, metrics)
-    return {"summary": summary, "shown": summaries.shown(summary, metrics)}
+    timing = {} if training is None or inference is None else {"timing": summaries.timing_table(training, inference, names)}
+    return {"summary": summary, "shown": summaries.shown(summary, metrics)} | timing
+
+
+def feature_differences(rows: DataFrame, by: str = "classifier", feature: str = "original_feature") -> DataFrame:
+    """feature, n, missing_in of the features that not every classifier has importances of; empty if all have the same."""
+    names = rows.select(by).distinct()
+    n = names.count()
+    held = rows.select(feature, by).distinct().groupBy(feature).agg(F.count("*").alias("n"), F.collect_set(by).alias("__in")).where(F.col("n") < n)
+    every = names.agg(F.collect_set(by).alias("__all"))
+    return held.join(F.broadcast(every), F.lit(True)).select(feature, "n", F.array_join(F.array_sort(F.array_except("__all", "__in")), ", ").alias("missing_in"))
 
 
 def importance_summary(rows: DataFrame, n: int, seeds: int) -> DataFrame:
@@ -57,12 +70,21 @@ def importance_summary(rows: DataFrame, n: int, seeds: int) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("peak"), "feature"))).drop("__seeds")
 
 
-def committee_comparison(individual: DataFrame, committee: DataFrame, metric: str, order: Sequence[str]) -> DataFrame:
-    """kind, name, mean, std, gain over the best individual, position: individuals (classifier) and committees (strategy) in a given order."""
-    side = lambda rows, kind, name: summaries.mean_and_std(rows, [name], [metric]).select(F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(f"{metric}_mean").alias("mean"), F.col(f"{metric}_std").alias("std"))
+def committee_comparison(individual: DataFrame, committee: DataFrame, metrics: str | Sequence[str], order: Sequence[str]) -> DataFrame:
+    """kind, name, position and of each metric mean, std and gain over the best individual: individuals (classifier) and committees (strategy) in a given order.
+
+    Columns are named by their metric, but for a single one.
+    """
+    names = [metrics] if isinstance(metrics, str) else list(metrics)
+    prefix = {m: "" if isinstance(metrics, str) else f"{m}_" for m in names}
+
+    def side(rows: DataFrame, kind: str, name: str) -> DataFrame:
+        stats = [F.col(f"{m}_{s}").alias(f"{prefix[m]}{s}") for m in names for s in ("mean", "std")]
+        return summaries.mean_and_std(rows, [name], names).select(F.lit(kind).alias("kind"), F.col(name).alias("name"), *stats)
+
     both = side(individual, "individual", "classifier").unionByName(side(committee, "committee", "strategy"))
-    best = F.max(F.when(F.col("kind") == "individual", F.col("mean"))).over(Window.partitionBy())
-    return both.withColumn("gain", F.col("mean") - best).withColumn("position", F.row_number().over(Window.orderBy(domain_order(F.col("name"), order), "name")))
+    best = {f"{prefix[m]}gain": F.col(f"{prefix[m]}mean") - F.max(F.when(F.col("kind") == "individual", F.col(f"{prefix[m]}mean"))).over(Window.partitionBy()) for m in names}
+    return both.withColumns(best).withColumn("position", F.row_number().over(Window.orderBy(domain_order(F.col("name"), order), "name")))
 
 
 def feature_inspection(rows: DataFrame, column: str, target: str, bins: int = 20, transform: str = "linear") -> dict[str, DataFrame]:
@@ -73,5 +95,17 @@ def feature_inspection(rows: DataFrame, column: str, target: str, bins: int = 20
     }
 
 
+def axis_ticks(rows: DataFrame, column: str, keys: Sequence[str] = (), transform: str = "log1p", least: int = 5) -> DataFrame:
+    """keys, ticks: of each group the ends and ticks of an axis of its finite values in a transformed space (axes.nonlinear_ticks)."""
+    value = finite(F.col(f"`{column}`").cast("double"))
+    held = rows.select(*keys, value.alias("__value")).where("__value is not null")
+    quartiles = quantile_columns(held, keys, "__value", {"__low": 0.0, "__q1": 0.25, "__q2": 0.5, "__q3": 0.75, "__high": 1.0})
+
+    def ticks(low: pd.Series, one: pd.Series, two: pd.Series, three: pd.Series, high: pd.Series) -> pd.Series:
+        return pd.Series([nonlinear_ticks(a, b, transform, q, least) for a, *q, b in zip(low, one, two, three, high, strict=True)])
+
+    return quartiles.select(*keys, F.pandas_udf(ticks, "array<double>")("__low", "__q1", "__q2", "__q3", "__high").alias("ticks"))
+
+
 def shown_metric(summary: DataFrame, metric: str) -> DataFrame:
     return summary.withColumn("shown", mean_std(F.col(f"{metric}_mean"), F.col(f"{metric}_std")))

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.columns import draw
+from plumbline.operators.prepare import MOST_CATEGORIES
 
 
 #: Hex digits of a draw that split a class.
 DIGITS = 3
+#: Classes whose counts by first digits are broadcast; of more they meet the rows by a shuffle.
+BROADCAST_CLASSES = 50
+#: Draws that one row makes; the draws of a class are spread over as many rows as that takes.
+CHUNK = 100_000
 
 
 def allocations(counts: list[tuple[str, int]], size: int) -> dict[str, int]:
@@ -46,7 +51,8 @@ def ranked(rows: DataFrame, target: str, seed: int, key: str) -> DataFrame:
     """rows plus __nth: the place of each row in the draw of its class.
 
     Rows are counted by class and the first DIGITS hex digits of their draw, and numbered within those, so that a class is
-    spread over 16 ** DIGITS groups however large it is. The counts are broadcast: so many rows a class at most.
+    spread over 16 ** DIGITS groups however large it is. The counts, so many rows a class at most, are broadcast for up to
+    BROADCAST_CLASSES classes.
     """
     drawn = rows.withColumn("__draw", draw(seed, F.col(key))).withColumn("__part", F.substring("__draw", 1, DIGITS))
     counts = drawn.groupBy(F.col(target).alias("__class"), F.col("__part").alias("__first")).agg(F.count("*").alias("__n"))
@@ -54,13 +60,16 @@ def ranked(rows: DataFrame, target: str, seed: int, key: str) -> DataFrame:
     starts = counts.select("__class", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = F.row_number().over(Window.partitionBy(target, "__part").orderBy("__draw", key))
     met = F.col(target).eqNullSafe(F.col("__class")) & F.col("__part").eqNullSafe(F.col("__first"))
-    numbered = drawn.join(F.broadcast(starts), met, "left").withColumn("__nth", (F.col("__start") + inside).cast("int"))
+    few = rows.select(target).distinct().limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    numbered = drawn.join(F.broadcast(starts) if few else starts.hint("shuffle_hash"), met, "left").withColumn("__nth", (F.col("__start") + inside).cast("int"))
     return numbered.select(*rows.columns, "__nth")
 
 
 def stratified_sample(rows: DataFrame, target: str, size: int, seed: int, key: str) -> DataFrame:
-    """Exactly size rows, classes in proportion."""
-    counts = [(r[0], r[1]) for r in rows.groupBy(target).count().collect()]
+    """Exactly size rows, classes in proportion; more than MOST_CATEGORIES classes raise."""
+    counts = [(r[0], r[1]) for r in rows.groupBy(target).count().limit(MOST_CATEGORIES + 1).collect()]
+    if len(counts) > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} classes")
     if any(c is None for c, _ in counts):
         raise ValueError(f"{target} has missing values")
     share = rows.sparkSession.createDataFrame(list(allocations(counts, size).items()), f"{target} string, __take int")
@@ -83,7 +92,10 @@ def oversampled(rows: DataFrame, target: str, seed: int, key: str) -> DataFrame:
     """All rows, and for each smaller class draws with replacement up to the size of the largest; copy is 0 for originals, then 1, 2 ..."""
     sizes = rows.groupBy(target).agg(F.count("*").alias("__n"))
     sizes = sizes.withColumn("__lack", F.max("__n").over(Window.partitionBy()) - F.col("__n"))
-    draws = sizes.where("__lack > 0").select(target, "__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__lack"))).alias("copy"))
+    chunks = sizes.where("__lack > 0").select(target, "__n", "__lack", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__lack") - 1) / CHUNK))).alias("__chunk"))
+    first = F.col("__chunk") * CHUNK + 1
+    spread = chunks.repartition(target, "__chunk")
+    draws = spread.select(target, "__n", F.explode(F.sequence(first, F.least(first + (CHUNK - 1), F.col("__lack")))).alias("copy"))
     number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(target), F.lit(":"), F.col("copy").cast("string"))), 1, 12), 16, 10).cast("long")
     draws = draws.select(target, "copy", (number % F.col("__n") + 1).alias("__nth"))
     extra = ranked(rows, target, seed, key).join(draws, [target, "__nth"]).select(*rows.columns, "copy")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from plumbline.functions.columns import domain_order, mean_std, ratio
@@ -86,9 +89,43 @@ def latency(rows: DataFrame, keys: Sequence[str], seconds: str, tokens: str) ->
 
 
 def id_digest(rows: DataFrame, key: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, digest: SHA-256 of the sorted ids, a line for each. It holds the ids of a group in one row: for index lists, not tables."""
-    lines = F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda v: F.concat(v.cast("string"), F.lit("\n"))), "")
-    return rows.groupBy(*keys).agg(F.sha2(lines, 256).alias("digest"))
+    """keys, digest: SHA-256 of the sorted ids, a line for each; null ids are left out.
+
+    The ids of a group are sorted into one partition and go through the hash as they come, so that a task holds a batch of
+    them and never the group. SHA-256 takes its input in order, so a group is one task's work; signatures.digests has an
+    order-free digest that isn't.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    ids = rows.where(F.col(key).isNotNull()).select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(key).alias("__id"))
+    lines = ids.select(*names, "__id", F.col("__id").cast("string").alias("__line"))
+    placed = (lines.repartition(*names) if names else lines.coalesce(1)).sortWithinPartitions(*names, "__id").select(*names, "__line")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, None
+        for batch in batches:
+            keyed = batch.select(names) if names else None
+            rows_of = keyed.to_pylist() if names else [{}] * batch.num_rows
+            texts, low = batch.column(len(names)).to_pylist(), 0
+            while low < len(texts):
+                high = low + 1
+                while high < len(texts) and rows_of[high] == rows_of[low]:
+                    high += 1
+                if held is None or rows_of[low] != group:
+                    if held is not None:
+                        yield ended(group, held)
+                    group, held = rows_of[low], hashlib.sha256()
+                held.update("".join(f"{t}\n" for t in texts[low:high]).encode())
+                low = high
+        if held is not None:
+            yield ended(group, held)
+
+    schema = placed.select(*names).schema.add("digest", "string")
+    arrow = to_arrow_schema(schema)
+
+    def ended(group: dict, held) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{**group, "digest": held.hexdigest()}], arrow)
+
+    return placed.mapInArrow(hashed, schema).withColumnsRenamed(dict(zip(names, keys, strict=True)))
 
 
 def pairwise_differences(summary: DataFrame, name: str, value: str) -> DataFrame:

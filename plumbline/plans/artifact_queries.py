@@ -31,13 +31,13 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.weight_faults(planted, ["seed"], X.CLASSIFIERS, "accuracy")
 
 
-_CELLS = "seed <> 59 OR predicted_class <> 'view'"
-_COUNT = "CASE WHEN seed = 27 AND actual_class = 'click' AND predicted_class = 'click' THEN -n WHEN seed = 32 AND actual_class = 'error' THEN n + CAST(0.5 AS DOUBLE) ELSE n END"
+_CELLS = "seed <> 'c2-59' OR predicted_class <> 'view'"
+_COUNT = "CASE WHEN seed = 'c2-27' AND actual_class = 'click' AND predicted_class = 'click' THEN -n WHEN seed = 'c1-32' AND actual_class = 'error' THEN n + CAST(0.5 AS DOUBLE) ELSE n END"
 
 
 @query(
     "chk_12_confusion_matrices",
-    f"""WITH {P}, n AS (SELECT seed, actual_class, predicted_class, count(*)::DOUBLE AS n FROM predictions WHERE classifier = 'c2' GROUP BY 1, 2, 3),
+    f"""WITH {P}, n AS (SELECT classifier || '-' || seed AS seed, actual_class, predicted_class, count(*)::DOUBLE AS n FROM predictions GROUP BY 1, 2, 3),
 shares AS (SELECT *, n / sum(n) OVER (PARTITION BY seed, actual_class) AS share FROM n),
 c AS (SELECT seed, actual_class, predicted_class, {_COUNT} AS n FROM n WHERE {_CELLS}),
 m AS (SELECT seed, list_sort(list(DISTINCT actual_class)) AS r, list_sort(list(DISTINCT predicted_class)) AS k, count(DISTINCT (actual_class, predicted_class)) AS cells FROM c GROUP BY 1),
@@ -48,7 +48,7 @@ SELECT (SELECT count(*) FROM m WHERE r <> k OR len(r) * len(k) <> cells) AS squa
  (SELECT count(*) FROM o FULL JOIN shares USING (seed, actual_class, predicted_class) WHERE NOT coalesce(abs(share - own) <= 1e-9, false)) AS disagree""",
 )
 def confusion_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = X.predictions(spark, sf_dir).where("classifier = 'c2'").groupBy("seed", "actual_class", "predicted_class").agg(F.count("*").cast("double").alias("n"))
+    n = X.predictions(spark, sf_dir).withColumn("seed", F.concat_ws("-", "classifier", "seed")).groupBy("seed", "actual_class", "predicted_class").agg(F.count("*").cast("double").alias("n"))
     totals = n.groupBy("seed", "actual_class").agg(F.sum("n").alias("total"))
     shares = n.join(totals, ["seed", "actual_class"]).selectExpr("seed", "actual_class AS actual", "predicted_class AS predicted", "n / total AS share")
     planted = n.where(_CELLS).selectExpr("seed", "actual_class AS actual", "predicted_class AS predicted", f"{_COUNT} AS n")
@@ -72,19 +72,20 @@ def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "chk_16_reuse_guard",
-    f"""WITH {P}, w AS (SELECT event_id AS row_index FROM events),
-d AS (SELECT row_index, CASE WHEN row_index % 7 = 0 THEN 'invalid' ELSE predicted_class END AS predicted, row_index % 7 <> 0 OR row_index % 5 = 0 AS valid FROM predictions WHERE seed = 27 AND classifier = 'c0'),
-c AS (SELECT * FROM d WHERE row_index % 101 <> 0 UNION ALL SELECT * FROM d WHERE row_index % 103 = 0 UNION ALL SELECT -row_index - 1, 'click', true FROM d WHERE row_index % 997 = 0),
-h AS (SELECT row_index, count(*) AS times, count(*) FILTER ((predicted = 'invalid') = valid) AS broken FROM c GROUP BY 1)
-SELECT count(*) FILTER (times IS NULL) AS lacking, count(*) FILTER (w.row_index IS NULL) AS other, count(*) FILTER (times > 1) AS repeated, sum(broken)::BIGINT AS sentinels FROM h FULL JOIN w ON h.row_index = w.row_index""",
+    f"""WITH {P}, w AS (SELECT seed || '-' || classifier || '-' || row_index AS run FROM predictions),
+d AS (SELECT seed || '-' || classifier || '-' || row_index AS run, row_index, CASE WHEN row_index % 7 = 0 THEN 'invalid' ELSE predicted_class END AS predicted, row_index % 7 <> 0 OR row_index % 5 = 0 AS valid FROM predictions),
+c AS (SELECT * FROM d WHERE row_index % 101 <> 0 UNION ALL SELECT * FROM d WHERE row_index % 103 = 0 UNION ALL SELECT run || '-other', row_index, 'click', true FROM d WHERE row_index % 997 = 0),
+h AS (SELECT run, count(*) AS times, count(*) FILTER ((predicted = 'invalid') = valid) AS broken FROM c GROUP BY 1)
+SELECT count(*) FILTER (times IS NULL) AS lacking, count(*) FILTER (w.run IS NULL) AS other, count(*) FILTER (times > 1) AS repeated, sum(broken)::BIGINT AS sentinels FROM h FULL JOIN w ON h.run = w.run""",
 )
 def reuse_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = X.predictions(spark, sf_dir).where("seed = 27 and classifier = 'c0'").selectExpr(
-        "row_index", "CASE WHEN row_index % 7 = 0 THEN 'invalid' ELSE predicted_class END AS predicted", "row_index % 7 <> 0 OR row_index % 5 = 0 AS valid"
-    )
-    other = done.where("row_index % 997 = 0").selectExpr("-row_index - 1 AS row_index", "'click' AS predicted", "true AS valid")
+    """The predictions of all seeds and classifiers, some lacking, some twice, some of rows that weren't asked for."""
+    run = F.concat_ws("-", "seed", "classifier", "row_index").alias("run")
+    wanted = X.predictions(spark, sf_dir).select(run, "row_index", "predicted_class")
+    done = wanted.selectExpr("run", "row_index", "CASE WHEN row_index % 7 = 0 THEN 'invalid' ELSE predicted_class END AS predicted", "row_index % 7 <> 0 OR row_index % 5 = 0 AS valid")
+    other = done.where("row_index % 997 = 0").selectExpr("concat(run, '-other') AS run", "row_index", "'click' AS predicted", "true AS valid")
     completed = done.where("row_index % 101 <> 0").unionByName(done.where("row_index % 103 = 0")).unionByName(other)
-    return artifacts.reuse_faults(completed, X.table(spark, sf_dir, "events").selectExpr("event_id AS row_index"), "row_index", "predicted", "valid", "invalid")
+    return artifacts.reuse_faults(completed, wanted, "run", "predicted", "valid", "invalid")
 
 
 _IMPORTANCE = "CASE WHEN original_feature = 'Brand#11' AND seed = 27 THEN -importance WHEN original_feature = 'Brand#12' AND seed = 32 THEN CAST('NaN' AS DOUBLE) ELSE importance END"

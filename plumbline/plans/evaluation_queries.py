@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as C
-from plumbline.operators import checks, ensemble, metrics, prepare, summaries
+from plumbline.operators import checks, ensemble, experiment, metrics, prepare, summaries
 from plumbline.plans import fixtures as X
 from plumbline.plans.queries import query
 
@@ -242,17 +242,17 @@ _SEEDS = f"{F_}, s AS (SELECT configuration_id, seed, avg(accuracy) AS accuracy,
 _CONFIGS = f"{_SEEDS}, g AS (SELECT configuration_id, avg(macro_f1) AS m, stddev_samp(macro_f1) AS d, avg(accuracy) AS am, stddev_samp(accuracy) AS ad, max(macro_f1) FILTER (seed = 27) AS s27, max(macro_f1) FILTER (seed = 32) AS s32, max(macro_f1) FILTER (seed = 59) AS s59 FROM s GROUP BY 1)"
 
 
-def _by_seed(spark: SparkSession) -> DataFrame:
-    return summaries.means(X.fold_metrics(spark), ["configuration_id", "seed"], X.METRIC_COLUMNS)
+def _by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.means(X.fold_metrics(spark, sf_dir), ["configuration_id", "seed"], X.METRIC_COLUMNS)
 
 
-def _configurations(spark: SparkSession) -> DataFrame:
-    return summaries.configuration_table(_by_seed(spark), X.SEEDS, "macro_f1", X.METRIC_COLUMNS)
+def _configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.configuration_table(_by_seed(spark, sf_dir), X.SEEDS, "macro_f1", X.METRIC_COLUMNS)
 
 
 @query("agg_23_seed_means", f"WITH {_SEEDS} SELECT configuration_id, seed, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM s")
 def seed_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_seed(spark)
+    return _by_seed(spark, sf_dir)
 
 
 @query(
@@ -260,12 +260,12 @@ def seed_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_CONFIGS} SELECT configuration_id, round(s27, 6) AS seed_27_macro_f1, round(s32, 6) AS seed_32_macro_f1, round(s59, 6) AS seed_59_macro_f1, round(am, 6) AS accuracy_mean, round(ad, 6) AS accuracy_std, round(m, 6) AS macro_f1_mean, round(d, 6) AS macro_f1_std FROM g",
 )
 def configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _configurations(spark)
+    return _configurations(spark, sf_dir)
 
 
 @query("agg_33_best_configuration", f"WITH {_CONFIGS} SELECT configuration_id, round(m, 6) AS macro_f1_mean, round(d, 6) AS macro_f1_std FROM g ORDER BY m DESC, d, configuration_id LIMIT 1")
 def best_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.ranked_configurations(_configurations(spark), "macro_f1", limit=1).select("configuration_id", "macro_f1_mean", "macro_f1_std")
+    return summaries.ranked_configurations(_configurations(spark, sf_dir), "macro_f1", limit=1).select("configuration_id", "macro_f1_mean", "macro_f1_std")
 
 
 @query(
@@ -356,15 +356,19 @@ def pairwise_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.pairwise_differences(means, "o_orderstatus", "v")
 
 
+_RUNS = "split_part(configuration_id, '-', 2) || '-' || seed AS run, split_part(configuration_id, '-', 1) AS classifier"
+
+
 @query(
     "join_1_validation_test",
-    f"""WITH {_SEEDS}, v AS (SELECT seed, avg(macro_f1) AS macro_f1 FROM s WHERE configuration_id = 'cfg1' GROUP BY 1), t AS (SELECT seed, avg(macro_f1) AS macro_f1 FROM s WHERE configuration_id = 'cfg2' GROUP BY 1)
-SELECT seed, round(v.macro_f1, 6) AS macro_f1_validation, round(t.macro_f1, 6) AS macro_f1_test, round(v.macro_f1 - t.macro_f1, 6) AS macro_f1_drop FROM v JOIN t USING (seed)""",
+    f"""WITH {_SEEDS}, r AS (SELECT {_RUNS}, macro_f1 FROM s) SELECT run, round(v.macro_f1, 6) AS macro_f1_validation, round(t.macro_f1, 6) AS macro_f1_test, round(v.macro_f1 - t.macro_f1, 6) AS macro_f1_drop
+FROM (SELECT * FROM r WHERE classifier = 'c1') v JOIN (SELECT * FROM r WHERE classifier = 'c2') t USING (run)""",
 )
 def validation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _by_seed(spark)
-    pick = lambda c: rows.where(F.col("configuration_id") == c).select("seed", "macro_f1")
-    return summaries.seed_comparison(pick("cfg1"), pick("cfg2"), ["macro_f1"])
+    """One classifier's metrics of every block and seed as validation, another's as test."""
+    rows = _by_seed(spark, sf_dir).withColumns({"run": F.concat_ws("-", F.split_part("configuration_id", F.lit("-"), F.lit(2)), "seed"), "classifier": F.split_part("configuration_id", F.lit("-"), F.lit(1))})
+    pick = lambda c: rows.where(F.col("classifier") == c).select("run", "macro_f1")
+    return summaries.seed_comparison(pick("c1"), pick("c2"), ["macro_f1"], key="run")
 
 
 @query("join_4_lookup", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -380,12 +384,12 @@ def unknown_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.join(X.table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("row_index")), "row_index", "left_anti")
 
 
-@query("join_7_parameter_grid", "SELECT depth, leaf, sampler FROM (SELECT unnest([5, 10, 30]) AS depth), (SELECT unnest([1, 5]) AS leaf), (SELECT unnest(['none', 'oversample']) AS sampler)")
+@query("join_7_parameter_grid", "SELECT s_suppkey, depth, leaf, sampler FROM supplier, (SELECT unnest([5, 10, NULL]) AS depth), (SELECT unnest([1, 5]) AS leaf), (SELECT unnest(['none', 'oversample']) AS sampler)")
 def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.operators.experiment import expand
-
-    combos = expand({"max_depth": [5, 10, 30], "min_samples_leaf": [1, 5], "sampler": ["none", "oversample"]})
-    return spark.createDataFrame([tuple(c.values()) for c in combos], "depth int, leaf int, sampler string")
+    """A grid for each supplier, as for each dataset of several."""
+    rows = X.table(spark, sf_dir, "supplier").select("s_suppkey")
+    found = experiment.gridded(rows, {"max_depth": [5, 10, None], "min_samples_leaf": [1, 5], "sampler": ["none", "oversample"]})
+    return found.select("s_suppkey", F.col("max_depth").alias("depth"), F.col("min_samples_leaf").alias("leaf"), "sampler")
 
 
 @query("srt_4_top_confusions", f"WITH {P} SELECT actual_class AS actual, predicted_class AS predicted, count(*) AS n FROM predictions WHERE actual_class <> predicted_class GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 5")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans import fixtures as X
 from plumbline.plans.queries import query
 from plumbline.schema import DataType, Feature, Role, Schema, Semantic
-from plumbline.sources import files, sinks
+from plumbline.sources import datasets, files, sinks
 
 ORDERS = Schema(
     (
@@ -50,7 +52,7 @@ def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = X.scratch(spark, "folds")
     for seed in X.SEEDS:
-        sinks.write_table(X.fold_metrics(spark).where(F.col("seed") == seed).select("configuration_id", "fold", "macro_f1"), f"{folder}/seed_{seed}.csv", "csv")
+        sinks.write_table(X.fold_metrics(spark, sf_dir).where(F.col("seed") == seed).select("configuration_id", "fold", "macro_f1"), f"{folder}/seed_{seed}.csv", "csv")
     return files.load_seed_files(spark, f"{folder}/seed_*.csv", "configuration_id string, fold int, macro_f1 double")
 
 
@@ -77,19 +79,39 @@ def index_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(files.load_indices(spark, path, rows, "event_id"), "event_id", "left_semi")
 
 
+@query("flt_6_selected_in_order", "SELECT row_number() OVER (ORDER BY md5(event_id::VARCHAR), event_id) - 1 AS position, event_id, user_id FROM events WHERE event_id % 7 = 3")
+def selected_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of an index list in several files, whose order is that of the ids' md5, each with its place in the list."""
+    rows, path = X.table(spark, sf_dir, "events").select("event_id", "user_id"), X.scratch(spark, "indices")
+    listed = rows.where("event_id % 7 = 3").select("event_id", F.md5(F.col("event_id").cast("string")).alias("draw"))
+    sinks.write_table(listed.repartitionByRange(5, "draw", "event_id").sortWithinPartitions("draw", "event_id").select("event_id"), path, "csv")
+    return files.selected_in_order(spark, path, rows, "event_id").select("position", "event_id", "user_id")
+
+
+@query("src_5_dataset_by_name", f"{_ORDERS_SQL}, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 50 <> 0")
+def dataset_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over a dataset that is only named in it."""
+    catalog, name = datasets.Catalog(), f"orders_{uuid.uuid4().hex}"
+    catalog.register(datasets.Dataset(name, ORDERS, {"train": _written_orders(spark, sf_dir, "o_orderkey % 5 <> 0"), "test": _written_orders(spark, sf_dir, "o_orderkey % 5 = 0")}))
+    catalog.publish(spark)
+    return spark.sql(f"SELECT * FROM {name} WHERE status <> 'P' AND `order` % 50 <> 0")
+
+
 @query(
     "snk_5_predictions",
-    f"WITH {X.PREDICTIONS_SQL} SELECT seed, row_index, actual_class, predicted_class, {', '.join(f'round(probabilities[{i + 1}], 6) AS {n}' for i, n in enumerate(X.PROBABILITIES))} FROM predictions WHERE classifier = 'c1'",
+    f"WITH {X.PREDICTIONS_SQL} SELECT classifier, seed, row_index, actual_class, predicted_class, {', '.join(f'round(probabilities[{i + 1}], 6) AS {n}' for i, n in enumerate(X.PROBABILITIES))} FROM predictions",
 )
 def prediction_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = X.scratch(spark, "predictions")
-    sinks.write_predictions(sinks.prediction_rows(X.predictions(spark, sf_dir).where("classifier = 'c1'"), X.CLASSES), path)
-    return spark.read.parquet(path)
+    """A folder of predictions for each classifier, read back together."""
+    folder, rows = X.scratch(spark, "predictions"), X.predictions(spark, sf_dir)
+    for name in X.CLASSIFIERS:
+        sinks.write_predictions(sinks.prediction_rows(rows.where(F.col("classifier") == name), X.CLASSES), f"{folder}/classifier={name}")
+    return spark.read.parquet(folder)
 
 
 @query("snk_6_artifacts", f"WITH {X.FOLDS_SQL} SELECT 'folds' AS name, count(*) AS n FROM folds UNION ALL SELECT 'seeds', count(DISTINCT (configuration_id, seed)) FROM folds")
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, rows = X.scratch(spark, "artifacts"), X.fold_metrics(spark)
+    folder, rows = X.scratch(spark, "artifacts"), X.fold_metrics(spark, sf_dir)
     sinks.write_artifacts({"folds": rows, "seeds": rows.select("configuration_id", "seed").distinct()}, folder)
     count = lambda name: spark.read.parquet(f"{folder}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
     return count("folds").unionByName(count("seeds"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import metrics
 from plumbline.sources.paths import scratch as scratch
 
 SEEDS = (27, 32, 59)
@@ -62,18 +63,22 @@ predictions AS (SELECT seed, row_index, 'c' || c AS classifier, actual_class, {_
 PREDICTIONS_SQL = _predictions_sql()
 
 
-def fold_metrics(spark: SparkSession) -> DataFrame:
-    """configuration_id, seed, fold, accuracy, macro_f1 of 8 configurations, 3 seeds and 3 folds."""
-    cells = spark.range(8).withColumnRenamed("id", "cfg").withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS)))).withColumn("fold", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    return cells.selectExpr(
-        "concat('cfg', cfg) AS configuration_id", "seed", "fold", "CAST(0.5 AS DOUBLE) + CAST((cfg * 131 + seed * 17 + fold * 7) % 400 AS DOUBLE) / CAST(1000 AS DOUBLE) AS accuracy",
-        "CAST(0.4 AS DOUBLE) + CAST((cfg * 177 + seed * 29 + fold * 11) % 500 AS DOUBLE) / CAST(1000 AS DOUBLE) AS macro_f1",
-    )
+#: Rows of a block: a classifier on a block of rows stands for a configuration.
+BLOCK = 250
+_CONFIGURATION = f"concat(classifier, '-', row_index DIV {BLOCK})"
 
 
-FOLDS_SQL = """folds AS (SELECT 'cfg' || cfg AS configuration_id, seed, fold, 0.5::DOUBLE + ((cfg * 131 + seed * 17 + fold * 7) % 400)::DOUBLE / 1000::DOUBLE AS accuracy,
- 0.4::DOUBLE + ((cfg * 177 + seed * 29 + fold * 11) % 500)::DOUBLE / 1000::DOUBLE AS macro_f1
- FROM (SELECT unnest(range(8)) AS cfg), (SELECT unnest([27, 32, 59]) AS seed), (SELECT unnest([1, 2, 3]) AS fold))"""
+def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """configuration_id, seed, fold, accuracy, macro_f1 of the predictions: a configuration for each classifier and block of rows, three folds."""
+    rows = predictions(spark, sf_dir).selectExpr(f"{_CONFIGURATION} AS configuration_id", "seed", "CAST(row_index % 3 + 1 AS INT) AS fold", "actual_class", "predicted_class")
+    return metrics.summary_metrics(rows, ["configuration_id", "seed", "fold"]).select("configuration_id", "seed", "fold", "accuracy", "macro_f1")
+
+
+FOLDS_SQL = f"""{PREDICTIONS_SQL}, f0 AS (SELECT classifier || '-' || (row_index // {BLOCK}) AS configuration_id, seed, (row_index % 3 + 1)::INT AS fold, actual_class AS a, predicted_class AS p FROM predictions),
+f1 AS (SELECT configuration_id, seed, fold, avg((a = p)::INT)::DOUBLE AS accuracy FROM f0 GROUP BY 1, 2, 3),
+f2 AS (SELECT configuration_id, seed, fold, c, 2 * sum(t)::DOUBLE / count(*) AS f1 FROM (SELECT configuration_id, seed, fold, a AS c, (a = p)::INT AS t FROM f0 UNION ALL SELECT configuration_id, seed, fold, p, 0 FROM f0) GROUP BY 1, 2, 3, 4),
+f3 AS (SELECT configuration_id, seed, fold, avg(f1) AS macro_f1 FROM f2 GROUP BY 1, 2, 3),
+folds AS (SELECT * FROM f1 JOIN f3 USING (configuration_id, seed, fold))"""
 
 
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:

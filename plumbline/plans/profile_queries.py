@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,13 +139,13 @@ def mean_std_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fn_8_configuration_ids",
-    """SELECT json, substr(sha256(json), 1, 12) AS id, sha256('{"parts":' || json || '}') AS signature
-FROM (SELECT '{"max_depth":' || d || ',"min_samples_leaf":' || l || ',"sampler":"' || s || '"}' AS json FROM (SELECT unnest(['4', '12', 'null']) AS d), (SELECT unnest([1, 5]) AS l), (SELECT unnest(['none', 'oversample']) AS s))""",
+    """SELECT max_depth, sampler, substr(sha256('{"max_depth":' || coalesce(max_depth::VARCHAR, 'null') || ',"sampler":"' || sampler || '"}'), 1, 12) AS configuration_id
+FROM (SELECT CASE WHEN p_size % 7 <> 0 THEN p_size END AS max_depth, p_type AS sampler FROM part)""",
 )
 def configuration_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = {"sampler": ["none", "oversample"], "max_depth": [4, 12, None], "min_samples_leaf": [1, 5]}
-    rows = [(experiment.canonical(p), experiment.configuration_id(p), experiment.signature({"parts": p})) for p in experiment.expand(grid)]
-    return spark.createDataFrame(rows, "json string, id string, signature string")
+    """Ids of the parts' sizes and types, some sizes missing, as options of a configuration."""
+    rows = X.table(spark, sf_dir, "part").select(F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("max_depth"), F.col("p_type").alias("sampler"))
+    return experiment.configuration_ids(rows, ["sampler", "max_depth"])
 
 
 @query(
@@ -216,7 +218,7 @@ def target_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
  (3, 'ts', 'datetime', 'datetime', 'metadata'), (4, 'value', 'float', 'numeric', 'predictor'), (5, 'dirty', 'float', 'numeric', 'predictor'), (6, 'split', 'string', 'categorical', 'metadata')) t(position, label, data_type, semantic, role)""",
 )
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.dataset_statistics(X.dirty_events(spark, sf_dir), events_schema(spark, sf_dir))["inventory"].select("position", "label", "data_type", "semantic", "role")
+    return profile.dataset_statistics(X.dirty_events(spark, sf_dir), events_schema(spark, sf_dir), percentiles=False)["inventory"].select("position", "label", "data_type", "semantic", "role")
 
 
 def _quality(name: str, column: str, numeric: bool) -> str:
@@ -226,7 +228,29 @@ def _quality(name: str, column: str, numeric: bool) -> str:
 
 @query("agg_4_data_quality", f"WITH {X.DIRTY_SQL} " + " UNION ALL ".join(_quality(c, c, c in ("value", "dirty")) for c in ("event_id", "user_id", "event_type", "ts", "value", "dirty", "split")))
 def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.dataset_statistics(X.dirty_events(spark, sf_dir), events_schema(spark, sf_dir))["quality"]
+    return profile.dataset_statistics(X.dirty_events(spark, sf_dir), events_schema(spark, sf_dir), percentiles=False)["quality"]
+
+
+@query(
+    "agg_9_dataset_tables",
+    f"""WITH {X.DIRTY_SQL} SELECT 'overview' AS part, split, NULL AS feature, NULL AS category, count(*) AS n, 7::DOUBLE AS value FROM dirty_events GROUP BY split
+UNION ALL SELECT 'target', split, 'event_type', event_type, count(*), round(count(*) / (sum(count(*)) OVER (PARTITION BY split))::DOUBLE, 6) FROM dirty_events GROUP BY split, event_type
+UNION ALL SELECT 'categorical', split, 'split', split, count(*), 1 FROM dirty_events GROUP BY split
+UNION ALL SELECT 'datetime', split, 'ts', NULL, count(DISTINCT ts), round(epoch_us(max(ts)) / 1e6::DOUBLE, 6) FROM dirty_events GROUP BY split
+"""
+    + "".join(f"UNION ALL SELECT 'quality', split, '{c}', NULL, count(*) FILTER ({c} IS NULL), {'count(*) FILTER (isinf(dirty))' if c == 'dirty' else '0'} FROM dirty_events GROUP BY split\n" for c in ("event_id", "user_id", "event_type", "ts", "value", "dirty", "split"))
+    + "".join(f"UNION ALL SELECT 'numeric', split, '{c}', NULL, count({c}), round(stddev_pop({c}), 6) FROM dirty_events WHERE isfinite({c}) GROUP BY split\n" for c in ("event_id", "user_id", "value", "dirty")),
+)
+def dataset_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each dataset table its counts and one more of its numbers, all cut from one scan."""
+    found = profile.dataset_statistics(X.dirty_events(spark, sf_dir), events_schema(spark, sf_dir), percentiles=False)
+    shown = {"overview": ("n_rows", "n_columns"), "target": ("n", "share"), "categorical": ("n", "share"), "datetime": ("n_distinct", "CAST(unix_micros(CAST(max AS TIMESTAMP)) AS DOUBLE) / 1e6D"), "quality": ("n_missing", "n_infinite"), "numeric": ("n", "std")}
+    parts = []
+    for name, (n, value) in shown.items():
+        table = found[name].withColumn("feature", F.lit("event_type")) if name == "target" else found[name]
+        texts = [F.col(c).alias(c) if c in table.columns else F.lit(None).cast("string").alias(c) for c in ("feature", "category")]
+        parts.append(table.select(F.lit(name).alias("part"), "split", *texts, F.col(n).cast("long").alias("n"), F.expr(value).cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _profile(column: str, source: str, std: str = "stddev_pop") -> str:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import transform
-from plumbline.operators import experiment, inference, metrics, profile, reporting, sampling, signatures, summaries
+from plumbline.operators import experiment, inference, lifecycle, metrics, pipeline, profile, reporting, sampling, signatures, summaries
+from plumbline.operators.boosting import BoostedTrees
 from plumbline.plans import fixtures as X
+from plumbline.plans.evaluation_queries import _VOTES
 from plumbline.plans.queries import query
 from plumbline.schema import DataType, Feature, Role, Semantic, from_struct
+from plumbline.sources import sinks
 
 _ROLES = {"c_mktsegment": Role.TARGET, "c_custkey": Role.IDENTIFIER}
 
@@ -107,10 +111,10 @@ def class_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.supports(rows.withColumnRenamed("class", "actual_class"), "actual_class")
 
 
-@query("srt_7_prediction_order", f"WITH {X.PREDICTIONS_SQL} SELECT seed, actual_class, row_index, predicted_class FROM predictions WHERE classifier = 'c1' ORDER BY seed, actual_class, row_index")
+@query("srt_7_prediction_order", f"WITH {X.PREDICTIONS_SQL} SELECT classifier, seed, actual_class, row_index, predicted_class FROM predictions ORDER BY classifier, seed, actual_class, row_index")
 def prediction_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.predictions(spark, sf_dir).where("classifier = 'c1'")
-    return rows.select("seed", "actual_class", "row_index", "predicted_class").orderBy("seed", "actual_class", "row_index")
+    order = ["classifier", "seed", "actual_class", "row_index"]
+    return X.predictions(spark, sf_dir).select(*order, "predicted_class").orderBy(*order)
 
 
 @query(
@@ -134,20 +138,45 @@ _SAMPLERS, _SPLITS = ["'none'", "'oversample'"], [2, 5, 10]
 
 @query(
     "exp_3_grids",
-    f"""SELECT 'decision_tree' AS kind, sampler, criterion, NULL::INT AS trees, depth, split, leaf, NULL::INT AS weight, NULL::DOUBLE AS rate, NULL::DOUBLE AS share
- FROM {_choices(sampler=_SAMPLERS, criterion=["'gini'", "'entropy'"], depth=[10, 20, 'NULL'], split=_SPLITS, leaf=[1, 5])}
-UNION ALL SELECT 'random_forest', sampler, NULL, trees, depth, split, leaf, NULL, NULL, NULL FROM {_choices(sampler=_SAMPLERS, trees=[100, 200], depth=[10, 20, 'NULL'], split=_SPLITS, leaf=[1, 5])}
-UNION ALL SELECT 'boosted_trees', sampler, NULL, trees, depth, NULL, NULL, weight, rate::DOUBLE, share::DOUBLE
- FROM {_choices(sampler=_SAMPLERS, trees=[100, 200], depth=[3, 6], weight=[1, 5], rate=[0.05, 0.1], share=[0.8, 1.0])}""",
+    f"""SELECT s_suppkey, 'decision_tree' AS kind, sampler, criterion, NULL::INT AS trees, depth, split, leaf, NULL::INT AS weight, NULL::DOUBLE AS rate, NULL::DOUBLE AS share
+ FROM supplier, {_choices(sampler=_SAMPLERS, criterion=["'gini'", "'entropy'"], depth=[10, 20, 'NULL'], split=_SPLITS, leaf=[1, 5])}
+UNION ALL SELECT s_suppkey, 'random_forest', sampler, NULL, trees, depth, split, leaf, NULL, NULL, NULL FROM supplier, {_choices(sampler=_SAMPLERS, trees=[100, 200], depth=[10, 20, 'NULL'], split=_SPLITS, leaf=[1, 5])}
+UNION ALL SELECT s_suppkey, 'boosted_trees', sampler, NULL, trees, depth, NULL, NULL, weight, rate::DOUBLE, share::DOUBLE
+ FROM supplier, {_choices(sampler=_SAMPLERS, trees=[100, 200], depth=[3, 6], weight=[1, 5], rate=[0.05, 0.1], share=[0.8, 1.0])}""",
 )
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every configuration of the published grids: 208 rows, made on the driver."""
-    rows = [
-        (kind, c["sampler"], c.get("criterion"), c.get("n_estimators", c.get("rounds")), c["max_depth"], *map(c.get, ("min_samples_split", "min_samples_leaf", "min_child_weight", "learning_rate", "subsample")))
-        for kind, grid in experiment.GRIDS.items()
-        for c in experiment.expand(grid)
-    ]
-    return spark.createDataFrame(rows, "kind string, sampler string, criterion string, trees int, depth int, split int, leaf int, weight int, rate double, share double")
+    """Every configuration of the published grids, 208, for each supplier, as for each dataset of many."""
+    rows = X.table(spark, sf_dir, "supplier").select("s_suppkey")
+    shown = {"trees": ("int", "n_estimators", "rounds"), "depth": ("int", "max_depth"), "split": ("int", "min_samples_split"), "leaf": ("int", "min_samples_leaf")}
+    shown |= {"criterion": ("string", "criterion"), "weight": ("int", "min_child_weight"), "rate": ("double", "learning_rate"), "share": ("double", "subsample")}
+    parts = []
+    for kind, grid in experiment.GRIDS.items():
+        columns = [F.coalesce(*(F.col(o) if o in grid else F.lit(None) for o in options)).cast(of).alias(name) for name, (of, *options) in shown.items()]
+        parts.append(experiment.gridded(rows, grid).select("s_suppkey", F.lit(kind).alias("kind"), "sampler", *columns))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "exp_2_boosted_stumps",
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, CASE WHEN l_quantity > 30 THEN 0 WHEN l_discount > 0.05 THEN 1 WHEN l_tax > 0.04 THEN 2 ELSE 3 END AS y FROM lineitem),
+u AS (SELECT y, f, v, c FROM (SELECT y, [l_quantity, l_discount, l_tax] AS x FROM r), (SELECT unnest([1, 2, 3]) AS f), (SELECT unnest([0, 1, 2, 3]) AS c), LATERAL (SELECT x[f] AS v)),
+b AS (SELECT c, f, v, sum(0.25 - (y = c)::INT) AS g, sum(0.375) AS h FROM u GROUP BY ALL),
+s AS (SELECT c, f, v, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(g) OVER w AS g, sum(h) OVER w AS h FROM b WINDOW w AS (PARTITION BY c, f), o AS (PARTITION BY c, f ORDER BY v)),
+t AS (SELECT c, f, v, -0.3 * gl / (hl + 1) AS lo, -0.3 * (g - gl) / (h - hl + 1) AS hi FROM s WHERE hl >= 1 AND h - hl >= 1
+ QUALIFY row_number() OVER (PARTITION BY c ORDER BY gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) DESC, f, v) = 1),
+e AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, c, exp(CASE WHEN [l_quantity, l_discount, l_tax][f] <= v THEN lo ELSE hi END::DOUBLE) AS p FROM r, t)
+SELECT l_orderkey, l_linenumber, ['bulk', 'reduced', 'taxed', 'plain'][arg_max(c, p) + 1] AS predicted_class, round(max(p) FILTER (c = 0) / sum(p), 5) AS bulk, round(max(p) FILTER (c = 1) / sum(p), 5) AS reduced,
+ round(max(p) FILTER (c = 2) / sum(p), 5) AS taxed, round(max(p) FILTER (c = 3) / sum(p), 5) AS plain FROM e GROUP BY l_orderkey, l_linenumber, l_quantity, l_discount, l_tax""",
+)
+def boosted_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of trees of one split, a class each, fitted on all of lineitem and applied to it: the SQL looks for the same splits over all values."""
+    names = ["bulk", "reduced", "taxed", "plain"]
+    label = F.when(F.col("l_quantity") > 30, 0.0).when(F.col("l_discount") > 0.05, 1.0).when(F.col("l_tax") > 0.04, 2.0).otherwise(3.0)
+    used = ["l_quantity", "l_discount", "l_tax"]
+    rows = X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *used, label.alias("label"))
+    rows = VectorAssembler(inputCols=used, outputCol="features").transform(rows)
+    scored = pipeline.Decision(classes=names).transform(BoostedTrees(rounds=1, maxDepth=1, rate=0.3, key="l_orderkey").fit(rows).transform(rows))
+    return scored.groupBy("l_orderkey", "l_linenumber", *used).agg(F.first("predicted_class").alias("predicted_class"), *(F.round(F.first(F.get("probabilities", F.lit(i))), 5).alias(n) for i, n in enumerate(names))).drop(*used)
 
 
 @query(
@@ -201,3 +230,25 @@ def changed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = inference.resumed(changed, X.rule, X.CLASSES, folder, every=20_000, definition={"temperature": 1})
     times = inference.answers_of(spark, folder, found.schema["row_index"]).groupBy("row_index").agg(F.count("*").cast("int").alias("n_asked"))
     return found.join(times, "row_index").select("row_index", "predicted_class", "n_asked")
+
+
+_VALIDATED = f"""{X.FOLDS_SQL}, v0 AS (SELECT configuration_id, seed, avg(accuracy) AS a FROM folds GROUP BY 1, 2), v1 AS (SELECT split_part(configuration_id, '-', 1) AS classifier, configuration_id, avg(a) AS m, stddev_samp(a) AS d FROM v0 GROUP BY 1, 2),
+v2 AS (SELECT * FROM v1 QUALIFY row_number() OVER (PARTITION BY classifier ORDER BY m DESC, coalesce(d, 0), configuration_id) = 1), weights AS (SELECT classifier, m / sum(m) OVER () AS weight FROM v2)"""
+_WEIGHED = _VALIDATED + _VOTES[len(X.PREDICTIONS_SQL) :].replace("SELECT *, CASE classifier WHEN 'c2' THEN 0.5 ELSE 0.25 END::DOUBLE AS weight FROM predictions", "SELECT * FROM predictions JOIN weights USING (classifier)")
+
+
+@query(
+    "exp_13_committee",
+    f"""WITH {_WEIGHED}, a AS (SELECT seed, row_index, bool_or(predicted_class <> actual_class) AS any_wrong FROM predictions GROUP BY 1, 2)
+SELECT seed, strategy, round(avg((predicted_class = actual_class)::INT), 6) AS accuracy, count(*) FILTER (predicted_class = actual_class AND any_wrong) AS right_where_any_wrong FROM voted JOIN a USING (seed, row_index) GROUP BY 1, 2""",
+)
+def committee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A committee of three classifiers whose folds and predictions lie in folders, weighed by their validation."""
+    folds, rows, folders = X.fold_metrics(spark, sf_dir), X.predictions(spark, sf_dir), {}
+    for name in X.CLASSIFIERS:
+        folders[name] = folder = X.scratch(spark, f"run-{name}")
+        held = {m: F.col(m) if m in folds.columns else F.lit(0.0).alias(m) for m in experiment.METRICS}
+        lifecycle.append_table(folds.where(F.col("configuration_id").startswith(name)).select("configuration_id", "seed", "fold", *held.values()), folder, "folds")
+        sinks.write_predictions(rows.where(F.col("classifier") == name).drop("classifier"), f"{folder}/predictions")
+    found = lifecycle.committee(spark, folders, X.CLASSES, "row_index", "accuracy")
+    return found["seeds"].join(found["corrections"], ["seed", "strategy"]).select("seed", "strategy", "accuracy", "right_where_any_wrong")

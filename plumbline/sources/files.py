@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from plumbline.functions.columns import parsed_datetime
 from plumbline.operators.checks import Expectation, expect
@@ -127,3 +128,26 @@ def load_indices(spark: SparkSession, path: str, available: DataFrame, column: s
     if unknown:
         raise ValueError(f"{unknown} indices are not available")
     return wanted
+
+
+def numbered_lines(rows: DataFrame) -> DataFrame:
+    """rows of files of lines, not cut or filtered since they were read, plus position from 0 in order of file names and lines.
+
+    Each split of a file is numbered where it is read; their sizes, a row for each, are summed up in order of files and
+    offsets, and what comes before a split is added to the numbers in it. Nothing is sorted.
+    """
+    split = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__id": F.monotonically_increasing_id()}
+    read = rows.select("*", *(c.alias(n) for n, c in split.items()))
+    sizes = read.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__file", "__block", "__first", F.coalesce(before, F.lit(0)).alias("__start"))
+    placed = read.join(F.broadcast(starts), ["__file", "__block"])
+    return placed.select(*rows.columns, (F.col("__start") + F.col("__id") - F.col("__first")).alias("position"))
+
+
+def selected_in_order(spark: SparkSession, path: str, rows: DataFrame, column: str = "row_index") -> DataFrame:
+    """The rows that an index list names, with position, the place of each in the list; the list is checked as by load_indices."""
+    load_indices(spark, path, rows, column)
+    listed = numbered_lines(spark.read.schema(f"`{column}` string").option("header", True).csv(path))
+    places = listed.select(F.col(column).cast("double").cast("long").alias(column), "position")
+    return rows.join(places, column)

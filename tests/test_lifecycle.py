@@ -82,10 +82,17 @@ def test_a_committee_reads_only_what_runs_wrote(spark, rows, tmp_path, monkeypat
         lifecycle.cross_validated(train, folder, "decision_tree", {"max_depth": [depth], "sampler": ["none"]}, ["x", "b"], ["c"], "kind", "id", seeds=(1,), k=2)
         lifecycle.refitted(train, test, folder, "decision_tree", {"max_depth": depth, "sampler": "none"}, ["x", "b"], ["c"], "kind", "id", [1])
     monkeypatch.setattr(experiment, "fit", None)
-    weights, voted, found = lifecycle.committee(spark, folders, ["low", "mid", "top"], "id")
-    assert sum(r["weight"] for r in weights.collect()) == pytest.approx(1)
-    artifacts.faultless(artifacts.weight_faults(weights.withColumn("all", F.lit(1)), ["all"], ["deep", "flat"], "value"))
-    assert voted.count() == 4 * test.count() and found.count() == 4
+    found = lifecycle.committee(spark, folders, ["low", "mid", "top"], "id")
+    assert sum(r["weight"] for r in found["weights"].collect()) == pytest.approx(1)
+    artifacts.faultless(artifacts.weight_faults(found["weights"].withColumn("all", F.lit(1)), ["all"], ["deep", "flat"], "value"))
+    assert found["votes"].count() == 4 * test.count() and found["seeds"].count() == found["summary"].count() == 4
+    assert all(0 <= r[m] <= 1 for r in found["seeds"].collect() for m in ("roc_auc", "pr_auc", "accuracy"))
+    assert [(r["classifier_a"], r["classifier_b"], r["n"]) for r in found["diversity"].collect()] == [("deep", "flat", test.count())]
+    assert found["corrections"].count() == found["corrected"].count() == 4 and found["pairs"].count() == 1
+    spark.read.parquet(f"{folders['flat']}/predictions").where("id <> 8").drop("seed").write.mode("overwrite").parquet(f"{folders['flat']}/part")
+    spark.read.parquet(f"{folders['flat']}/part").write.mode("overwrite").parquet(f"{folders['flat']}/predictions/seed=1")
+    with pytest.raises(ValueError, match="1 rows aren't predicted once by each of deep, flat"):
+        lifecycle.committee(spark, folders, ["low", "mid", "top"], "id")
 
 
 def test_faults_are_raised(spark):
