@@ -14,6 +14,11 @@ A text can only be similar to others in shingles that they share. Where those we
 the threshold's share of the whole text, no similarity reaches the threshold (the union holds at
 least the whole text), so such texts get no bag. The others keep only their shared shingles, and the
 weight of all.
+
+Shingles are told apart by 48-bit hashes. Of D different ones a share of about 1 - exp(-D / 2^48) has the
+hash of another and counts as shared, with both frequencies: 1 in 280,000 for 10^9 shingles, 0.36 % for
+10^12, 3.5 % for 10^13. A text that shares nothing then gets a small bag more often, and its weights are
+off by that share.
 """
 
 from __future__ import annotations
@@ -111,6 +116,16 @@ def _distinct(block: pa.Table) -> tuple[list[bytes], list[str], np.ndarray]:
     return list(at), [t or "" for t in block.column("text").take(pa.array(kept, pa.int64())).to_pylist()], np.array(copies, np.int64)
 
 
+def parts_of(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Buckets, the first bits of hashes, that sorted hashes are in, and where; the time is that of the hashes, however many buckets there are."""
+    if not len(hashes):
+        return
+    buckets = hashes >> np.uint64(HASH_BITS - bits)
+    starts = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
+    for bucket, low, high in zip(buckets[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(hashes)], strict=True):
+        yield bucket, slice(low, high)
+
+
 def frequencies(blocks: DataFrame, buckets: int) -> DataFrame:
     """(block, shingles, df) of blocks (block, digest, text, copies): the shingles of each block that several texts hold, packed."""
     bits = (buckets - 1).bit_length()
@@ -126,10 +141,8 @@ def frequencies(blocks: DataFrame, buckets: int) -> DataFrame:
         hashes, documents = hashes[order], documents[order]
         fresh = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
         hashes, documents, texts_in = hashes[fresh], np.add.reduceat(documents, fresh), np.diff(np.append(fresh, len(hashes)))
-        edges = np.searchsorted(hashes >> np.uint64(HASH_BITS - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         single, rows = documents == 1, []
-        for bucket in np.flatnonzero(np.diff(edges)).tolist():
-            part = slice(edges[bucket], edges[bucket + 1])
+        for bucket, part in parts_of(hashes, bits):
             one = single[part]
             rows.append((bucket, packed(hashes[part][one]), packed(hashes[part][~one]), packed(documents[part][~one]), packed(texts_in[part][~one])))
         columns = list(zip(*rows, strict=True))
