@@ -125,6 +125,13 @@ def without_marked(docs: DataFrame, marks: DataFrame, digest: Callable[[Column],
     return rows.where("gone is null").select("__row.*").unionByName(repeated)
 
 
+def hash_share(share: float, *columns: str) -> Column:
+    """Whether a row is in a share of all rows, by the 64-bit hash of columns: shares down to 2^-63 are kept as they are."""
+    if share >= 1:
+        return F.lit(True)
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1) < F.lit(int(share * 2.0**63))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Python tasks get at most TEXT_ROWS rows at a time: a batch of 10,000 long texts, Spark's default, fills a task's memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

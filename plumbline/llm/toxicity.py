@@ -19,8 +19,8 @@ clean training row, every score is the training rate (0 without any). Of labels
 id the largest counts; null labels don't, nor labels without an id. A null doc_id is an empty text to the
 crc32, whose remainder is 0: held out.
 
-A score is the calibrated probability, but for TIE_SHARE of it: isotonic steps tie many documents, and that
-share of the trees' own probability puts those of one step in order.
+A score is the calibrated probability. Isotonic steps tie many documents; raw, the trees' own probability, puts
+those of one step in order.
 """
 
 from __future__ import annotations
@@ -38,14 +38,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from plumbline.llm.common import cut, forget, read, small_batches
+from plumbline.llm.common import cut, forget, hash_share, read, small_batches
 
 TRAIN_ROWS = 20_000
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 TREES, DEPTH = 20, 4
-#: The share of the uncalibrated probability in a score.
-TIE_SHARE = 0.01
 
 # Second-person words of the corpus languages, and letters that other signs stand for.
 SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen euch euer ihr sie ihnen tú usted ustedes ti tuyo vosotros"
@@ -90,7 +88,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
     small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != HELD_OUT)
     share = min(1.0, limit / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).withColumn("fold", fold())
+    chosen = known.where(hash_share(share, "doc_id")).withColumn("fold", fold())
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     return cut(texts.join(F.broadcast(chosen), "doc_id"))
 
@@ -146,12 +144,10 @@ class Features:
             return [0.0] * len(FEATURES)
         if len(self.known) > 300_000:  # bounds the memory of a worker
             self.known.clear()
-        known, weights = self.known, []
-        for word in words:
-            w = known.get(word)
-            if w is None:
-                w = known[word] = self.weight(word)
-            weights.append(w)
+        known = self.known
+        for word in set(words).difference(known):
+            known[word] = self.weight(word)
+        weights = list(map(known.__getitem__, words))
         hits = [i for i, w in enumerate(weights) if w > 0]
         second = [i for i, w in enumerate(weights) if w < 0]
         near = math.inf
@@ -196,14 +192,14 @@ class ToxicityModel:
     calibration: IsotonicRegressionModel | None = None
 
     def scored(self, docs: DataFrame) -> DataFrame:
-        """doc_id and score of every row of docs (doc_id, text)."""
+        """doc_id, score and raw of every row of docs (doc_id, text)."""
         if self.trees is None:
-            return docs.select("doc_id", F.lit(self.rate).alias("score"))
+            return docs.select("doc_id", F.lit(self.rate).alias("score"), F.lit(self.rate).alias("raw"))
         raw = self.raw(with_features(docs.select("doc_id", "text"), self.lexicon), self.trees)
         if self.calibration is None:
-            return raw.select("doc_id", F.col("raw").alias("score"))
+            return raw.select("doc_id", F.col("raw").alias("score"), "raw")
         step = F.least(F.greatest(F.col("step"), F.lit(0.0)), F.lit(1.0))
-        return self.calibration.transform(raw).select("doc_id", ((1 - TIE_SHARE) * step + TIE_SHARE * F.col("raw")).alias("score"))
+        return self.calibration.transform(raw).select("doc_id", step.alias("score"), "raw")
 
     @staticmethod
     def raw(rows: DataFrame, trees: GBTClassificationModel) -> DataFrame:
@@ -236,5 +232,5 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic")).scored(docs)
     return scored.select(
-        "doc_id", (fold() == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted")
+        "doc_id", (fold() == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"), "raw"
     )

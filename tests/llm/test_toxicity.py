@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import toxicity
+from plumbline.llm.common import hash_share
 
 
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.1"])
@@ -19,6 +20,55 @@ def test_held_out_accuracy(spark, folder):
     assert right[held["toxic"] == 0].mean() > 0.99 and right[held["toxic"] == 1].mean() > 0.8
 
 
+def area(score: np.ndarray, label: np.ndarray) -> float:
+    """Of pairs of a toxic and a clean document, the share in which the toxic one scores higher; ties count half."""
+    toxic, clean = np.sort(score[label == 1]), np.sort(score[label == 0])
+    return (np.searchsorted(clean, toxic, "left").sum() + np.searchsorted(clean, toxic, "right").sum()) / (2 * len(toxic) * len(clean))
+
+
+def test_held_out_scores_rank_and_are_calibrated(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = toxicity.op4_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out and toxic is not null").toPandas()
+    score, label = rows["score"].to_numpy(), rows["toxic"].to_numpy()
+    assert area(score, label) > 0.9 and area(rows["raw"].to_numpy(), label) > 0.9
+    # in ten bins of scores the share of toxic documents differs from the mean score by little, weighed by the bins' sizes
+    bins = np.minimum((score * 10).astype(int), 9)
+    error = sum((bins == b).sum() * abs(score[bins == b].mean() - label[bins == b].mean()) for b in set(bins.tolist())) / len(rows)
+    assert error < 0.03
+    # a score is a step of the isotonic regression and nothing else
+    assert len(set(score.tolist())) < 60
+
+
+def test_the_lexicon_is_that_of_the_plain_test(spark):
+    draw = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(200)]
+    texts = [(" ".join(draw.choice(words, 30).tolist() + (["slur", "slurry"] if i % 4 == 0 else []) + (["calm"] if i % 4 else [])), int(i % 4 == 0)) for i in range(400)]
+    found = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, toxic int").repartition(3))
+    held = [({t for w in text.split() for t in toxicity.terms_of(w)}, label) for text, label in texts]
+    n, toxic, expected, counts = len(held), sum(label for _, label in held), {}, {}
+    for terms, label in held:
+        for term in terms:
+            counts.setdefault(term, [0, 0])[label] += 1
+    tested = {t: c for t, c in counts.items() if sum(c) >= 3}
+    for term, (c, t) in tested.items():
+        cells = [(t, (t + c) * toxic / n), (c, (t + c) * (n - toxic) / n), (toxic - t, (n - t - c) * toxic / n), (n - toxic - c, (n - t - c) * (n - toxic) / n)]
+        g = 2 * sum(o * np.log(o / e) for o, e in cells if o > 0)
+        odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (n - toxic + 1))
+        if g > 2 * np.log(len(tested)) + 2 and odds > np.log(4):
+            expected[term] = odds
+    assert found == pytest.approx(expected) and {"=slur", "=slurry", "slur"} <= set(found) and "=calm" not in found
+
+
+def test_a_small_share_of_a_large_table_is_learned_from(spark):
+    """The share is kept far below a millionth, where a count of millionths would be 0."""
+    for share in (1.0, 0.3, 1e-3, 3e-7):
+        n = 4_000_000
+        found = spark.range(n).where(hash_share(share, "id")).count()
+        assert abs(found - share * n) <= 6 * (share * n) ** 0.5
+    tiny = spark.sql("SELECT 1 AS id").where(hash_share(1e-12, "id"))
+    assert "shiftrightunsigned" in tiny._jdf.queryExecution().toString().lower() and int(1e-12 * 2.0**63) > 0
+
+
 def test_scores_ignore_ids_and_odd_labels(spark, odd_dir):
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet").select("doc_id", "text")
     rows = toxicity.op4_toxicity(spark, odd_dir).collect()
