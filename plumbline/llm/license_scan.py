@@ -7,8 +7,8 @@ pairs and triples it shares with the templates; a multinomial logistic regressio
 decoys, and from the paragraphs of at most UNKNOWN_DOCS documents, leaving out those that hold
 half of a template. A second regression, on rows kept back, calibrates the margin between the
 best family and `unknown`; below even odds a paragraph is unknown. A prediction is confirmed
-if the paragraph and some template of the family share at least CONFIRMED of the triples (of two
-words: the pair) of the shorter.
+if the paragraph holds all triples (of two words: the pair) of some template of the family, such as a
+licence's whole name, or shares at least LEAST_SHARED with one, and CONFIRMED of the shorter's.
 
 Everything is DataFrame functions and JVM models: a map over the documents without a shuffle.
 Paragraphs without a pair or triple of any template have no feature, so only the intercepts
@@ -29,106 +29,104 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, read
+from plumbline.llm.common import cut, hash_share, read
 
 UNKNOWN = "unknown"
 UNKNOWN_DOCS = 2_000
 MIN_WINDOW = 4
-CONFIRMED = 0.5
-
-# Notices and opening or telling sentences of common licences, by family.
-TEMPLATES = {
-    "MIT": (
-        "MIT License",
-        "SPDX-License-Identifier: MIT",
-        "Released under the MIT License.",
-        "Licensed under the MIT license.",
+CONFIRMED, LEAST_SHARED = 0.5, 5
+
+# By family its tag, the names it goes by, and its notices and conditions as they are published.
+FAMILIES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
+    "MIT": ("MIT", ("MIT License",), (
         "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
-    "Apache-2.0": (
-        "Apache License 2.0",
-        "SPDX-License-Identifier: Apache-2.0",
-        "Licensed under the Apache License, Version 2.0.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    )),
+    "Apache-2.0": ("Apache-2.0", ("Apache License 2.0", "Apache License, Version 2.0"), (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-        "Released under the Apache License 2.0.",
-    ),
-    "GPL": (
-        "GNU General Public License",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-        "This work is licensed under the GNU General Public License, version 3.",
-        "Licensed under the GNU General Public License v2.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    )),
+    "GPL": ("GPL-3.0-or-later", ("GNU General Public License", "GNU General Public License, version 3", "GNU General Public License v2"), (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "You should have received a copy of the GNU General Public License along with this program.",
-    ),
-    "LGPL": (
-        "GNU Lesser General Public License",
-        "SPDX-License-Identifier: LGPL-2.1-or-later",
-        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    )),
+    "LGPL": ("LGPL-2.1-or-later", ("GNU Lesser General Public License", "GNU Lesser General Public License, version 3"), (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-    ),
-    "AGPL": (
-        "GNU Affero General Public License",
-        "SPDX-License-Identifier: AGPL-3.0-only",
-        "Licensed under the GNU Affero General Public License, version 3.",
-        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
-    ),
-    "BSD": (
-        "BSD 3-Clause License",
-        "SPDX-License-Identifier: BSD-3-Clause",
-        "Licensed under the BSD 3-Clause License.",
-        "Released under the BSD license.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation.",
+    )),
+    "AGPL": ("AGPL-3.0-only", ("GNU Affero General Public License", "GNU Affero General Public License, version 3"), (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    )),
+    "BSD": ("BSD-3-Clause", ("BSD 3-Clause License", "BSD 2-Clause License", "BSD License"), (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    ),
-    "MPL-2.0": (
-        "Mozilla Public License 2.0",
-        "SPDX-License-Identifier: MPL-2.0",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License, version 2.0.",
-    ),
-    "ISC": (
-        "ISC License",
-        "SPDX-License-Identifier: ISC",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+    )),
+    "MPL-2.0": ("MPL-2.0", ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"), (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    )),
+    "EPL-2.0": ("EPL-2.0", ("Eclipse Public License 2.0", "Eclipse Public License - v 2.0", "Eclipse Public License, Version 2.0"), (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "The accompanying program is provided under the terms of this Eclipse Public License. Any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement.",
+    )),
+    "EUPL-1.2": ("EUPL-1.2", ("European Union Public Licence v. 1.2", "European Union Public Licence 1.2", "EUPL, Version 1.2"), (
+        "Licensed under the EUPL, Version 1.2 or, as soon they will be approved by the European Commission, subsequent versions of the EUPL (the \"Licence\"); You may not use this work except in compliance with the Licence.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the Licence is distributed on an \"AS IS\" basis, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the Licence for the specific language governing permissions and limitations under the Licence.",
+    )),
+    "BSL-1.0": ("BSL-1.0", ("Boost Software License 1.0", "Boost Software License - Version 1.0", "Boost Software License, Version 1.0"), (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software",
+    )),
+    "Zlib": ("Zlib", ("zlib License", "zlib/libpng License"), (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "This notice may not be removed or altered from any source distribution.",
+    )),
+    "ISC": ("ISC", ("ISC License",), (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-        "Licensed under the ISC License.",
-    ),
-    "CC-BY": (
-        "Creative Commons Attribution 4.0",
-        "SPDX-License-Identifier: CC-BY-4.0",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "Licensed under CC BY 4.0.",
-    ),
-    "CC-BY-SA": (
-        "Creative Commons Attribution-ShareAlike 4.0",
-        "SPDX-License-Identifier: CC-BY-SA-4.0",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "Licensed under CC BY-SA 4.0.",
-    ),
-    "CC-BY-NC": (
-        "Creative Commons Attribution-NonCommercial 4.0",
-        "SPDX-License-Identifier: CC-BY-NC-4.0",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "Licensed under CC BY-NC 4.0.",
-    ),
-    "CC0": (
-        "CC0 1.0 Universal",
-        "SPDX-License-Identifier: CC0-1.0",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS",
+    )),
+    "WTFPL": ("WTFPL", ("WTFPL License", "Do What The Fuck You Want To Public License"), (
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    )),
+    "OFL-1.1": ("OFL-1.1", ("SIL Open Font License 1.1", "SIL Open Font License, Version 1.1"), (
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software, to use, study, copy, merge, embed, modify, redistribute, and sell modified and unmodified copies of the Font Software, subject to the following conditions:",
+    )),
+    "CC-BY": ("CC-BY-4.0", ("Creative Commons Attribution 4.0", "Creative Commons Attribution 4.0 International License", "CC BY 4.0"), ()),
+    "CC-BY-SA": ("CC-BY-SA-4.0", ("Creative Commons Attribution-ShareAlike 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"), ()),
+    "CC-BY-NC": ("CC-BY-NC-4.0", ("Creative Commons Attribution-NonCommercial 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"), ()),
+    "CC0": ("CC0-1.0", ("CC0 1.0 Universal", "CC0 1.0"), (
         "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication.",
-        "Released under CC0 1.0.",
-    ),
-    "Unlicense": (
+    )),
+    "Unlicense": ("Unlicense", ("The Unlicense",), (
         "This is free and unencumbered software released into the public domain.",
-        "The Unlicense",
-        "SPDX-License-Identifier: Unlicense",
-    ),
-    "proprietary": (
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    )),
+    "proprietary": ("", (), (
         "All rights reserved.",
         "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
         "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited.",
-    ),
+    )),
+}
+#: Sentences that a licence is named in, beside its bare name and its tag.
+NAMED = ("Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "Distributed under the {}.", "This work is licensed under the {}.", "This work is licensed under a {}.")
+TEMPLATES: dict[str, tuple[str, ...]] = {
+    family: (
+        *((f"SPDX-License-Identifier: {tag}", f"License: {tag}") if tag else ()),
+        *(text for name in names for text in (name, *(sentence.format(name) for sentence in NAMED))),
+        *texts,
+    )
+    for family, (tag, names, texts) in FAMILIES.items()
 }
 # Sentences about licences and software that license nothing.
 DECOYS = (
@@ -142,6 +140,10 @@ DECOYS = (
     "This program is broadcast under the terms of a new agreement.",
     "The above is subject to the terms of the contract with the supplier.",
     "In all copies of the map the above road is missing.",
+    "This dataset may be used freely for any purpose under the licence that its authors chose.",
+    "Any purpose for which the authors hold a license is listed in the notice above.",
+    "The terms of the public license of this radio station are published by the commission.",
+    "See the license for more details of the agreement with the software company.",
 )
 
 
@@ -194,10 +196,24 @@ def _marks(grams: Column, triples: Column) -> Column:
     return F.when(F.size(triples) > 0, triples).otherwise(grams)
 
 
-def _shared(one: Column, two: Column) -> Column:
-    """Share of the shorter's marks that both have."""
-    least = F.least(F.size(F.array_distinct(one)), F.size(F.array_distinct(two)))
-    return F.when(least > 0, F.size(F.array_intersect(one, two)) / least).otherwise(F.lit(0.0))
+def _compared(template: Column, paragraph: Column) -> Column:
+    """(confirmed, similarity) of a paragraph with a template, both as marks; similarity is the share of the shorter's that both have."""
+    shared, of_template = F.size(F.array_intersect(template, paragraph)), F.size(F.array_distinct(template))
+    least = F.least(of_template, F.size(F.array_distinct(paragraph)))
+    similarity = F.when(least > 0, shared / least).otherwise(F.lit(0.0))
+    whole = (of_template > 0) & (shared == of_template)
+    return F.struct((whole | ((shared >= LEAST_SHARED) & (similarity >= CONFIRMED))).alias("confirmed"), similarity.alias("similarity"))
+
+
+def like_templates(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The ids of rows (id, grams, triples) that some template would confirm, found by the marks they share."""
+    marked = known.select(F.xxhash64("grams").alias("template"), F.array_distinct(_marks(F.col("grams"), F.col("triples"))).alias("m")).distinct()
+    marks = marked.select("template", F.size("m").alias("of_template"), F.explode("m").alias("mark"))
+    own = F.size(F.array_distinct(_marks(F.col("grams"), F.col("triples"))))
+    each = rows.select("id", own.alias("own"), F.explode(F.array_distinct("grams")).alias("mark"))
+    shared = each.join(F.broadcast(marks), "mark").groupBy("id", "own", "template", "of_template").agg(F.count("*").alias("n"))
+    found = (F.col("n") == F.col("of_template")) | ((F.col("n") >= LEAST_SHARED) & (F.col("n") >= CONFIRMED * F.least("own", "of_template")))
+    return shared.where(found).select("id").distinct()
 
 
 @dataclass(frozen=True)
@@ -233,8 +249,7 @@ def fit(docs: DataFrame) -> LicenseModel:
     spark = docs.sparkSession
     families = (UNKNOWN, *TEMPLATES)
     known = templates(spark)
-    listed = known.select("grams", "triples").collect()
-    vocabulary = sorted({g for r in listed for g in r["grams"]})
+    vocabulary = sorted({g for r in known.select("grams").collect() for g in r["grams"]})
     counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
     width = F.size("words")
     spans = known.select("family", "words", F.explode(F.sequence(F.lit(1), width)).alias("start")).withColumn(
@@ -244,13 +259,9 @@ def fit(docs: DataFrame) -> LicenseModel:
     windows = spans.select("family", F.slice("words", F.col("start"), F.col("length")).alias("words"))
     decoys = spark.createDataFrame([(UNKNOWN, t) for t in DECOYS], "family string, text string").select("family", _words(F.col("text")).alias("words"))
     share = min(1.0, UNKNOWN_DOCS / max(1, docs.count()))
-    chosen = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    some = paragraphs(chosen.dropDuplicates(["text"]))  # many rows may repeat one text
-    texts = F.array(*[F.array(*map(F.lit, r["triples"] or r["grams"])) for r in listed])
-    near = F.exists(F.col("grams"), lambda gram: gram.isin(vocabulary)) & F.exists(texts, lambda t: _shared(t, _marks(F.col("grams"), F.col("triples"))) >= CONFIRMED)
-    # a template of two words is compared by its pair, which triples don't hold
-    holds = near | F.exists(F.col("grams"), lambda gram: gram.isin([r["grams"][0] for r in listed if not r["triples"]]))
-    some = some.where(~holds).select(F.lit(UNKNOWN).alias("family"), "words")
+    chosen = docs.select("doc_id", "text").where(hash_share(share, "doc_id", "text"))
+    some = paragraphs(chosen.dropDuplicates(["text"])).withColumn("id", F.xxhash64("words"))  # many rows may repeat one text
+    some = some.join(like_templates(some, known), "id", "left_anti").select(F.lit(UNKNOWN).alias("family"), "words")
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     rows = _grams(windows.unionByName(decoys).unionByName(some)).withColumn("label", label)
     rows = rows.withColumn("kept_back", F.pmod(F.xxhash64("words"), F.lit(5)) == 0)
@@ -269,10 +280,8 @@ def scanned(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     found = model.predicted(paragraphs(docs, template_pairs())).where(F.col("family") != UNKNOWN).join(F.broadcast(by_family), "family")
     # where either has two words only, the pairs of both are compared
     short = F.size("triples") == 0
-    similarity = F.array_max(F.transform("__templates", lambda t, i: F.when(short | (F.size(F.get("__triples", i)) == 0), _shared(t, F.col("grams"))).otherwise(_shared(F.get("__triples", i), F.col("triples")))))
-    return found.withColumn("similarity", similarity).select(
-        "doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= CONFIRMED).alias("confirmed")
-    )
+    best = F.array_max(F.transform("__templates", lambda t, i: F.when(short | (F.size(F.get("__triples", i)) == 0), _compared(t, F.col("grams"))).otherwise(_compared(F.get("__triples", i), F.col("triples")))))
+    return found.withColumn("__best", best).select("doc_id", "paragraph", "family", "probability", F.col("__best.similarity").alias("similarity"), F.col("__best.confirmed").alias("confirmed"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

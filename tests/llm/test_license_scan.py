@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import license_scan
 
@@ -78,3 +79,66 @@ def test_probabilities_are_calibrated(prose, model):
     """Of paragraphs given a family with a probability of at least 0.9, nine in ten hold a template's line."""
     rows = license_scan.scanned(prose, model).where("probability >= 0.9").collect()
     assert sum(r["confirmed"] for r in rows) >= 0.9 * len(rows) > 0
+
+
+LOOK_ALIKES = [
+    ("Eclipse Public License - v 2.0", "EPL-2.0"), ("License: MIT", "MIT"),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "MIT"),
+    ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "GPL"),
+    ("Licensed under the EUPL, Version 1.2", "EUPL-1.2"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("This software is provided 'as-is', without any express or implied warranty.", "Zlib"), ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
+    ("Mozilla Public License 2.0", "MPL-2.0"), ("GNU Affero General Public License", "AGPL"), ("WTFPL License", "WTFPL"),
+    ("This dataset may be used freely for any purpose under the licence that its authors chose.", None), ("Galaxy Public License - v 2.0", None), ("The public license of the station", None),
+    ("See the license for more details.", None), ("Permission to use the hall is hereby granted by the mayor.", None), ("License: unknown", None),
+]
+
+
+def test_look_alikes_get_their_own_family_or_none(spark, model):
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(LOOK_ALIKES)], "doc_id long, text string")
+    found = {r["doc_id"]: r["family"] for r in license_scan.scanned(rows, model).where("confirmed").collect()}
+    assert {LOOK_ALIKES[i][0]: found.get(i) for i in range(len(LOOK_ALIKES))} == dict(LOOK_ALIKES)
+
+
+def plain_comparison(words: list[str], family: str) -> tuple[bool, float]:
+    """(confirmed, similarity) of the best template of a family, by sets of Python."""
+    best = (False, 0.0)
+    for text in license_scan.TEMPLATES[family]:
+        own = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
+        grams = lambda w, n: {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+        one, two = (grams(own, 3), grams(words, 3)) if len(own) > 2 and len(words) > 2 else (grams(own, 2) | grams(own, 3), grams(words, 2) | grams(words, 3))
+        shared, least = len(one & two), min(len(one), len(two))
+        similarity = shared / least if least else 0.0
+        best = max(best, (bool(one) and one <= two or (shared >= 5 and similarity >= 0.5), similarity))
+    return best
+
+
+def test_similarity_and_confirmation_equal_a_plain_version(spark, model, prose):
+    texts = [t for t, _ in LOOK_ALIKES] + [" ".join(t.split()[i : i + 9]) for texts in license_scan.TEMPLATES.values() for t in texts for i in (0, 3, 8)]
+    docs = spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(prose)
+    held = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = license_scan.scanned(docs, model).collect()
+    assert len(rows) > 300
+    for r in rows:
+        words = plain_paragraphs(held[r["doc_id"]])[r["paragraph"]]
+        confirmed, similarity = plain_comparison(words, r["family"])
+        assert r["confirmed"] is confirmed and r["similarity"] == pytest.approx(similarity), (r, words)
+
+
+def test_rows_like_templates_are_those_that_one_would_confirm(spark):
+    known = license_scan.templates(spark)
+    texts = [t for t, _ in LOOK_ALIKES] + [" ".join(t.split()[i : i + 7]) for texts in license_scan.TEMPLATES.values() for t in texts for i in (0, 4)] + ["the town of the people", "a b"]
+    rows = license_scan.paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("id", F.concat_ws("-", "doc_id", "paragraph")).cache()
+    found = {r["id"] for r in license_scan.like_templates(rows, known).collect()}
+    for r in rows.collect():
+        like = any(plain_comparison(r["words"], family)[0] for family in license_scan.TEMPLATES)
+        assert (r["id"] in found) is like or len(r["words"]) == 2, r
+
+
+def test_probabilities_order_what_is_a_licence(spark, prose, model):
+    """Of beginnings of templates and as many paragraphs of prose, those with a higher probability are of licences more often, in each of three bins."""
+    texts = [" ".join(t.split()[: 2 + i % 9]) for i, t in enumerate(t for texts in license_scan.TEMPLATES.values() for t in texts)]
+    some = license_scan.paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("licence", F.lit(1))
+    plain = license_scan.paragraphs(prose).where(F.pmod(F.xxhash64("words"), F.lit(20)) == 0).limit(some.count()).withColumn("licence", F.lit(0))
+    rows = model.predicted(some.unionByName(plain)).select("probability", "licence").toPandas()
+    low, middle, high = (rows[rows["probability"].between(a, b)]["licence"] for a, b in ((0, 0.2), (0.2, 0.8), (0.8, 1)))
+    assert high.mean() > 0.9 > low.mean() and (not len(middle) or low.mean() <= middle.mean() <= high.mean())
