@@ -30,6 +30,12 @@ def probability_classes(columns: Sequence[str]) -> list[str]:
     return labels
 
 
+def long_predictions(rows: DataFrame) -> DataFrame:
+    """rows of probability_<i>_<label> columns with these as probabilities, an array in the order of classes."""
+    names = [f"probability_{i}_{c}" for i, c in enumerate(probability_classes(rows.columns))]
+    return rows.withColumn("probabilities", F.array(*(F.col(f"`{n}`") for n in names))).drop(*names)
+
+
 def weights_of(metric: DataFrame, value: str) -> DataFrame:
     """metric plus weight: value over the sum of all; a table of a row for each classifier."""
     from pyspark.sql.window import Window

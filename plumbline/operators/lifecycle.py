@@ -56,6 +56,15 @@ def flattened(checkpoint: Mapping) -> list[tuple]:
     ]
 
 
+def load_checkpoint(spark: SparkSession, path: str, measures: Sequence[str] = experiment.METRICS) -> DataFrame:
+    """Rows of folds (configuration_id, seed, fold, measures) of nested JSON checkpoints, {configuration_id: {seed: [metrics of fold 1 ...]}}, an object a line."""
+    held = ", ".join(f"{m}: double" for m in measures)
+    lines = spark.read.text(path).select(F.from_json("value", f"map<string, map<string, array<struct<{held}>>>>", {"mode": "FAILFAST"}).alias("c"))
+    seeds = lines.select(F.explode("c").alias("configuration_id", "seeds")).select("configuration_id", F.explode("seeds").alias("seed", "folds"))
+    each = seeds.select("configuration_id", F.col("seed").cast("int").alias("seed"), F.posexplode("folds").alias("fold", "m"))
+    return each.select("configuration_id", "seed", (F.col("fold") + 1).alias("fold"), *(F.col(f"m.{m}").alias(m) for m in measures))
+
+
 def _used(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, key: str) -> DataFrame:
     """The columns that a run reads; others may change without making it another run."""
     return rows.select(*dict.fromkeys([key, *numeric, *categorical, target]))

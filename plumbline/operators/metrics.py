@@ -141,3 +141,10 @@ def missing_classes(rows: DataFrame, classes: Sequence[str], actual: str = "actu
     """Classes without any actual row."""
     every = rows.sparkSession.createDataFrame([(c,) for c in classes], f"{actual} string")
     return every.join(rows.select(actual).distinct(), actual, "left_anti")
+
+
+def all_classes(rows: DataFrame, classes: Sequence[str], actual: str = "actual_class") -> DataFrame:
+    """rows, if each of classes has an actual row; else ValueError naming those that have none."""
+    if lacking := sorted(r[0] for r in missing_classes(rows, classes, actual).collect()):
+        raise ValueError(f"no rows of {', '.join(lacking)}")
+    return rows

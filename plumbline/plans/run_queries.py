@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import transform
-from plumbline.operators import experiment, inference, lifecycle, metrics, pipeline, profile, reporting, sampling, signatures, summaries
+from plumbline.operators import ensemble, experiment, inference, lifecycle, metrics, pipeline, profile, reporting, sampling, signatures, summaries
 from plumbline.operators.boosting import BoostedTrees
 from plumbline.plans import fixtures as X
 from plumbline.plans.evaluation_queries import _VOTES
@@ -244,11 +246,67 @@ SELECT seed, strategy, round(avg((predicted_class = actual_class)::INT), 6) AS a
 )
 def committee(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A committee of three classifiers whose folds and predictions lie in folders, weighed by their validation."""
-    folds, rows, folders = X.fold_metrics(spark, sf_dir), X.predictions(spark, sf_dir), {}
-    for name in X.CLASSIFIERS:
-        folders[name] = folder = X.scratch(spark, f"run-{name}")
-        held = {m: F.col(m) if m in folds.columns else F.lit(0.0).alias(m) for m in experiment.METRICS}
-        lifecycle.append_table(folds.where(F.col("configuration_id").startswith(name)).select("configuration_id", "seed", "fold", *held.values()), folder, "folds")
+    rows, folders = X.predictions(spark, sf_dir), _runs(spark, sf_dir)
+    for name, folder in folders.items():
         sinks.write_predictions(rows.where(F.col("classifier") == name).drop("classifier"), f"{folder}/predictions")
     found = lifecycle.committee(spark, folders, X.CLASSES, "row_index", "accuracy")
     return found["seeds"].join(found["corrections"], ["seed", "strategy"]).select("seed", "strategy", "accuracy", "right_where_any_wrong")
+
+
+@query("agg_25_flattened_checkpoint", f"WITH {X.FOLDS_SQL} SELECT configuration_id, seed, fold, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM folds")
+def flattened_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested checkpoints, an object for each configuration, written and read back as rows."""
+    path, measures = X.scratch(spark, "checkpoint"), F.struct(*X.METRIC_COLUMNS)
+    by_seed = X.fold_metrics(spark, sf_dir).groupBy("configuration_id", "seed").agg(F.array_sort(F.collect_list(F.struct("fold", measures.alias("m")))).alias("folds"))
+    seeds = by_seed.groupBy("configuration_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("seed").cast("string"), F.transform("folds", lambda f: f["m"])))).alias("seeds"))
+    seeds.select(F.to_json(F.create_map("configuration_id", "seeds")).alias("value")).write.text(path)
+    return lifecycle.load_checkpoint(spark, path, X.METRIC_COLUMNS)
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Folders of the three classifiers' runs: their folds, with measures that the fixtures lack as 0."""
+    folds, folders = X.fold_metrics(spark, sf_dir), {}
+    for name in X.CLASSIFIERS:
+        folders[name] = X.scratch(spark, f"run-{name}")
+        held = {m: F.col(m) if m in folds.columns else F.lit(0.0).alias(m) for m in experiment.METRICS}
+        lifecycle.append_table(folds.where(F.col("configuration_id").startswith(name)).select("configuration_id", "seed", "fold", *held.values()), folders[name], "folds")
+    return folders
+
+
+@query("src_10_results_tables", f"WITH {X.FOLDS_SQL} SELECT split_part(configuration_id, '-', 1) AS classifier, configuration_id, seed, fold, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM folds")
+def results_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of folds of three runs, loaded under their schema."""
+    parts = [lifecycle.load_table(spark, folder, "folds").withColumn("classifier", F.lit(name)) for name, folder in _runs(spark, sf_dir).items()]
+    return reduce(DataFrame.unionByName, parts).select("classifier", "configuration_id", "seed", "fold", "accuracy", "macro_f1")
+
+
+@query("ens_12_mean_validation", f"WITH {_VALIDATED} SELECT classifier, round(m, 6) AS value, round(weight, 6) AS weight FROM v2 JOIN weights USING (classifier)")
+def mean_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected configuration's mean accuracy of each classifier, and its share."""
+    values = [(name, lifecycle.mean_validation(spark, folder, "accuracy")) for name, folder in _runs(spark, sf_dir).items()]
+    return ensemble.weights_of(spark.createDataFrame(values, "classifier string, value double"), "value")
+
+
+@query(
+    "ens_10_probability_columns",
+    f"WITH {X.PREDICTIONS_SQL} SELECT seed, row_index, classifier, predicted_class, {', '.join(f'round(probabilities[{i + 1}], 6) AS p{i}' for i in range(len(X.CLASSES)))} FROM predictions",
+)
+def probability_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of probabilities, not in the order of classes, as an array in that order."""
+    rows = X.predictions(spark, sf_dir)
+    wide = rows.select("seed", "row_index", "classifier", "predicted_class", *(F.get("probabilities", F.lit(i)).alias(n) for i, n in reversed(list(enumerate(X.PROBABILITIES)))))
+    return ensemble.long_predictions(wide).select("seed", "row_index", "classifier", "predicted_class", *(F.get("probabilities", F.lit(i)).alias(f"p{i}") for i in range(len(X.CLASSES))))
+
+
+_RULE = "CASE WHEN l_quantity > 30 THEN 'bulk' WHEN l_discount > 0.045D THEN 'reduced' ELSE 'plain' END"
+
+
+@query("exp_12_frozen_test", f"SELECT seed, l_orderkey * 10 + l_linenumber AS id, {_RULE} AS predicted_class, count(*) AS n FROM lineitem, (SELECT unnest([27, 32]) AS seed) WHERE l_orderkey % 5 = 0 GROUP BY ALL".replace("0.045D", "0.045"))
+def frozen_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipelines fitted, predicted, timed and saved for two seeds, and loaded again for rows that they never saw. The target is a rule that a tree of two levels learns whole."""
+    used = ["l_quantity", "l_discount", "l_tax"]
+    rows = X.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_orderkey * 10 + l_linenumber AS id", *used, "l_linestatus", f"{_RULE} AS kind")
+    train, test, folder = rows.where("l_orderkey % 5 <> 0"), rows.where("l_orderkey % 5 = 0"), X.scratch(spark, "final")
+    lifecycle.refitted(train, test, folder, "decision_tree", {"sampler": "none", "max_depth": 2, "max_bins": 64}, used, ["l_linestatus"], "kind", "id", (27, 32))
+    predicted, _ = lifecycle.frozen_test(test, folder, "kind", "id", (27, 32))
+    return predicted.groupBy("seed", "id", "predicted_class").agg(F.count("*").alias("n"))
