@@ -70,8 +70,18 @@ def top_features(rows: DataFrame, feature: str, value: str, n: int) -> DataFrame
 
 
 def by_domain(rows: DataFrame, column: str, domain: Sequence[str], *then: Column | str) -> DataFrame:
-    """rows in the order of a domain; position counts from 1."""
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(domain_order(F.col(column), domain), *then)))
+    """rows in the order of a domain; position counts from 1.
+
+    Rows are numbered within each place of the domain and after those of the places before, so that the values of a domain
+    are numbered side by side; what is not in the domain is one place.
+    """
+    placed = rows.withColumn("__place", domain_order(F.col(column), domain))
+    sizes = placed.groupBy("__place").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__place").rowsBetween(Window.unboundedPreceding, -1))  # a row for each place
+    starts = sizes.select("__place", F.coalesce(before, F.lit(0)).alias("__start"))
+    numbered = placed.withColumn("__nth", F.row_number().over(Window.partitionBy("__place").orderBy(*(then or [column]))))
+    found = numbered.join(F.broadcast(starts), "__place")
+    return found.select(*rows.columns, (F.col("__start") + F.col("__nth")).cast("int").alias("position"))
 
 
 def constant_support(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], support: str = "support") -> DataFrame:

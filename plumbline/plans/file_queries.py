@@ -88,6 +88,14 @@ def selected_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.selected_in_order(spark, path, rows, "event_id").select("position", "event_id", "user_id")
 
 
+@query("snk_7_index_export", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS position, o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
+def index_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of keys, exported in order and read back with places."""
+    rows, path = X.table(spark, sf_dir, "orders").select("o_orderkey"), X.scratch(spark, "export")
+    sinks.write_indices(rows.where("o_orderkey % 3 = 0").repartition(7), path, "o_orderkey")
+    return files.selected_in_order(spark, path, rows, "o_orderkey")
+
+
 @query("src_5_dataset_by_name", f"{_ORDERS_SQL}, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 50 <> 0")
 def dataset_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL over a dataset that is only named in it."""

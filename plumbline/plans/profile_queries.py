@@ -441,6 +441,16 @@ def domain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.by_domain(X.table(spark, sf_dir, "region").select("r_name"), "r_name", ["EUROPE", "ASIA"], "r_name")
 
 
+@query(
+    "srt_2_customers_by_segment",
+    """SELECT c_custkey, c_mktsegment, (row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END, c_acctbal DESC, c_custkey))::INT AS position FROM customer""",
+)
+def customers_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers in the order of a domain that lacks some segments, then by what they own."""
+    rows = X.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return summaries.by_domain(rows, "c_mktsegment", ["MACHINERY", "BUILDING"], F.desc("c_acctbal"), "c_custkey").drop("c_acctbal")
+
+
 @query("chk_2_outside_domain", "SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
 def outside_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.outside_domain(X.table(spark, sf_dir, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"])

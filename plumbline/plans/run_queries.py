@@ -166,7 +166,7 @@ b AS (SELECT c, f, v, sum(0.25 - (y = c)::INT) AS g, sum(0.375) AS h FROM u GROU
 s AS (SELECT c, f, v, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(g) OVER w AS g, sum(h) OVER w AS h FROM b WINDOW w AS (PARTITION BY c, f), o AS (PARTITION BY c, f ORDER BY v)),
 t AS (SELECT c, f, v, -0.3 * gl / (hl + 1) AS lo, -0.3 * (g - gl) / (h - hl + 1) AS hi FROM s WHERE hl >= 1 AND h - hl >= 1
  QUALIFY row_number() OVER (PARTITION BY c ORDER BY gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) DESC, f, v) = 1),
-e AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, c, exp(CASE WHEN [l_quantity, l_discount, l_tax][f] <= v THEN lo ELSE hi END::DOUBLE) AS p FROM r, t)
+e AS (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, c, exp(CASE WHEN [l_quantity, l_discount, l_tax][f] <= v THEN lo ELSE hi END::DOUBLE) AS p FROM r, t)
 SELECT l_orderkey, l_linenumber, ['bulk', 'reduced', 'taxed', 'plain'][arg_max(c, p) + 1] AS predicted_class, round(max(p) FILTER (c = 0) / sum(p), 5) AS bulk, round(max(p) FILTER (c = 1) / sum(p), 5) AS reduced,
  round(max(p) FILTER (c = 2) / sum(p), 5) AS taxed, round(max(p) FILTER (c = 3) / sum(p), 5) AS plain FROM e GROUP BY l_orderkey, l_linenumber, l_quantity, l_discount, l_tax""",
 )

@@ -47,3 +47,9 @@ def write_predictions(rows: DataFrame, path: str) -> None:
 def write_artifacts(tables: Mapping[str, DataFrame], folder: str, kind: str = "parquet") -> None:
     for name, rows in tables.items():
         write_table(rows, f"{folder}/{name}", kind)
+
+
+def write_indices(rows: DataFrame, path: str, column: str = "row_index") -> None:
+    """The whole numbers of a column as an index list, in order: CSV files whose names sort as their numbers do. Missing values raise."""
+    checked = F.when(F.col(column).isNull(), F.raise_error(F.lit(f"{column} has missing values")).cast("long")).otherwise(F.col(column).cast("long"))
+    write_table(rows.select(checked.alias(column)).orderBy(column), path, "csv")
