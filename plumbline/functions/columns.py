@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,10 +104,23 @@ def parsed_label(response: Column, classes: Sequence[str]) -> tuple[Column, Colu
     return found, error
 
 
+def general(value: Column, digits: int = 15) -> Column:
+    """Floating-point numbers with so many significant digits, without trailing zeros, as C's %g writes them.
+
+    Java rounds the shortest decimal form of a number instead of the number, which differs where that ends in 5, so this is
+    done in Arrow batches.
+    """
+
+    def write(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else format(v, f".{digits}g"))
+
+    return F.pandas_udf(write, "string")(value.cast("double"))
+
+
 def serialized(value: Column, kind: str) -> Column:
-    """A cell of a prompt: NA for missing and non-finite values, true/false, numbers as they cast, text on one line."""
+    """A cell of a prompt: NA for missing and non-finite values, true/false, floating-point numbers to 15 digits, text on one line."""
     if kind in ("double", "float"):
-        text = finite(value).cast("string")
+        text = general(finite(value))
     elif kind == "boolean":
         text = F.when(value, "true").when(~value, "false")
     elif kind == "string":

@@ -115,6 +115,20 @@ def parse_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NUMBER = "coalesce(CASE WHEN isfinite(dirty) THEN CAST(CAST(dirty AS DECIMAL(18, 2)) AS VARCHAR) END, 'NA')"
 
 
+@query(
+    "fn_2_serialized_scalars",
+    f"""WITH {X.DIRTY_SQL} SELECT event_id, CASE WHEN isfinite(dirty) THEN printf('%.15g', dirty / 7) ELSE 'NA' END AS share, CASE WHEN isfinite(dirty) THEN printf('%.15g', dirty * 1e14::DOUBLE) ELSE 'NA' END AS large,
+ user_id::VARCHAR AS number, CASE WHEN event_id % 3 = 0 THEN 'NA' WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS even, event_type || ' of ' || user_id AS text FROM dirty_events""",
+)
+def serialized_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of every kind, with missing and infinite numbers."""
+    cells = {
+        "share": (F.col("dirty") / 7, "double"), "large": (F.col("dirty") * F.lit(1e14), "double"), "number": (F.col("user_id"), "bigint"),
+        "even": (F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 2 == 0), "boolean"), "text": (F.concat("event_type", F.lit("\n"), F.lit("of"), F.lit("\r\n"), F.col("user_id").cast("string")), "string"),
+    }
+    return X.dirty_events(spark, sf_dir).select("event_id", *(C.serialized(value, kind).alias(name) for name, (value, kind) in cells.items()))
+
+
 @query(
     "fn_3_csv_rows",
     f"""WITH {X.DIRTY_SQL} SELECT event_id, {_NUMBER} || ',' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ',' || chr(34) || event_type || ', ' || chr(34) || chr(34) || user_id || chr(34) || chr(34) || chr(34) AS record,
