@@ -17,16 +17,18 @@ ORDERS = Schema(
         Feature("order", DataType.INTEGER, Semantic.NUMERIC, Role.IDENTIFIER, source="Order Key"),
         Feature("price", DataType.FLOAT, Semantic.NUMERIC, Role.PREDICTOR, source="Price"),
         Feature("urgent", DataType.INTEGER, Semantic.BINARY, Role.PREDICTOR, source="Urgent"),
-        Feature("placed", DataType.DATETIME, Semantic.DATETIME, Role.METADATA, source="Placed", formats=("d/M/yyyy h:mm:ss a", "yyyy-MM-dd HH:mm:ss")),
+        Feature("placed", DataType.DATETIME, Semantic.DATETIME, Role.METADATA, source="Placed", formats=("d/M/yyyy h:mm:ss a", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS")),
         Feature("status", DataType.STRING, Semantic.CATEGORICAL, Role.TARGET, source="Status", domain=("F", "O", "P")),
     )
 )
 
 
 def _written_orders(spark: SparkSession, sf_dir: str, where: str = "true") -> str:
+    """Orders as CSV in two formats of time, whole: a price has all its digits, and a time with a part of a second has its microseconds."""
     when = F.col("o_orderdate")
-    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(when, "dd/MM/yyyy hh:mm:ss a")).otherwise(F.date_format(when, "yyyy-MM-dd HH:mm:ss"))
-    price = F.when(F.col("o_orderkey") % 50 == 0, "inf").when(F.col("o_orderkey") % 51 != 0, F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    part = F.date_trunc("second", when) != when
+    text = F.when(part, F.date_format(when, "yyyy-MM-dd HH:mm:ss.SSSSSS")).when(F.col("o_orderkey") % 2 == 0, F.date_format(when, "dd/MM/yyyy hh:mm:ss a")).otherwise(F.date_format(when, "yyyy-MM-dd HH:mm:ss"))
+    price = F.when(F.col("o_orderkey") % 50 == 0, "inf").when(F.col("o_orderkey") % 51 != 0, F.col("o_totalprice").cast("double").cast("string"))
     rows = X.table(spark, sf_dir, "orders").where(where).select(
         F.col("o_orderkey").alias("Order Key"), price.alias("Price"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("Urgent"), text.alias("Placed"), F.col("o_orderstatus").alias("Status")
     )

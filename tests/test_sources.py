@@ -1,7 +1,9 @@
 import json
+from datetime import datetime
 
 import pytest
 
+from plumbline.plans import file_queries
 from plumbline.plans.file_queries import ORDERS
 from plumbline.schema import DataType, Feature, Role, Schema, Semantic, from_struct, identity
 from plumbline.sources import files, sinks
@@ -42,6 +44,15 @@ def test_bad_cells_raise(spark, tmp_path, row):
         files.load_csv(spark, written(tmp_path, f"{HEADER}\n{row}\n"), ORDERS).collect()
 
 
+@pytest.mark.parametrize("query", [file_queries.csv_scan, file_queries.bundle])
+def test_prices_and_times_are_written_whole(spark, tmp_path, query):
+    """Prices of more than two places, very large ones, and times with parts of a second come back as they were."""
+    rows = [(k, [0.125, 1e17 + 64, 7.5, -0.0004, None][k % 5], when, "1-URGENT", "O") for k in range(1, 21) for when in [datetime(2001, 8, 1, 12 * (k % 2), 0, k % 3, (k % 4) * 250_001)]]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {r["order"]: (r["price"], r["placed"]) for r in query(spark, str(tmp_path)).collect()}
+    assert found == {k: (price, when) for k, price, when, *_ in rows}
+
+
 def test_missing_file(spark, tmp_path):
     with pytest.raises(files.UnreadableCsv):
         files.load_csv(spark, str(tmp_path / "nowhere.csv"), ORDERS)
