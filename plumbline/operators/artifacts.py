@@ -68,16 +68,23 @@ def identity_faults(artifacts: DataFrame) -> DataFrame:
     return fields.agg(F.count_if(F.col("values") > 1).alias("differ"), F.coalesce(F.sum(F.lit(n) - F.col("artifacts")), F.lit(0)).cast("long").alias("lacking"))
 
 
-def reuse_faults(completed: DataFrame, wanted: DataFrame, key: str, prediction: str, valid: str, sentinel: str) -> DataFrame:
+def reuse_faults(completed: DataFrame, wanted: DataFrame, key: str, prediction: str, valid: str, sentinel: str, version: str | None = None) -> DataFrame:
     """Whether a finished prediction table answers exactly the wanted keys: lacking, other and repeated keys, and rows that break the sentinel rule.
 
-    A row's prediction is the sentinel exactly where valid is false.
+    A row's prediction is the sentinel exactly where valid is false. Rows of completed whose version (a column of both
+    tables, if it is given) isn't the wanted one don't count. Keys, versions and a flag of each row are shuffled, once.
     """
-    held = completed.groupBy(key).agg(F.count("*").alias("times"), F.count_if((F.col(prediction) == sentinel) == F.coalesce(F.col(valid), F.lit(False))).alias("broken"))
-    both = held.join(wanted.select(key).distinct().withColumn("asked", F.lit(True)), key, "full_outer")
-    return both.agg(
-        F.count_if(F.col("times").isNull()).alias("lacking"),
-        F.count_if(F.col("asked").isNull()).alias("other"),
+    ids = [key, version] if version else [key]
+    broken = (F.col(prediction) == sentinel) == F.coalesce(F.col(valid), F.lit(False))
+    held = completed.select(*ids, F.lit(1).alias("times"), F.coalesce(broken, F.lit(False)).cast("int").alias("broken"), F.lit(0).alias("asked"))
+    rows = held.unionByName(wanted.select(*ids, F.lit(0).alias("times"), F.lit(0).alias("broken"), F.lit(1).alias("asked")))
+    counts = [F.sum("times").alias("times"), F.sum("broken").alias("broken"), F.max("asked").alias("asked")]
+    if version:
+        rows = rows.repartition(key).groupBy(*ids).agg(*counts).where("asked = 1")
+    there, asked, unknown = F.col("times") > 0, F.col("asked") > 0, F.col(key).isNull()  # a missing key answers none
+    return rows.groupBy(key).agg(*counts).agg(
+        F.count_if(asked & (~there | unknown)).alias("lacking"),
+        F.count_if(there & (~asked | unknown)).alias("other"),
         F.count_if(F.col("times") > 1).alias("repeated"),
         F.coalesce(F.sum("broken"), F.lit(0)).cast("long").alias("sentinels"),
     )

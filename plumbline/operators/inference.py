@@ -88,6 +88,11 @@ def fingerprinted(asked: DataFrame, classes: Sequence[str], definition: Mapping
     return asked.withColumn("fingerprint", F.sha2(F.concat(F.lit(made), F.lit("\n"), F.coalesce("prompt", F.lit(""))), 256))
 
 
+def _brief(fingerprint: Column) -> Column:
+    """The first 128 bits of a fingerprint: what is compared for one key's answers, a quarter of the text's bytes."""
+    return F.unhex(F.substring(fingerprint, 1, 32)).alias("__brief")
+
+
 def answers_of(spark: SparkSession, folder: str, key: T.StructField) -> DataFrame:
     """key, fingerprint, batch (attempt-number) and answers of a run's log, whatever they were made from; empty if there is none."""
     schema = T.StructType([key]).add("fingerprint", "string")
@@ -105,18 +110,19 @@ def resumed(
 ) -> DataFrame:
     """The answers (as classify gives them) of all rows (key, prompt) in folder, after asking for those that it lacks.
 
-    Rows that lack an answer are queued in files of at most every rows, and a stream takes a file at a time: each
+    Rows that lack an answer are queued, by the tasks that find them, in files of at most every rows, and a stream takes a file at a time: each
     micro-batch is asked and its answers are written to a folder of its own, answers/<attempt>/<batch>. A run that is
     stopped loses the answers of one batch at most. The next call is another attempt, whose queue has only rows without a
     written answer, so a row that was answered isn't asked again. Answers that are errors count as given.
 
     An answer counts for a row only under the fingerprint of what is asked now: of another definition, other classes or
     another prompt it is left in the log and the row is asked anew, or the run is refused with changed = "raise".
-    The result answers each key of asked once; anything else raises.
+    The result answers each key of asked once; anything else raises. Neither the rows nor the log are broadcast: both grow.
     """
     if changed not in ("ask", "raise"):
         raise ValueError(f"changed is ask or raise, not {changed}")
     spark, wanted = asked.sparkSession, fingerprinted(asked, classes, definition).select(key, "prompt", "fingerprint")
+    versions = wanted.select(key, _brief(F.col("fingerprint")))
     kind = T.StructField(key, asked.schema[key].dataType)
     done = answers_of(spark, folder, kind)
     if changed == "raise":
@@ -124,15 +130,18 @@ def resumed(
         stale = done.join(own, key).groupBy(key).agg(F.max((F.col("fingerprint") == F.col("__asked")).cast("int")).alias("own")).where("own = 0").count()
         if stale:
             raise signatures.ChangedRun(f"{folder} has answers of {stale} rows under another definition, other classes or other prompts")
-    todo, attempt = wanted.join(done.select(key, "fingerprint"), [key, "fingerprint"], "left_anti"), len(names(spark, f"{folder}/answers"))
+    attempt = len(names(spark, f"{folder}/answers"))
+    todo = wanted.select(key, "prompt")
+    if attempt:
+        given = done.select(key, _brief(F.col("fingerprint")))
+        todo = wanted.select(key, "prompt", _brief(F.col("fingerprint"))).join(given.hint("merge"), [key, "__brief"], "left_anti").select(key, "prompt")
     for older in ("queue", "progress"):  # of an attempt that was stopped; what it answered is in the log
         delete(spark, f"{folder}/{older}")
-    files = -(-todo.count() // every)
-    if files:
-        todo.repartition(files).write.option("maxRecordsPerFile", every).parquet(f"{folder}/queue")
+    todo.write.option("maxRecordsPerFile", every).parquet(f"{folder}/queue")
+    if not spark.read.schema(todo.schema).parquet(f"{folder}/queue").isEmpty():
 
         def ask(batch: DataFrame, number: int) -> None:
-            found = classify(batch, model, classes, key, in_flight, keep=["fingerprint"])
+            found = classify(fingerprinted(batch, classes, definition), model, classes, key, in_flight, keep=["fingerprint"])
             found.write.mode("overwrite").parquet(f"{folder}/answers/{attempt:06}/{number:09}")
 
         stream = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/queue")
@@ -141,12 +150,12 @@ def resumed(
             run.awaitTermination()
         finally:
             run.stop()
-        for ended in ("queue", "progress"):
-            delete(spark, f"{folder}/{ended}")
-    found = answers_of(spark, folder, kind).join(wanted.select(key, "fingerprint"), [key, "fingerprint"], "left_semi")
-    checked = found.withColumn("__class", F.coalesce("predicted_class", F.lit(INVALID)))
-    artifacts.faultless(artifacts.reuse_faults(checked, asked, key, "__class", "response_valid", INVALID))
-    return found.drop("fingerprint")
+    for ended in ("queue", "progress"):
+        delete(spark, f"{folder}/{ended}")
+    answers = answers_of(spark, folder, kind).withColumn("__brief", _brief(F.col("fingerprint")))
+    checked = answers.withColumn("__class", F.coalesce("predicted_class", F.lit(INVALID)))
+    artifacts.faultless(artifacts.reuse_faults(checked, versions, key, "__class", "response_valid", INVALID, "__brief"))
+    return answers.drop("fingerprint").join(versions.hint("merge"), [key, "__brief"], "left_semi").drop("__brief")
 
 
 def run_all(runs: Mapping[str, DataFrame], model: Callable[[str], str], classes: Mapping[str, Sequence[str]], folder: str, **options) -> dict[str, DataFrame]:

@@ -20,6 +20,23 @@ def test_a_stopped_run_keeps_the_answers_of_ended_parts(spark, tmp_path):
     assert again.count() == 20 and again.where("predicted_class = 'old'").count() == 20
 
 
+def shuffled(spark) -> int:
+    """Bytes that the session's shuffles have written so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_a_run_shuffles_keys_and_short_fingerprints_once(spark, tmp_path):
+    """Neither prompts nor whole fingerprints are shuffled by a first run, and one that finds all answers shuffles prompts once."""
+    prompt = "concat(sha2(CAST(id AS STRING), 512), sha2(CAST(id + 1 AS STRING), 512))"  # 256 characters that don't compress well
+    asked, folder = spark.range(30_000).selectExpr("id AS row_index", f"{prompt} AS prompt"), f"file://{tmp_path}/run"
+    for most in (120, 500):
+        before = shuffled(spark)
+        inference.resumed(asked, lambda prompt: "a", ["a"], folder, every=10_000)
+        assert shuffled(spark) - before < most * 30_000
+    assert inference.answers_of(spark, folder, asked.schema["row_index"]).count() == 30_000
+
+
 def test_every_run_has_a_folder_and_needs_classes(spark, tmp_path):
     asked = spark.range(4).selectExpr("id AS row_index", "CAST(id AS STRING) AS prompt")
     runs = {"one": asked, "two": asked.where("row_index < 2")}
