@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import axes, lists
-from plumbline.operators import inference, reporting, sampling, summaries
+from plumbline.operators import ensemble, inference, reporting, sampling, summaries
+from plumbline.plans.queries import QUERIES
 from plumbline.schema import Role, from_struct
 
 
@@ -97,3 +98,18 @@ def test_lists_of_metadata():
     for call in (lambda: lists.integers(["x"], "seeds"), lambda: lists.strings([1], "names"), lambda: lists.header_names(["a b", "a  b"]), lambda: lists.header_names([" "])):
         with pytest.raises(ValueError):
             call()
+
+
+def plan(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_votes_and_their_rows_are_not_broadcast(spark):
+    """Both sides of the join have a row for each key, so neither goes through the driver, however small it is estimated."""
+    rows = spark.createDataFrame([(i, f"c{c}", "a", "ab"[i % 2], [0.5, 0.5]) for i in range(4) for c in range(2)], "id int, classifier string, actual_class string, predicted_class string, probabilities array<double>")
+    found = ensemble.corrections(ensemble.votes(rows, ["id"], ["a", "b"], {"c0": 0.5, "c1": 0.5}), rows, [], ["id"])
+    assert "Broadcast" not in plan(found) and {(r["n"], r["right_where_any_wrong"]) for r in found.collect()} == {(4, 0), (4, 2)}
+
+
+def test_rows_in_another_order_are_dealt_to_as_many_tasks_as_they_need(spark):
+    assert "REPARTITION_BY_NUM" not in plan(QUERIES["exp_7_changed_rows"](spark, "/root/testdata/sf0.001"))
