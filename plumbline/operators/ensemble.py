@@ -102,11 +102,14 @@ def diversity(rows: DataFrame, group: Sequence[str], keys: Sequence[str]) -> Dat
 
 
 def corrections(voted: DataFrame, rows: DataFrame, group: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """group, strategy, n and counts and rates of: right where all are wrong, wrong where all are right, right where any is wrong."""
+    """group, strategy, n and counts and rates of: right where all are wrong, wrong where all are right, right where any is wrong.
+
+    Both sides have a row or more for each key, so neither is broadcast, whatever it is estimated at.
+    """
     wrong = F.col("predicted_class") != F.col("actual_class")
     parts = rows.groupBy(*group, *keys).agg(F.bool_and(wrong).alias("all_wrong"), F.bool_or(wrong).alias("any_wrong"))
     right = ~wrong
-    joined = voted.join(parts, [*group, *keys])
+    joined = voted.join(parts.hint("merge"), [*group, *keys])
     counts = {"right_where_all_wrong": right & F.col("all_wrong"), "wrong_where_all_right": wrong & ~F.col("any_wrong"), "right_where_any_wrong": right & F.col("any_wrong")}
     out = joined.groupBy(*group, "strategy").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in counts.items()])
     return out.withColumns({f"{k}_rate": F.col(k) / F.col("n") for k in counts})
