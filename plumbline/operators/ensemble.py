@@ -79,9 +79,14 @@ def votes(rows: DataFrame, keys: Sequence[str], classes: Sequence[str], weights:
     return scored.select(*keys, "actual_class", F.explode(F.array(*cells)).alias("c")).select(*keys, "actual_class", "c.*")
 
 
+def _distinct(column: str) -> Column:
+    """How many values a key's few predictions have; unlike count(DISTINCT) it doesn't repeat their rows for each column."""
+    return F.size(F.collect_set(column)).cast("long")
+
+
 def aligned(rows: DataFrame, keys: Sequence[str], classifiers: int) -> DataFrame:
     """Keys that not exactly classifiers predictions have, or whose actual class they disagree on; empty if all is well."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("classifier").alias("n_classifiers"), F.count_distinct("actual_class").alias("n_actual"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), _distinct("classifier").alias("n_classifiers"), _distinct("actual_class").alias("n_actual"))
     return counts.where((F.col("n") != classifiers) | (F.col("n_classifiers") != classifiers) | (F.col("n_actual") != 1))
 
 

@@ -214,7 +214,8 @@ def committee(spark: SparkSession, folders: Mapping[str, str], classes: Sequence
     voted = ensemble.votes(rows, ["seed", key], classes, {r["classifier"]: r["weight"] for r in weights.collect()})
     by = ["seed", "strategy"]
     scores = {f"probability_{i}_{c}": F.round(F.get("scores", F.lit(i)), SCORE_PLACES) for i, c in enumerate(classes)}
-    seeds = metrics.summary_metrics(voted, by).join(metrics.macro_auc(voted.withColumns(scores), by, classes, list(scores)), by)
+    # every strategy of a seed has one row of areas, so a left join loses none, and Spark leaves it out where no area is read
+    seeds = metrics.summary_metrics(voted, by).join(metrics.macro_auc(voted.withColumns(scores), by, classes, list(scores)), by, "left")
     pairs = ensemble.diversity(rows, ["seed"], [key])
     corrected = ensemble.corrections(voted, rows, ["seed"], [key])
     rates = [c for c in corrected.columns if c.endswith("_rate")]

@@ -113,3 +113,10 @@ def test_votes_and_their_rows_are_not_broadcast(spark):
 
 def test_rows_in_another_order_are_dealt_to_as_many_tasks_as_they_need(spark):
     assert "REPARTITION_BY_NUM" not in plan(QUERIES["exp_7_changed_rows"](spark, "/root/testdata/sf0.001"))
+
+
+def test_alignment_reads_each_prediction_once(spark):
+    """Counts of distinct values don't repeat the rows, and missing values aren't counted."""
+    rows = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (2, "a", "x"), (2, "a", "y"), (3, "a", None), (3, "b", None)], "id int, classifier string, actual_class string")
+    found = ensemble.aligned(rows, ["id"], 2)
+    assert "Expand" not in plan(found) and sorted(map(tuple, found.collect())) == [(2, 2, 1, 2), (3, 2, 2, 0)]
