@@ -1,7 +1,7 @@
 """Near-dedup: consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A text's elements are its five-word shingles, weighing times * idf, with the exact document
-frequencies of `bags`; texts that share too little of their weight with all others to be similar
+frequencies and the bound on idf of `bags`; texts that share too little of their weight with all others to be similar
 to any have no bag and stay apart.
 
 Improved consistent weighted sampling draws BANDS * ROWS samples of each text; texts that agree

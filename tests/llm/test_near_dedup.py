@@ -169,6 +169,23 @@ def test_recall_on_planted_near_copies(spark):
     assert all(found[i] in (i, i - i % 2) for i in found)
 
 
+def test_near_copies_in_a_group_meet_however_large_the_table_is(spark):
+    """Twenty copies of a text of 300 words, six of them others in each, among 20,000 texts: a plain similarity of 0.82 each with the text."""
+    draw = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{v}" for v in draw.integers(0, 50_000, 8)) for i in range(100, 20_000)}
+    texts[0] = " ".join(varied(300, 77))
+    for i in range(1, 20):
+        words = texts[0].split()
+        for at in range(6):
+            words[10 + 50 * at + i] = f"other{i}x{at}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    rows, nodes = near_dedup.classes(docs)
+    found = {r["first"]["doc_id"]: r["class_first"]["doc_id"] for r in rows.join(nodes, "digest").collect()}
+    assert [found[i] for i in range(20)] == [0] * 20
+    assert all(found[i] == i for i in range(100, 20_000))
+
+
 def test_packed_numbers_come_back():
     values = np.array([0, 1, 255, 256, (1 << 48) - 1, 123456789012], np.uint64)
     assert bags.unpacked(bags.packed(values)).tolist() == values.tolist() and bags.unpacked(b"").tolist() == []
