@@ -7,6 +7,9 @@ value. A last pass counts the rows below and the values inside each bracket: eve
 in its task, and only values inside brackets are rows of their own. Those are shuffled and ranked, so no task ranks more
 than the values of a bracket.
 
+Groups of fewer than SMALL rows need none of that: a task sorts each whole, so their rows are shuffled once, as they are. Groups
+are counted first, and only those of SMALL rows and more have sketches.
+
 Brackets are computed when exact_quantiles is called. They come to the driver where there are at most MOST_GROUPS groups,
 and are broadcast; of more groups only those with too many rows do, of which there can't be many, and the others meet
 their values by a shuffle.
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rank error of a sketch is 1 / ACCURACY of its rows; half the width of a bracket; groups below SMALL are ranked whole.
+#: Rank error of a sketch is 1 / ACCURACY of its rows; half the width of a bracket; groups with keys and below SMALL rows are sorted whole.
 ACCURACY, WIDTH, SMALL = 1000, 0.003, 5000
 #: Rows of a bracket beyond which it is narrowed, into one of GRID parts and the two on either side of it; passes at most.
 MOST_INSIDE, GRID, ROUNDS = 100_000, 100, 12
@@ -30,14 +33,14 @@ MOST_GROUPS = 20_000
 _INF = float("inf")
 
 
-def _met(keys: Sequence[str], values: DataFrame, brackets: DataFrame) -> DataFrame:
+def _met(keys: Sequence[str], values: DataFrame, brackets: DataFrame, how: str = "inner") -> DataFrame:
     """values with the columns of the brackets of their group."""
     named = {k: f"__k{i}" for i, k in enumerate(keys)}
     same = F.lit(True)
     for k, n in named.items():
         same = same & F.col(k).eqNullSafe(F.col(n))
     others = [c for c in brackets.columns if c not in named]
-    return values.join(brackets.select(*(F.col(k).alias(n) for k, n in named.items()), *others), same).drop(*named.values())
+    return values.join(brackets.select(*(F.col(k).alias(n) for k, n in named.items()), *others), same, how).drop(*named.values())
 
 
 def _sketch(of: Column, shares: Sequence[float]) -> Column:
@@ -66,10 +69,38 @@ def _narrowed(values: DataFrame, keys: Sequence[str], held: list[dict], probabil
             share[r["__g"], i] = r["inside"] * (high - low) / GRID
 
 
+def _sorted_whole(values: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """keys, p, quantile of the values (keys, __v) of groups that are small enough for a task to sort."""
+    group, v = Window.partitionBy(*keys), F.col("__v")
+    each = values.withColumns({"__n": F.count("*").over(group), "__rank": F.row_number().over(group.orderBy("__v")) - 1})
+    at = [F.lit(p) * (F.col("__n") - 1) for p in probabilities]
+    holds = lambda rank: F.max(F.when((F.col("__rank") == rank) & ~F.isnan(v), v))
+    ends = [holds(side(a)).alias(f"__{name}{i}") for i, a in enumerate(at) for name, side in (("lo", F.floor), ("hi", F.ceil))]
+    wide = each.groupBy(*keys).agg(F.max("__n").alias("__n"), *ends)
+    low, high = ([F.col(f"__{name}{i}") for i in range(len(probabilities))] for name in ("lo", "hi"))
+    cells = [F.struct(F.lit(p).alias("p"), (lo + (hi - lo) * (a - F.floor(a))).alias("quantile")) for p, a, lo, hi in zip(probabilities, at, low, high, strict=True)]
+    return wide.select(*keys, F.explode(F.array(*cells)).alias("__c")).select(*keys, "__c.p", "__c.quantile").where("quantile is not null")
+
+
 def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """keys, p, quantile: linear interpolation between the two nearest ranks of the non-null values of each group."""
-    keys, probabilities, spark = list(keys), sorted(probabilities), rows.sparkSession
+    keys, probabilities = list(keys), sorted(probabilities)
     values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    if not keys:
+        return _selected(values, keys, probabilities)
+    counts = values.groupBy(*keys).agg(F.count("*").alias("__n"))
+    n = counts.agg(F.count_if(F.col("__n") < SMALL).alias("small"), F.count_if(F.col("__n") >= SMALL).alias("large")).first()
+    if n["large"] and not n["small"]:
+        return _selected(values, keys, probabilities)
+    large = counts.where(F.col("__n") >= SMALL)
+    marked = _met(keys, values, F.broadcast(large) if n["large"] <= MOST_GROUPS else large.hint("shuffle_hash"), "left")
+    small = _sorted_whole(marked.where("__n is null").drop("__n"), keys, probabilities)
+    return small.unionByName(_selected(marked.where("__n is not null").drop("__n"), keys, probabilities)) if n["large"] else small
+
+
+def _selected(values: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """keys, p, quantile of values (keys, __v), by brackets."""
+    spark = values.sparkSession
     bounds = [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-WIDTH, WIDTH)]
     stats = values.groupBy(*keys).agg(F.count("*").alias("__n"), _sketch(F.col("__v"), bounds).alias("__b"))
     small, n = F.col("__n") < SMALL, range(len(probabilities))

@@ -50,3 +50,16 @@ def test_brackets_are_narrowed_until_they_are_small(spark, monkeypatch, most_gro
     for group in (h for held in passes for h in held if h["n"] >= 1000):
         values = groups[group["key"][0]]
         assert all(lo == hi or len(set(values[(values >= lo) & (values <= hi)])) <= 120 for lo, hi in zip(group["lo"], group["hi"], strict=True))
+
+
+def test_rows_of_small_groups_are_not_multiplied(spark):
+    """Of 2,000 groups of 5 rows no step makes more rows than there are, and a large group beside them has its own quantiles."""
+    frame = spark.range(10_000).selectExpr("id % 2000 as g", "cast(id * 7919 % 10007 as double) as v")
+    p = [0.0, 0.25, 0.5, 0.75, 1.0]
+    plan = exact_quantiles(frame, ["g"], "v", p)._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("row_number")  # what is below the ranking comes after it
+    assert "Generate" not in plan[at:]
+    both = frame.unionByName(spark.range(6_000).selectExpr("-1 as g", "cast(id as double) as v"))
+    found = {(r["g"], r["p"]): r["quantile"] for r in exact_quantiles(both, ["g"], "v", p).collect()}
+    plain = both.toPandas().groupby("g")["v"]
+    assert len(found) == 2_001 * len(p) and all(np.isclose(found[g, x], np.quantile(v, x), rtol=0, atol=1e-12) for g, v in plain for x in p)
