@@ -148,7 +148,7 @@ def predictions(model: Model, rows: DataFrame, classes: Sequence[str], target: s
 def scores(predicted: DataFrame, classes: Sequence[str]) -> dict[str, float]:
     """The eight metrics of a prediction table."""
     named = {f"probability_{i}_{c}": F.get("probabilities", F.lit(i)) for i, c in enumerate(classes)}
-    wide = predicted.withColumns(named).cache()
+    wide = predicted.select("actual_class", "predicted_class", *(p.alias(n) for n, p in named.items())).cache()
     try:
         return metrics.summary_metrics(wide, []).first().asDict() | metrics.macro_auc(wide, [], classes, list(named)).first().asDict()
     finally:
@@ -164,42 +164,50 @@ def cross_validate(
     record gets the rows of each fold when it ends (lifecycle.cross_validated appends them to a table, and resumes from it);
     it is called by the calling thread, for one fold at a time.
 
-    Folds of a seed run side by side, each with its prepared rows cached once for all its configurations; at most parallel
-    fits run at a time, from driver threads. Each fit is a row of Spark jobs.
+    Rows are written to the shared folder once, and again ranked by the draw of each seed: folds are remainders of ranks, and
+    balancing a fold's training rows takes their ranks from there, so no fold sorts rows. Folds of a seed run side by side; at
+    most parallel fits run at a time, from driver threads. Each fit is a row of Spark jobs. Beside the files, only balanced
+    features and labels and the scores of a fit are cached.
     """
-    spark, classes = rows.sparkSession, prepare.classes_of(rows, target)
+    spark, base = rows.sparkSession, scratch(rows.sparkSession, "folds")
     known = {(r["configuration_id"], r["seed"], r["fold"]) for r in done.select("configuration_id", "seed", "fold").collect()} if done is not None else set()
     found = []
-    for seed in seeds:
-        wanted = {fold: [p for p in expand(grid) if (configuration_id(p), seed, fold) not in known] for fold in range(1, k + 1)}
-        wanted = {fold: some for fold, some in wanted.items() if some}
-        if not wanted:
-            continue
-        folded = sampling.folds(rows, target, k, seed, key).cache()
-        at_once = min(parallel, len(wanted))
-
-        def one_fold(fold: int, folded=folded, seed=seed, wanted=wanted, at_once=at_once) -> list[tuple]:
-            train = folded.where(F.col("fold") != fold)
-            ready = prepare.fit(train, numeric, categorical)
-            parts = [assembled(part, ready, target, classes, [key]).cache() for part in (train, folded.where(F.col("fold") == fold))]
-
-            def one(parameters: Mapping) -> tuple:
-                result = scores(predictions(fit(parts[0], kind, parameters, seed, target, key), parts[1], classes, target, key), classes)
-                return (configuration_id(parameters), seed, fold, *[float(result[m]) for m in METRICS])
-
-            try:
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{base}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{base}/{name}")
+
+    try:
+        rows = written(rows.select(*(F.col(f"`{c}`") for c in dict.fromkeys((key, *numeric, *categorical, target)))), "rows")
+        classes = prepare.classes_of(rows, target)
+        for seed in seeds:
+            wanted = {fold: [p for p in expand(grid) if (configuration_id(p), seed, fold) not in known] for fold in range(1, k + 1)}
+            wanted = {fold: some for fold, some in wanted.items() if some}
+            if not wanted:
+                continue
+            ranked = written(sampling.ranked(rows, target, seed, key), f"seed-{seed}")
+            at_once = min(parallel, len(wanted))
+
+            def one_fold(fold: int, ranked=ranked, seed=seed, wanted=wanted, at_once=at_once) -> list[tuple]:
+                train, test = sampling.without_fold(ranked, k, fold), ranked.where(sampling.fold_of(k) == fold)
+                ready = prepare.fit(train, numeric, categorical)
+                train, test = assembled(train, ready, target, classes, [key, "__nth"]), assembled(test, ready, target, classes, [key])
+
+                def one(parameters: Mapping) -> tuple:
+                    result = scores(predictions(fit(train, kind, parameters, seed, target, key), test, classes, target, key), classes)
+                    return (configuration_id(parameters), seed, fold, *[float(result[m]) for m in METRICS])
+
                 with ThreadPoolExecutor(max(1, parallel // at_once)) as threads:
                     return list(threads.map(one, wanted[fold]))
-            finally:
-                for part in parts:
-                    part.unpersist()
-
-        with ThreadPoolExecutor(at_once) as threads:
-            for ended in as_completed([threads.submit(one_fold, fold) for fold in wanted]):
-                if record:
-                    record(spark.createDataFrame(ended.result(), RESULTS))
-                found += ended.result()
-        folded.unpersist()
+
+            with ThreadPoolExecutor(at_once) as threads:
+                for ended in as_completed([threads.submit(one_fold, fold) for fold in wanted]):
+                    if record:
+                        record(spark.createDataFrame(ended.result(), RESULTS))
+                    found += ended.result()
+            delete(spark, f"{base}/seed-{seed}")
+    finally:
+        delete(spark, base)
     new = spark.createDataFrame(found, RESULTS)
     return new if done is None else done.select(new.columns).unionByName(new)
 

@@ -93,11 +93,14 @@ class Balanced(_Named, Estimator, DefaultParamsReadable, DefaultParamsWritable):
     def _fit(self, rows: DataFrame) -> Model:
         from plumbline.operators.experiment import fit_classifier
 
-        rows = rows.select(self.getOrDefault("key"), self.getOrDefault("target"), "label", "features")
+        ranks = [c for c in rows.columns if c == "__nth"]  # of rows that are ranked already
+        rows = rows.select(self.getOrDefault("key"), self.getOrDefault("target"), "label", "features", *ranks)
         options, seed = json.loads(self.getOrDefault("options")), self.getOrDefault("seed")
         if options.get("sampler") != "oversample":
             return fit_classifier(rows, self.getOrDefault("kind"), options, seed, self.getOrDefault("key"))
-        balanced = sampling.oversampled(rows, self.getOrDefault("target"), seed, self.getOrDefault("key")).cache()
+        balanced = sampling.oversampled(rows, self.getOrDefault("target"), seed, self.getOrDefault("key"))
+        # Spark's trees read no key, and a class is its label
+        balanced = balanced.select(*([self.getOrDefault("key")] if self.getOrDefault("kind") == "boosted_trees" else []), "label", "features").cache()
         try:
             return fit_classifier(balanced, self.getOrDefault("kind"), options, seed, self.getOrDefault("key"))
         finally:

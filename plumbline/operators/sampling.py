@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -85,11 +85,25 @@ def stratified_split(rows: DataFrame, target: str, share: float, seed: int, key:
 
 def folds(rows: DataFrame, target: str, k: int, seed: int, key: str) -> DataFrame:
     """rows plus fold from 1 to k; within a class fold sizes differ by one at most."""
-    return ranked(rows, target, seed, key).withColumn("fold", (F.col("__nth") - 1) % k + 1).drop("__nth")
+    return ranked(rows, target, seed, key).withColumn("fold", fold_of(k)).drop("__nth")
+
+
+def fold_of(k: int) -> Column:
+    """The fold, from 1 to k, of a row of ranked."""
+    return (F.col("__nth") - 1) % k + 1
+
+
+def without_fold(rows: DataFrame, k: int, fold: int) -> DataFrame:
+    """The rows of ranked that are not of a fold, ranked among themselves: as many places less as there are rows of the fold before."""
+    before = F.floor((F.col("__nth") - 1 - fold + k) / k).cast("int")
+    return rows.where(fold_of(k) != fold).withColumn("__nth", F.col("__nth") - before)
 
 
 def oversampled(rows: DataFrame, target: str, seed: int, key: str) -> DataFrame:
-    """All rows, and for each smaller class draws with replacement up to the size of the largest; copy is 0 for originals, then 1, 2 ..."""
+    """All rows, and for each smaller class draws with replacement up to the size of the largest; copy is 0 for originals, then 1, 2 ...
+
+    Rows that have __nth are ranked already, and only classes that lack rows meet their draws.
+    """
     sizes = rows.groupBy(target).agg(F.count("*").alias("__n"))
     sizes = sizes.withColumn("__lack", F.max("__n").over(Window.partitionBy()) - F.col("__n"))
     chunks = sizes.where("__lack > 0").select(target, "__n", "__lack", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__lack") - 1) / CHUNK))).alias("__chunk"))
@@ -98,7 +112,10 @@ def oversampled(rows: DataFrame, target: str, seed: int, key: str) -> DataFrame:
     draws = spread.select(target, "__n", F.explode(F.sequence(first, F.least(first + (CHUNK - 1), F.col("__lack")))).alias("copy"))
     number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(target), F.lit(":"), F.col("copy").cast("string"))), 1, 12), 16, 10).cast("long")
     draws = draws.select(target, "copy", (number % F.col("__n") + 1).alias("__nth"))
-    extra = ranked(rows, target, seed, key).join(draws, [target, "__nth"]).select(*rows.columns, "copy")
+    placed = rows if "__nth" in rows.columns else ranked(rows, target, seed, key)
+    smaller = placed.join(sizes.where("__lack > 0").select(target), target, "left_semi")
+    rows = rows.drop("__nth")
+    extra = smaller.join(draws, [target, "__nth"]).select(*rows.columns, "copy")
     return rows.withColumn("copy", F.lit(0).cast("long")).unionByName(extra)
 
 

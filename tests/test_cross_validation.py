@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from plumbline.operators import experiment, sampling
 from plumbline.plans import sampling_queries
 
 
@@ -53,3 +54,16 @@ def test_all_rows_meet_a_fold_and_the_metrics_are_those_of_the_rule(spark, tmp_p
             assert row["accuracy"] == pytest.approx(sum(right.values()) / len(test))
             assert row["balanced_accuracy"] == pytest.approx(sum(recall) / 3)
             assert row["macro_f1"] == pytest.approx(sum(2 * p * r / (p + r) for p, r in zip(precision, recall, strict=True)) / 3)
+
+
+def test_rows_are_ranked_once_a_seed(spark, monkeypatch):
+    """Folds and the balancing of their training rows share one ranking, and ranks without a fold are those of a new ranking."""
+    rows = spark.range(200).selectExpr("cast(id as string) as id", "cast(id % 10 as double) as x", "if(id % 10 < 3, 'a', 'b') as y")
+    ranked, calls = sampling.ranked, []
+    for fold in (1, 2, 3):
+        apart = sampling.without_fold(ranked(rows, "y", 27, "id"), 3, fold)
+        assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, ranked(apart.drop("__nth"), "y", 27, "id").collect()))
+    monkeypatch.setattr(sampling, "ranked", lambda *given: (calls.append(given), ranked(*given))[1])
+    grid = {"max_depth": [1], "min_samples_leaf": [5], "sampler": ["oversample"]}
+    found = experiment.cross_validate(rows, "decision_tree", grid, ["x"], [], "y", "id", seeds=(27,), k=2).collect()
+    assert len(calls) == 1 and [r["accuracy"] for r in found] == [1.0, 1.0]
