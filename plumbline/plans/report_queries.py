@@ -111,8 +111,14 @@ def inspection_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def nonlinear_ticks(spark: SparkSession, sf_dir: str, kind: str = "supplier", table: str = "lineitem", key: str = "l_suppkey", value: str = "l_extendedprice") -> DataFrame:
+    """Ticks of the values of a table by a key, by default of prices by supplier."""
+    lines = reporting.axis_ticks(X.table(spark, sf_dir, table).selectExpr(f"{key} AS id", f"{value} AS value"), "value", ["id"])
+    return lines.select(F.lit(kind).alias("kind"), "id", F.posexplode("ticks").alias("place", "tick"))
+
+
 @query("fn_11_nonlinear_ticks")
-def nonlinear_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks of prices by part, of values by user: tests compare them with a plain version."""
-    lines = reporting.axis_ticks(X.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS id", "l_extendedprice AS value"), "value", ["id"])
-    return lines.select(F.lit("supplier").alias("kind"), "id", F.posexplode("ticks").alias("place", "tick"))
+def all_nonlinear_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of prices by supplier and by part, of values by user: tests compare them with a plain version."""
+    by = [("supplier", "lineitem", "l_suppkey", "l_extendedprice"), ("part", "lineitem", "l_partkey", "l_extendedprice"), ("user", "events", "user_id", "value")]
+    return reduce(DataFrame.unionByName, [nonlinear_ticks(spark, sf_dir, *one) for one in by])

@@ -3,6 +3,7 @@
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,7 @@ from plumbline.operators import profile, reporting, sampling, summaries
 from plumbline.plans import fixtures as X
 from plumbline.plans import profile_queries, report_queries
 from plumbline.plans.file_queries import ORDERS, _written_orders
+from plumbline.plans.queries import QUERIES
 from plumbline.sources import files
 from plumbline.sources.datasets import Catalog, Dataset
 
@@ -148,6 +150,20 @@ def test_ticks_of_the_query(spark):
         assert found[key] == pytest.approx(plain_ticks(own[0], own[-1], "log1p", [at(p) for p in (0.25, 0.5, 0.75)], 5), rel=1e-9)
 
 
+def test_ticks_of_the_query_are_of_suppliers_parts_and_users(spark):
+    found = {}
+    for r in QUERIES["fn_11_nonlinear_ticks"](spark, SMALL).orderBy("kind", "id", "place").collect():
+        found.setdefault((r["kind"], r["id"]), []).append(r["tick"])
+    values = {}
+    for kind, table, key, value in (("supplier", "lineitem", "l_suppkey", "l_extendedprice"), ("part", "lineitem", "l_partkey", "l_extendedprice"), ("user", "events", "user_id", "value")):
+        for r in X.table(spark, SMALL, table).select(key, value).collect():
+            values.setdefault((kind, r[0]), []).append(r[1])
+    assert found.keys() == values.keys() and {kind for kind, _ in found} == {"supplier", "part", "user"}
+    for group, own in values.items():
+        quartiles = np.quantile(own, [0.25, 0.5, 0.75]).tolist()
+        assert found[group] == pytest.approx(plain_ticks(min(own), max(own), "log1p", quartiles, 5), rel=1e-6, abs=1e-6)
+
+
 def test_tables_of_a_dataset_come_from_one_scan(spark):
     rows, schema = X.dirty_events(spark, SMALL), profile_queries.events_schema(spark, SMALL)
     found = profile.dataset_statistics(rows, schema, percentiles=False)
