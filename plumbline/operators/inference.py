@@ -78,6 +78,8 @@ def classify(asked: DataFrame, model: Callable[[str], str], classes: Sequence[st
     return answered.select(*kept, "raw_response", "request_time_seconds", F.coalesce("request_error", error).alias("response_error"), found.alias("predicted_class"), found.isNotNull().alias("response_valid"))
 
 
+#: A task's files are in their folder when it ends, not when its job does.
+_BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 #: Of an answer in a run's log: what it answers, under which fingerprint, and what came of it.
 ANSWER = "raw_response string, request_time_seconds double, response_error string, predicted_class string, response_valid boolean"
 
@@ -94,14 +96,14 @@ def _brief(fingerprint: Column) -> Column:
 
 
 def answers_of(spark: SparkSession, folder: str, key: T.StructField) -> DataFrame:
-    """key, fingerprint, batch (attempt-number) and answers of a run's log, whatever they were made from; empty if there is none."""
+    """key, fingerprint, batch (attempt/number/part) and answers of a run's log, whatever they were made from; empty if there is none."""
     schema = T.StructType([key]).add("fingerprint", "string")
     for field in T.StructType.fromDDL(ANSWER).fields:
         schema = schema.add(field)
     if not names(spark, f"{folder}/answers"):
         return spark.createDataFrame([], schema).withColumn("batch", F.lit(""))
     rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/answers")
-    return rows.withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"answers/([^/]+/[^/]+)/", 1))
+    return rows.withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"answers/([^/]+/[^/]+/part-\d+[^/]*)", 1))
 
 
 def resumed(
@@ -110,10 +112,10 @@ def resumed(
 ) -> DataFrame:
     """The answers (as classify gives them) of all rows (key, prompt) in folder, after asking for those that it lacks.
 
-    Rows that lack an answer are queued, by the tasks that find them, in files of at most every rows, and a stream takes a file at a time: each
-    micro-batch is asked and its answers are written to a folder of its own, answers/<attempt>/<batch>. A run that is
-    stopped loses the answers of one batch at most. The next call is another attempt, whose queue has only rows without a
-    written answer, so a row that was answered isn't asked again. Answers that are errors count as given.
+    Rows that lack an answer are queued, by the tasks that find them, in files of at most every rows. A stream takes all files at once, or
+    in_flight at a time, and a task asks a file and writes its answers to answers/<attempt>/<number>, where they are when the task ends, whatever
+    comes of the others. A run that is stopped loses the answers of one file for each running task at most. The next call is another attempt,
+    whose queue has only rows without a written answer, so a row that was answered isn't asked again. Answers that are errors count as given.
 
     An answer counts for a row only under the fingerprint of what is asked now: of another definition, other classes or
     another prompt it is left in the log and the row is asked anew, or the run is refused with changed = "raise".
@@ -142,9 +144,12 @@ def resumed(
 
         def ask(batch: DataFrame, number: int) -> None:
             found = classify(fingerprinted(batch, classes, definition), model, classes, key, in_flight, keep=["fingerprint"])
-            found.write.mode("overwrite").parquet(f"{folder}/answers/{attempt:06}/{number:09}")
+            found.write.mode("overwrite").options(**_BY_TASK).option("maxRecordsPerFile", every).parquet(f"{folder}/answers/{attempt:06}/{number:09}")
 
-        stream = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/queue")
+        session = spark.newSession()  # where a file is a task, however small: opening it counts as much as a whole task may read
+        session.conf.set("spark.sql.files.openCostInBytes", session.conf.get("spark.sql.files.maxPartitionBytes"))
+        queue = session.readStream.schema(todo.schema)
+        stream = (queue.option("maxFilesPerTrigger", in_flight) if in_flight else queue).parquet(f"{folder}/queue")
         run = stream.writeStream.foreachBatch(ask).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
         try:
             run.awaitTermination()

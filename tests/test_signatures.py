@@ -139,6 +139,41 @@ def test_a_killed_run_asks_no_committed_row_again(spark, tmp_path):
     assert names(spark, f"{folder}/answers") == ["000000", "000001"]
 
 
+def test_files_are_asked_side_by_side_and_ended_tasks_keep_their_answers(spark, tmp_path):
+    """Of four files of ten rows, three wait until the first has begun, which waits for their answers to be written and dies."""
+    folder, began = f"file://{tmp_path}/run", tmp_path / "began"
+
+    def model(prompt, began=str(began), answers=str(tmp_path / "run/answers/000000")):
+        import glob
+        import os
+        import time
+
+        def wait(met):
+            end = time.time() + 15
+            while not met():
+                if time.time() > end:
+                    raise TimeoutError("the other tasks don't run")
+                time.sleep(0.05)
+
+        if prompt == "0":
+            open(began, "w").close()
+            try:
+                wait(lambda: len(glob.glob(f"{answers}/*/part-*")) == 3)
+            finally:
+                os.kill(os.getpid(), 9)
+        elif int(prompt) % 10 == 0:
+            wait(lambda: os.path.exists(began))
+        return "a"
+
+    asked = spark.range(0, 40, 1, 4).selectExpr("id AS row_index", "CAST(id AS STRING) AS prompt")
+    with pytest.raises(Exception):  # noqa: B017
+        inference.resumed(asked, model, ["a"], folder, every=10)
+    kept = inference.answers_of(spark, folder, asked.schema["row_index"])
+    assert {r["row_index"] for r in kept.where("response_valid").collect()} == set(range(10, 40)) and kept.groupBy("batch").count().where("count > 10").isEmpty()
+    found = inference.resumed(asked, lambda prompt: "b", ["a"], folder, every=10)
+    assert {r["row_index"] for r in found.where("response_valid").collect()} == set(range(10, 40)) and found.count() == 40
+
+
 def test_answers_count_under_their_fingerprint_alone(spark, tmp_path):
     folder, asked = f"file://{tmp_path}/run", asked_rows(spark, 20)
 
