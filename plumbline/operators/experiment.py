@@ -8,6 +8,7 @@ import json
 import time
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor, as_completed
+from threading import Semaphore
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, RandomForestClassificationModel, RandomForestClassifier
@@ -33,6 +34,8 @@ OPTIONS = {
         "min_samples_leaf": "minSamplesLeaf", "min_gain": "minGain", "reg": "reg", "max_bins": "maxBins",
     },
 }
+#: Rows beyond which cross-validation fits one model at a time.
+MANY_ROWS = 20_000_000
 #: Options that act beside the estimator: the sampler before, and the guard of nodes after.
 BESIDE = ("sampler", "min_samples_split")
 
@@ -146,11 +149,12 @@ def predictions(model: Model, rows: DataFrame, classes: Sequence[str], target: s
 
 
 def scores(predicted: DataFrame, classes: Sequence[str]) -> dict[str, float]:
-    """The eight metrics of a prediction table."""
+    """The eight metrics of a prediction table. Equal predictions are counted once, and the counts are cached: of a tree as many as leaves and classes."""
     named = {f"probability_{i}_{c}": F.get("probabilities", F.lit(i)) for i, c in enumerate(classes)}
-    wide = predicted.select("actual_class", "predicted_class", *(p.alias(n) for n, p in named.items())).cache()
+    counted = predicted.groupBy("actual_class", "predicted_class", "probabilities").agg(F.count("*").alias("times"))
+    wide = counted.select("actual_class", "predicted_class", "times", *(p.alias(n) for n, p in named.items())).cache()
     try:
-        return metrics.summary_metrics(wide, []).first().asDict() | metrics.macro_auc(wide, [], classes, list(named)).first().asDict()
+        return metrics.summary_metrics(wide, [], times="times").first().asDict() | metrics.macro_auc(wide, [], classes, list(named), times="times").first().asDict()
     finally:
         wide.unpersist()
 
@@ -166,8 +170,9 @@ def cross_validate(
 
     Rows are written to the shared folder once, and again ranked by the draw of each seed: folds are remainders of ranks, and
     balancing a fold's training rows takes their ranks from there, so no fold sorts rows. Folds of a seed run side by side; at
-    most parallel fits run at a time, from driver threads. Each fit is a row of Spark jobs. Beside the files, only balanced
-    features and labels and the scores of a fit are cached.
+    most parallel fits run at a time, from driver threads. Each fit is a row of Spark jobs. Of more than MANY_ROWS a fit fills a
+    cluster by itself, and fits run one after the other, beside the scoring of those before, so that one training set is held at a time. Beside the files, only balanced
+    features and labels and the counts of equal predictions of a fit are cached. Medians and modes are sought for columns with missing values alone.
     """
     spark, base = rows.sparkSession, scratch(rows.sparkSession, "folds")
     known = {(r["configuration_id"], r["seed"], r["fold"]) for r in done.select("configuration_id", "seed", "fold").collect()} if done is not None else set()
@@ -179,7 +184,8 @@ def cross_validate(
 
     try:
         rows = written(rows.select(*(F.col(f"`{c}`") for c in dict.fromkeys((key, *numeric, *categorical, target)))), "rows")
-        classes = prepare.classes_of(rows, target)
+        classes, whole = prepare.classes_of(rows, target), prepare.whole_columns(rows, numeric, categorical)
+        fits = Semaphore(1 if rows.count() > MANY_ROWS else parallel)
         for seed in seeds:
             wanted = {fold: [p for p in expand(grid) if (configuration_id(p), seed, fold) not in known] for fold in range(1, k + 1)}
             wanted = {fold: some for fold, some in wanted.items() if some}
@@ -190,11 +196,13 @@ def cross_validate(
 
             def one_fold(fold: int, ranked=ranked, seed=seed, wanted=wanted, at_once=at_once) -> list[tuple]:
                 train, test = sampling.without_fold(ranked, k, fold), ranked.where(sampling.fold_of(k) == fold)
-                ready = prepare.fit(train, numeric, categorical)
+                ready = prepare.fit(train, numeric, categorical, whole=whole)
                 train, test = assembled(train, ready, target, classes, [key, "__nth"]), assembled(test, ready, target, classes, [key])
 
                 def one(parameters: Mapping) -> tuple:
-                    result = scores(predictions(fit(train, kind, parameters, seed, target, key), test, classes, target, key), classes)
+                    with fits:
+                        model = fit(train, kind, parameters, seed, target, key)
+                    result = scores(predictions(model, test, classes, target, key), classes)
                     return (configuration_id(parameters), seed, fold, *[float(result[m]) for m in METRICS])
 
                 with ThreadPoolExecutor(max(1, parallel // at_once)) as threads:

@@ -11,10 +11,15 @@ from pyspark.sql.window import Window
 from plumbline.functions.columns import ratio
 
 
-def confusion(rows: DataFrame, keys: Sequence[str], classes: Sequence[str] = (), actual: str = "actual_class", predicted: str = "predicted_class") -> DataFrame:
-    """keys, actual, predicted, n, share of the actual class; with classes every pair of them, 0 where none occur."""
+def _rows(times: str | None) -> Column:
+    """How many rows a row stands for: one, or its column of that name."""
+    return F.col(times) if times else F.lit(1).cast("long")
+
+
+def confusion(rows: DataFrame, keys: Sequence[str], classes: Sequence[str] = (), actual: str = "actual_class", predicted: str = "predicted_class", times: str | None = None) -> DataFrame:
+    """keys, actual, predicted, n, share of the actual class; with classes every pair of them, 0 where none occur. times is a column with how many equal rows a row stands for."""
     keys = list(keys)
-    counted = rows.groupBy(*keys, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    counted = rows.groupBy(*keys, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg((F.sum(times) if times else F.count("*")).alias("n"))
     if classes:
         pair = F.explode(F.array(*map(F.lit, classes)))
         every = counted.select(*keys).distinct() if keys else rows.sparkSession.range(1).select()
@@ -42,14 +47,14 @@ def per_class(matrix: DataFrame, keys: Sequence[str], classes: Sequence[str] = (
     return sums.withColumns({"precision": ratio(tp, p), "recall": ratio(tp, t), "f1": ratio(2 * tp, t + p), "fp": p - tp, "fn": t - tp})
 
 
-def summary_metrics(rows: DataFrame, keys: Sequence[str], classes: Sequence[str] = (), actual: str = "actual_class", predicted: str = "predicted_class") -> DataFrame:
+def summary_metrics(rows: DataFrame, keys: Sequence[str], classes: Sequence[str] = (), actual: str = "actual_class", predicted: str = "predicted_class", times: str | None = None) -> DataFrame:
     """keys, accuracy, precision, recall, macro_f1, mcc, balanced_accuracy.
 
     Macro means are over the classes that occur as actual or predicted, balanced accuracy over the actual ones; with
     classes all are over those.
     """
     keys = list(keys)
-    matrix = confusion(rows, keys, (), actual, predicted)
+    matrix = confusion(rows, keys, (), actual, predicted, times)
     own = per_class(matrix, keys, classes)
     everything = per_class(matrix, keys)
     means = own.groupBy(*keys).agg(
@@ -64,9 +69,9 @@ def summary_metrics(rows: DataFrame, keys: Sequence[str], classes: Sequence[str]
     return joined.select(*keys, ratio(c, s).alias("accuracy"), "precision", "recall", "macro_f1", mcc.alias("mcc"), "balanced_accuracy")
 
 
-def _ranked(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _ranked(scores: DataFrame, keys: Sequence[str], times: str | None = None) -> DataFrame:
     """keys, score, pos, n of each distinct score: equal scores are combined before any window."""
-    return scores.groupBy(*keys, "score").agg(F.sum(F.col("positive").cast("long")).alias("pos"), F.count("*").alias("n"))
+    return scores.groupBy(*keys, "score").agg(F.sum(F.col("positive").cast("long") * _rows(times)).alias("pos"), F.sum(_rows(times)).alias("n"))
 
 
 def _range(score: Column) -> Column:
@@ -89,17 +94,17 @@ def _before(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     return each.join(starts, [*keys, "__range"]).select(*keys, "score", "pos", "n", *below)
 
 
-def roc_auc(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+def roc_auc(scores: DataFrame, keys: Sequence[str], times: str | None = None) -> DataFrame:
     """keys (not NULL), roc_auc from (keys, positive, score): rank sums with mean ranks for ties; NULL where a class is missing."""
-    ranked = _before(_ranked(scores, keys), keys).withColumn("rank", F.col("n_below") + (F.col("n") + 1) / F.lit(2.0))
+    ranked = _before(_ranked(scores, keys, times), keys).withColumn("rank", F.col("n_below") + (F.col("n") + 1) / F.lit(2.0))
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("__r"), F.sum("pos").alias("__p"), F.sum("n").alias("__n"))
     pos, neg = F.col("__p").cast("double"), (F.col("__n") - F.col("__p")).cast("double")
     return sums.select(*keys, F.try_divide(F.col("__r") - pos * (pos + 1) / F.lit(2.0), pos * neg).alias("roc_auc"))
 
 
-def average_precision(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+def average_precision(scores: DataFrame, keys: Sequence[str], times: str | None = None) -> DataFrame:
     """keys (not NULL), pr_auc: precision at each distinct score times the recall gained there."""
-    ranked = _ranked(scores, keys)
+    ranked = _ranked(scores, keys, times)
     totals = ranked.groupBy(*keys).agg(F.sum("pos").alias("__p"), F.sum("n").alias("__all"))
     below = _before(ranked, keys)
     both = below.join(totals, list(keys)) if keys else below.withColumn("__1", F.lit(1)).join(totals.withColumn("__1", F.lit(1)), "__1")
@@ -108,19 +113,20 @@ def average_precision(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sums.select(*keys, F.try_divide(F.col("__a"), F.col("__p")).alias("pr_auc"))
 
 
-def one_versus_rest(rows: DataFrame, keys: Sequence[str], classes: Sequence[str], probabilities: Sequence[str], actual: str = "actual_class") -> DataFrame:
-    """keys, class, positive, score: a row for each class of each row."""
+def one_versus_rest(rows: DataFrame, keys: Sequence[str], classes: Sequence[str], probabilities: Sequence[str], actual: str = "actual_class", times: str | None = None) -> DataFrame:
+    """keys, class, positive, score, and times if it is given: a row for each class of each row."""
     cells = F.array(*[F.struct(F.lit(c).alias("class"), (F.col(actual) == c).alias("positive"), F.col(f"`{p}`").alias("score")) for c, p in zip(classes, probabilities, strict=True)])
-    return rows.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
+    kept = [*keys, *([times] if times else [])]
+    return rows.select(*kept, F.explode(cells).alias("c")).select(*kept, "c.*")
 
 
-def macro_auc(rows: DataFrame, keys: Sequence[str], classes: Sequence[str], probabilities: Sequence[str], actual: str = "actual_class") -> DataFrame:
+def macro_auc(rows: DataFrame, keys: Sequence[str], classes: Sequence[str], probabilities: Sequence[str], actual: str = "actual_class", times: str | None = None) -> DataFrame:
     """keys, roc_auc, pr_auc: for two classes of the second, for more the mean over one-versus-rest."""
-    scores = one_versus_rest(rows, keys, classes, probabilities, actual)
+    scores = one_versus_rest(rows, keys, classes, probabilities, actual, times)
     if len(classes) == 2:
         scores = scores.where(F.col("class") == classes[1])
     by = [*keys, "class"]
-    both = roc_auc(scores, by).join(average_precision(scores, by), by)
+    both = roc_auc(scores, by, times).join(average_precision(scores, by, times), by)
     return both.groupBy(*keys).agg(F.avg("roc_auc").alias("roc_auc"), F.avg("pr_auc").alias("pr_auc"))
 
 

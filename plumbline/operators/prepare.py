@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -60,11 +60,23 @@ def _few(values: DataFrame, most: int, what: str) -> list:
     return found
 
 
-def fit(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], most: int = MOST_CATEGORIES) -> Preprocessor:
-    """Medians, modes and categories of training rows; columns without a finite value get 0. More than most categories in all raise."""
-    found = {r[0]: r[1] for r in medians(rows, numeric).collect()} if numeric else {}
+def whole_columns(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> set[str]:
+    """The columns in which no row lacks a value, or a finite one: nothing is ever filled in there."""
+    held = {c: finite(F.col(f"`{c}`").cast("double")) for c in numeric} | {c: F.col(f"`{c}`") for c in categorical}
+    counts = rows.agg(F.lit(0), *(F.count_if(value.isNull()) for value in held.values())).first()
+    return {c for c, n in zip(held, counts[1:], strict=True) if not n}
+
+
+def fit(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], most: int = MOST_CATEGORIES, whole: Collection[str] = ()) -> Preprocessor:
+    """Medians, modes and categories of training rows; columns without a finite value get 0. More than most categories in all raise.
+
+    whole are columns without a missing value in any row that the fit is for: what would stand for one isn't sought, and is 0 or empty.
+    """
+    sought = [c for c in numeric if c not in whole]
+    found = {r[0]: r[1] for r in medians(rows, sought).collect()} if sought else {}
     seen = _few(long_form(rows, [], categorical, "string").where("value is not null"), most, "categories") if categorical else []
-    frequent = {r[0]: r[1] for r in modes(rows, categorical).collect()} if categorical else {}
+    named = [c for c in categorical if c not in whole]
+    frequent = {r[0]: r[1] for r in modes(rows, named).collect()} if named else {}
     return Preprocessor({c: found.get(c, 0.0) for c in numeric}, {c: frequent.get(c, "") for c in categorical}, {c: tuple(sorted(r[1] for r in seen if r[0] == c)) for c in categorical})
 
 

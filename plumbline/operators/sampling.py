@@ -14,6 +14,8 @@ from plumbline.operators.prepare import MOST_CATEGORIES
 DIGITS = 3
 #: Classes whose counts by first digits are broadcast; of more they meet the rows by a shuffle.
 BROADCAST_CLASSES = 50
+#: Draws of all classes that are broadcast, a few MB.
+BROADCAST_DRAWS = 200_000
 #: Draws that one row makes; the draws of a class are spread over as many rows as that takes.
 CHUNK = 100_000
 
@@ -102,10 +104,16 @@ def without_fold(rows: DataFrame, k: int, fold: int) -> DataFrame:
 def oversampled(rows: DataFrame, target: str, seed: int, key: str) -> DataFrame:
     """All rows, and for each smaller class draws with replacement up to the size of the largest; copy is 0 for originals, then 1, 2 ...
 
-    Rows that have __nth are ranked already, and only classes that lack rows meet their draws.
+    Rows that have __nth are ranked already, and only classes that lack rows meet their draws. Up to BROADCAST_DRAWS draws, of
+    up to BROADCAST_CLASSES classes, go to the rows, which are read once; of more, both are shuffled.
     """
     sizes = rows.groupBy(target).agg(F.count("*").alias("__n"))
-    sizes = sizes.withColumn("__lack", F.max("__n").over(Window.partitionBy()) - F.col("__n"))
+    counted = sizes.limit(BROADCAST_CLASSES + 1).collect()
+    few = len(counted) <= BROADCAST_CLASSES
+    if few:
+        sizes = rows.sparkSession.createDataFrame(counted, sizes.schema)
+    most = max((r["__n"] for r in counted), default=0)
+    sizes = sizes.withColumn("__lack", (F.lit(most) if few else F.max("__n").over(Window.partitionBy())) - F.col("__n"))
     chunks = sizes.where("__lack > 0").select(target, "__n", "__lack", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__lack") - 1) / CHUNK))).alias("__chunk"))
     first = F.col("__chunk") * CHUNK + 1
     spread = chunks.repartition(target, "__chunk")
@@ -113,8 +121,12 @@ def oversampled(rows: DataFrame, target: str, seed: int, key: str) -> DataFrame:
     number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(target), F.lit(":"), F.col("copy").cast("string"))), 1, 12), 16, 10).cast("long")
     draws = draws.select(target, "copy", (number % F.col("__n") + 1).alias("__nth"))
     placed = rows if "__nth" in rows.columns else ranked(rows, target, seed, key)
-    smaller = placed.join(sizes.where("__lack > 0").select(target), target, "left_semi")
     rows = rows.drop("__nth")
+    if few and sum(most - r["__n"] for r in counted) <= BROADCAST_DRAWS:
+        copies = draws.groupBy(target, "__nth").agg(F.collect_list("copy").alias("__copies"))
+        each = F.concat(F.array(F.lit(0).cast("long")), F.coalesce("__copies", F.array().cast("array<long>")))
+        return placed.join(F.broadcast(copies), [target, "__nth"], "left").select(*rows.columns, F.explode(each).alias("copy"))
+    smaller = placed.join(sizes.where("__lack > 0").select(target), target, "left_semi")
     extra = smaller.join(draws, [target, "__nth"]).select(*rows.columns, "copy")
     return rows.withColumn("copy", F.lit(0).cast("long")).unionByName(extra)
 

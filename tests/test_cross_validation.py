@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from plumbline.operators import experiment, sampling
+from plumbline.operators import experiment, metrics, prepare, sampling
 from plumbline.plans import sampling_queries
 
 
@@ -67,3 +67,46 @@ def test_rows_are_ranked_once_a_seed(spark, monkeypatch):
     grid = {"max_depth": [1], "min_samples_leaf": [5], "sampler": ["oversample"]}
     found = experiment.cross_validate(rows, "decision_tree", grid, ["x"], [], "y", "id", seeds=(27,), k=2).collect()
     assert len(calls) == 1 and [r["accuracy"] for r in found] == [1.0, 1.0]
+
+
+def test_balancing_reads_ranked_rows_once_and_draws_the_same_either_way(spark, tmp_path, monkeypatch):
+    """Few draws go to the rows, many are shuffled with them: the same rows and copies come out."""
+    rows = spark.range(300).selectExpr("cast(id as string) as id", "if(id % 10 < 3, 'a', if(id % 10 = 3, 'c', 'b')) as y")
+    sampling.ranked(rows, "y", 27, "id").write.parquet(f"{tmp_path}/ranked")
+    ranked = spark.read.parquet(f"{tmp_path}/ranked")
+    few = sampling.oversampled(ranked, "y", 27, "id")
+    assert few._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    found = sorted(map(tuple, few.collect()))
+    assert Counter(y for _, y, _ in found) == {"a": 180, "b": 180, "c": 180} and sum(copy == 0 for *_, copy in found) == 300
+    for name in ("BROADCAST_DRAWS", "BROADCAST_CLASSES"):
+        with monkeypatch.context() as held:
+            held.setattr(sampling, name, 0)
+            assert sorted(map(tuple, sampling.oversampled(ranked, "y", 27, "id").collect())) == found
+
+
+def test_medians_and_modes_are_sought_where_values_are_missing(spark, monkeypatch):
+    whole = spark.range(120).selectExpr("cast(id as string) as id", "cast(id % 10 as double) as x", "cast(id % 2 as string) as c", "if(id % 10 < 3, 'a', 'b') as y")
+    asked, medians, modes = [], prepare.medians, prepare.modes
+    monkeypatch.setattr(prepare, "medians", lambda rows, columns: (asked.extend(columns), medians(rows, columns))[1])
+    monkeypatch.setattr(prepare, "modes", lambda rows, columns: (asked.extend(columns), modes(rows, columns))[1])
+    grid = {"max_depth": [1], "min_samples_leaf": [5], "sampler": ["none"]}
+    run = lambda rows: [r["accuracy"] for r in experiment.cross_validate(rows, "decision_tree", grid, ["x"], ["c"], "y", "id", seeds=(27,), k=2).collect()]
+    assert run(whole) == [1.0, 1.0] and asked == []
+    run(whole.selectExpr("id", "if(id = '4', double('nan'), x) as x", "if(id = '7', null, c) as c", "y"))
+    assert sorted(asked) == ["c", "c", "x", "x"]
+
+
+def test_equal_predictions_are_counted_once(spark):
+    cells = [(i, "ab"[i % 2], "ab"[i % 3 == 0], [0.25 * (i % 4), 1 - 0.25 * (i % 4)]) for i in range(60)]
+    rows = spark.createDataFrame(cells, "id int, actual_class string, predicted_class string, probabilities array<double>")
+    wide = rows.selectExpr("actual_class", "predicted_class", "probabilities[0] as p0", "probabilities[1] as p1")
+    expected = metrics.summary_metrics(wide, []).first().asDict() | metrics.macro_auc(wide, [], ["a", "b"], ["p0", "p1"]).first().asDict()
+    kept = []
+    spark.catalog.clearCache()
+    cache = type(rows).cache
+    try:
+        type(rows).cache = lambda self: (kept.append(self.count()), cache(self))[1]
+        assert experiment.scores(rows, ["a", "b"]) == pytest.approx(expected)
+    finally:
+        type(rows).cache = cache
+    assert kept == [8]  # distinct cells of 60 rows
